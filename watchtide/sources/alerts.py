@@ -1,0 +1,31 @@
+"""Append-only tables: alerts, conversation turns and score captures."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from watchtide.schemas import FEATURE_COLUMNS
+
+
+def append_load(rows: DataFrame, path: str, load: str, *, columns: tuple[str, ...] = ()) -> None:
+    """Appends one load; repeating the load replaces it, so a replayed batch adds nothing twice."""
+    rows = rows.select(*columns) if columns else rows
+    (
+        rows.withColumn("load", F.lit(load))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("load")
+        .parquet(path)
+    )
+
+
+def score_capture(scored: DataFrame, *, model_version: str) -> DataFrame:
+    """Model inputs and outputs as captured next to the scored findings."""
+    return scored.select(
+        "finding_id",
+        F.array(*FEATURE_COLUMNS).alias("features"),
+        F.col("anomaly_score").alias("score"),
+        "is_anomaly",
+        F.lit(model_version).alias("model_version"),
+    )
