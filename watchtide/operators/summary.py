@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def evaluation_report(scores: DataFrame) -> DataFrame:
-    """One row: anomaly rate, counts and score statistics of a validation set."""
-    return scores.agg(
+def evaluation_report(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Anomaly rate, counts and score statistics of a validation set: one row, or one per `by` group."""
+    return scores.groupBy(*by).agg(
         (F.count_if("is_anomaly") / F.count(F.lit(1))).alias("anomaly_rate"),
         F.count_if("is_anomaly").alias("anomalies_detected"),
         F.count(F.lit(1)).alias("total_validation_rows"),

@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from watchtide.schemas import CLOUDTRAIL_FILE, CLOUDTRAIL_FILE_FIELDS
 
-LOG_PATH = r"/(\d{12})/CloudTrail/([^/]+)/(\d{4})/(\d{2})/(\d{2})/[^/]+$"
+# …/<account>/CloudTrail/<region>/<yyyy>/<MM>/<dd>/<file>; each folder may also be written as key=value.
+LOG_PATH = (
+    r"/(?:\w+=)?(\d{12})/(?:\w+=)?CloudTrail/(?:\w+=)?([^/]+)"
+    r"/(?:\w+=)?(\d{4})/(?:\w+=)?(\d{2})/(?:\w+=)?(\d{2})/[^/]+$"
+)
 PATH_COLUMNS = ("account_id", "region", "year", "month", "day")
 
 
 def read_cloudtrail(spark: SparkSession, path: str) -> DataFrame:
-    """One row per audit record, catalog (lower-case) names, nested parts as JSON text.
+    """One row per audit record (files hold one JSON object per line), catalog (lower-case) names, nested parts as JSON text.
 
     account_id, region, year, month and day come from the file path, so filters
     on them leave other files unopened.
@@ -20,7 +24,6 @@ def read_cloudtrail(spark: SparkSession, path: str) -> DataFrame:
     files = (
         spark.read.schema(CLOUDTRAIL_FILE)
         .option("recursiveFileLookup", True)
-        .option("multiLine", True)
         .json(path)
     )
     from_path = [

@@ -19,7 +19,7 @@ def union_training_files(frames: list[DataFrame]) -> DataFrame:
 def _files(spark: SparkSession, path: str, fmt: str) -> DataFrame | None:
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{fmt}").schema(TRAINING)
     if fmt == "csv":
-        reader = reader.option("header", True).option("enforceSchema", False)
+        reader = reader.option("header", True).option("enforceSchema", False).option("escape", '"')
     try:
         df = reader.format(fmt).load(path)
     except AnalysisException:
