@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from watchtide.plans import finding_queries, model_queries, search_queries  # noqa: F401  (they register queries)
+from watchtide.plans import finding_queries, lake_queries, model_queries, search_queries  # noqa: F401  (they register queries)
 from watchtide.plans.registry import QUERIES, SQL  # noqa: F401
