@@ -348,6 +348,6 @@ def _(t):
     path = t.scratch("late")
     jobs.late_data(t.stream("claim_events"), path, t.scratch("checkpoint"), ts=F.col("ts")).awaitTermination()
     kinds = [
-        t.spark.read.parquet(f"{path}/{kind}").select(F.lit(kind).alias("kind")) for kind in ("accepted", "late")
+        t.spark.read.schema("event_id long").parquet(f"{path}/{kind}").select(F.lit(kind).alias("kind")) for kind in ("accepted", "late")
     ]
     return kinds[0].unionByName(kinds[1]).groupBy("kind").agg(F.count(F.lit(1)).alias("events"))

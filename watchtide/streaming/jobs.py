@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from watchtide.operators.alerts import format_alert, triage_parse
 from watchtide.operators.dedup import DEDUP_HOURS
@@ -25,6 +26,8 @@ from watchtide.sources.quarantine import quarantine_rows, split_bad
 # Fixed value: the oldest an event may be when it is handled, in seconds.
 MAX_EVENT_AGE = 3600
 LATENESS = f"{MAX_EVENT_AGE} seconds"
+STATE_STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 AVAILABLE_NOW = {"availableNow": True}
 
 
@@ -167,38 +170,56 @@ def stream_metrics(
     )
 
 
-def _alarm(threshold: float):
-    """Per metric: emits state changes; a timer at the end of the next window notices silence."""
+class AlarmProcessor(StatefulProcessor):
+    """Per metric: emits state changes; a timer at the end of the next window notices silence.
 
-    def changes(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    The state is the last breaching window of an open alarm. Windows reach it
+    closed and in watermark order, one row per window.
+    """
+
+    def __init__(self, threshold: float) -> None:
+        self.threshold = threshold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("last_breach", "start long")
+
+    def _changes(self, key: tuple, found: list[tuple]) -> Iterator[pd.DataFrame]:
+        if found:
+            yield pd.DataFrame([(*key, at, state) for at, state in found], columns=["name", "at", "state"])
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803  (the API's names)
+        last = self.open.get()[0] if self.open.exists() else None
+        if last is not None:
+            self.handle.deleteTimer((last + 2 * PERIOD_SECONDS) * 1000)
+        windows = pd.concat(list(rows))
         found = []
-        last = state.get[0] if state.exists else None  # the last breaching window of an open alarm
-        if state.hasTimedOut:
-            found.append((*key, last + PERIOD_SECONDS, "OK"))
-            state.remove()
+        for start in sorted(windows.loc[windows["total"] >= self.threshold, "window_start"]):
+            start = int(start)
+            if last is not None and start > last + PERIOD_SECONDS:
+                found.append((last + PERIOD_SECONDS, "OK"))
+                last = None
+            if last is None:
+                found.append((start, "ALARM"))
+            last = start
+        due = None if last is None else (last + 2 * PERIOD_SECONDS) * 1000
+        if due is not None and due <= timerValues.getCurrentWatermarkInMs():
+            found.append((last + PERIOD_SECONDS, "OK"))
+            due = None
+        if due is None:
+            self.open.clear()
         else:
-            rows = pd.concat(parts)
-            for start in sorted(rows.loc[rows["total"] >= threshold, "window_start"]):
-                start = int(start)
-                if last is not None and start > last + PERIOD_SECONDS:
-                    found.append((*key, last + PERIOD_SECONDS, "OK"))
-                    last = None
-                if last is None:
-                    found.append((*key, start, "ALARM"))
-                last = start
-            if last is not None:
-                due = (last + 2 * PERIOD_SECONDS) * 1000
-                if due <= state.getCurrentWatermarkMs():
-                    found.append((*key, last + PERIOD_SECONDS, "OK"))
-                    if state.exists:
-                        state.remove()
-                else:
-                    state.update((last,))
-                    state.setTimeoutTimestamp(due)
-        if found:
-            yield pd.DataFrame(found, columns=["name", "at", "state"])
+            self.open.update((last,))
+            self.handle.registerTimer(due)
+        yield from self._changes(key, found)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        last = self.open.get()[0]
+        self.open.clear()
+        yield from self._changes(key, [(last + PERIOD_SECONDS, "OK")])
 
-    return changes
+    def close(self) -> None:
+        pass
 
 
 def alarm_stream(samples: DataFrame, *, ts: Column, value: Column, threshold: float = ALARM_THRESHOLD) -> DataFrame:
@@ -210,9 +231,9 @@ def alarm_stream(samples: DataFrame, *, ts: Column, value: Column, threshold: fl
         .agg(F.sum("_v").alias("total"))
         .select("name", F.window_time("w").alias("closed_at"), F.unix_timestamp("w.start").alias("window_start"), "total")
     )
-    return sums.groupBy("name").applyInPandasWithState(
-        _alarm(threshold), "name string, at long, state string", "last_breach long", "append",
-        GroupStateTimeout.EventTimeTimeout,
+    samples.sparkSession.conf.set(STATE_STORE_CONF, ROCKSDB_STORE)  # the only store that keeps timers
+    return sums.groupBy("name").transformWithStateInPandas(
+        AlarmProcessor(threshold), "name string, at long, state string", "Append", "EventTime"
     )
 
 
