@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from watchtide.schemas import DETAIL
+from watchtide.schemas import DETAIL_FIELDS
 
 GUARDDUTY = "aws.guardduty"
 SECURITYHUB = "aws.securityhub"
@@ -15,9 +15,9 @@ ISO_UTC = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"
 HIGH_FLOOR, MEDIUM_FLOOR, LOW_ABOVE = 7.0, 4.0, 0.0
 
 
-def parse_detail(detail: Column) -> Column:
-    """One tolerant parse of the JSON detail; bad or missing JSON gives null fields."""
-    return F.from_json(detail, DETAIL)
+def parse_detail(detail: Column, *fields: str) -> Column:
+    """One tolerant parse of the named parts of the JSON detail; bad or missing JSON gives null fields."""
+    return F.from_json(detail, ", ".join(f"{name} {DETAIL_FIELDS[name]}" for name in fields))
 
 
 def first_of(items: Column) -> Column:
@@ -53,15 +53,23 @@ def variant_kind(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
-def is_json_number(value: Column) -> Column:
-    kind = variant_kind(value)
-    return F.coalesce((kind == "BIGINT") | (kind == "DOUBLE") | kind.startswith("DECIMAL"), F.lit(False))
+def severity_parts(value: Column) -> Column:
+    """Struct of a severity's JSON `kind` (null when absent) and `text`; compute it once per row."""
+    return F.struct(variant_kind(value).alias("kind"), variant_text(value).alias("text"))
+
+
+def is_json_number(kind: Column) -> Column:
+    return F.coalesce(kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL"), F.lit(False))
 
 
-def severity_score(value: Column) -> Column:
-    """Number behind a severity value, as a lenient float conversion sees it."""
-    text = variant_text(value)
-    return F.when(text == "true", 1.0).when(text == "false", 0.0).otherwise(text.try_cast("double"))
+def severity_score(severity: Column) -> Column:
+    """Number behind a severity, as a lenient float conversion sees it; an absent one counts as 0."""
+    kind, text = severity["kind"], severity["text"]
+    return (
+        F.when(kind.isNull(), 0.0)
+        .when(kind == "BOOLEAN", (text == "true").cast("double"))
+        .otherwise(text.try_cast("double"))
+    )
 
 
 def severity_label(score: Column) -> Column:
@@ -76,20 +84,10 @@ def severity_label(score: Column) -> Column:
     )
 
 
-def guardduty_severity(value: Column) -> Column:
-    """An absent severity counts as 0; null or text that is no number is unknown."""
-    return severity_label(F.when(value.isNull(), 0.0).otherwise(severity_score(value)))
-
-
-def python_text(value: Column) -> Column:
-    """Text of a JSON scalar where null, true and false carry Python's spelling."""
-    text = variant_text(value)
-    return (
-        F.when(value.isNull(), F.lit(None).cast("string"))
-        .when(variant_kind(value) == "VOID", "None")
-        .when(variant_kind(value) == "BOOLEAN", F.initcap(text))
-        .otherwise(text)
-    )
+def python_text(severity: Column) -> Column:
+    """Text of a JSON scalar where null, true and false carry Python's spelling; null when absent."""
+    kind, text = severity["kind"], severity["text"]
+    return F.when(kind == "VOID", "None").when(kind == "BOOLEAN", F.initcap(text)).otherwise(text)
 
 
 def guardduty_resource_arn(detail: Column) -> Column:

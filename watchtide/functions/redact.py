@@ -16,7 +16,7 @@ ENTITIES = (
         "$1{AWS_SECRET_KEY}",
     ),
     ("PASSWORD", r"(?i)(\b(?:password|passwd|pwd)[\"']?\s*[:=]\s*[\"']?)[^\s\"',;{}]+", "$1{PASSWORD}"),
-    ("EMAIL", r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", "{EMAIL}"),
+    ("EMAIL", r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", "{EMAIL}"),
     (
         "CREDIT_DEBIT_CARD_NUMBER",
         r"\b(?:\d{13,16}|\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}|3[47]\d{2}[ \-]\d{6}[ \-]\d{5})\b",

@@ -18,11 +18,13 @@ def triage_parse(events: DataFrame, *, keep: Sequence[str] = ()) -> DataFrame:
 
     Unlike the canonical finding, severity stays raw and resource is a type.
     """
-    parsed = events.withColumn("_d", fx.parse_detail(F.col("detail")))
-    source, d = F.col("source"), F.col("_d")
-    finding = fx.first_of(d["findings"])
+    fields = ("id", "type", "title", "description", "severity", "accountId", "region", "resource", "findings")
+    parsed = events.withColumn("_d", fx.parse_detail(F.col("detail"), *fields)).withColumns(
+        {"_f": fx.first_of(F.col("_d.findings")), "_s": fx.severity_parts(F.col("_d.severity"))}
+    )
+    source, d, finding = F.col("source"), F.col("_d"), F.col("_f")
     guardduty, hub = source == fx.GUARDDUTY, source == fx.SECURITYHUB
-    raw_severity = fx.or_default(fx.python_text(d["severity"]), "unknown")
+    raw_severity = fx.or_default(fx.python_text(F.col("_s")), "unknown")
 
     def pick(from_guardduty: Column, from_hub: Column, from_other: Column) -> Column:
         return F.when(guardduty, from_guardduty).when(hub, from_hub).otherwise(from_other)

@@ -149,14 +149,15 @@ class IsolationForest:
 
         @F.pandas_udf("double")
         def score(*features: pd.Series) -> pd.Series:
-            values = np.column_stack([f.to_numpy(dtype=float) for f in features])
-            flat, row_at = values.ravel(), np.arange(len(values)) * values.shape[1]
-            total = np.zeros(len(values))
+            flat = np.concatenate([f.to_numpy(dtype=float) for f in features])
+            rows = len(features[0])
+            row_at, total = np.arange(rows), np.zeros(rows)
             for feature, threshold, length in zip(*packed.value):
-                node = np.zeros(len(values), dtype=np.int64)
+                node = np.zeros(rows, dtype=np.int64)
                 for _ in range(depth):
-                    node = 2 * node + 1 + (flat[row_at + feature[node]] > threshold[node])
-                total += length[node]
+                    value = flat.take(row_at + rows * feature.take(node))
+                    node = 2 * node + 1 + (value > threshold.take(node))
+                total += length.take(node)
             return pd.Series(-np.exp2(-total / len(packed.value[0]) / scale))
 
         return score(*[F.col(c) for c in self.columns])

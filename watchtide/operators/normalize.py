@@ -10,17 +10,30 @@ from pyspark.sql import functions as F
 from watchtide.functions import findings as fx
 
 
-def finding_columns(source: Column, d: Column) -> dict[str, Column]:
+def _source_parts(events: DataFrame) -> DataFrame:
+    """Adds the parsed detail `_d`, the first hub finding `_f`, the severity `_s` and its score `_n`.
+
+    Each is its own step, so that the dispatch below reads finished columns.
+    """
+    fields = ("id", "finding_id", "severity", "accountId", "region", "resource_arn", "resource", "findings")
+    return (
+        events.withColumn("_d", fx.parse_detail(F.col("detail"), *fields))
+        .withColumns({"_f": fx.first_of(F.col("_d.findings")), "_s": fx.severity_parts(F.col("_d.severity"))})
+        .withColumn("_n", fx.severity_score(F.col("_s")))
+    )
+
+
+def finding_columns(source: Column) -> dict[str, Column]:
     """finding_id, severity and resource_arn, dispatched on the event source."""
-    finding = fx.first_of(d["findings"])
+    d, finding = F.col("_d"), F.col("_f")
     guardduty, hub = source == fx.GUARDDUTY, source == fx.SECURITYHUB
     return {
         "finding_id": F.when(guardduty, fx.or_default(d["id"], "unknown"))
         .when(hub, fx.or_default(finding["Id"], "unknown"))
         .otherwise(F.coalesce(fx.non_empty(d["id"]), fx.non_empty(d["finding_id"]), F.lit("unknown"))),
-        "severity": F.when(guardduty, fx.guardduty_severity(d["severity"]))
+        "severity": F.when(guardduty, fx.severity_label(F.col("_n")))
         .when(hub, F.lower(fx.or_default(finding["Severity"]["Label"], "unknown")))
-        .otherwise(fx.or_default(fx.python_text(d["severity"]), "unknown")),
+        .otherwise(fx.or_default(fx.python_text(F.col("_s")), "unknown")),
         "resource_arn": F.when(guardduty, fx.guardduty_resource_arn(d))
         .when(hub, fx.or_default(fx.first_of(finding["Resources"])["Id"], ""))
         .otherwise(fx.or_default(d["resource_arn"], "")),
@@ -36,8 +49,8 @@ def normalize_findings(
     columns to carry along.
     """
     stamp = F.current_timestamp() if enriched_at is None else enriched_at
-    parsed = events.withColumn("_d", fx.parse_detail(F.col("detail"))).withColumn("_at", stamp)
-    cols = finding_columns(F.col("source"), F.col("_d"))
+    parsed = _source_parts(events.withColumn("_at", fx.iso_utc(stamp)))
+    cols = finding_columns(F.col("source"))
     return parsed.select(
         *keep,
         cols["finding_id"].alias("finding_id"),
@@ -49,7 +62,7 @@ def normalize_findings(
         cols["resource_arn"].alias("resource_arn"),
         F.create_map().cast("map<string,string>").alias("resource_tags"),
         fx.or_default(F.col("detail"), "{}").alias("raw_detail"),
-        fx.iso_utc(F.col("_at")).alias("enriched_at"),
+        F.col("_at").alias("enriched_at"),
     )
 
 
@@ -68,7 +81,7 @@ def with_partition_columns(findings: DataFrame, ts: Column, prefix: str = "enric
 
 def finding_to_event(findings: DataFrame, *, keep: Sequence[str] = ()) -> DataFrame:
     """Enriched findings to the event shape the model was trained on."""
-    parsed = findings.withColumn("_d", fx.parse_detail(F.col("raw_detail")))
+    parsed = findings.withColumn("_d", fx.parse_detail(F.col("raw_detail"), "type", "resource", "service"))
     d = F.col("_d")
     user_type = fx.or_default(d["resource"]["accessKeyDetails"]["userType"], "unknown")
     return parsed.select(

@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ BM25_K1, BM25_B = 1.2, 0.75
 FUSION_K = 60
 SCORE_DIGITS = 6
 BLOCK_BYTES = 32 * 1024 * 1024
+SCORE_ROWS = 1024  # rows per scoring step; bounds the (rows x words) matrix
 FOUND = "query_id long, chunk_id string, score double"
 
 
@@ -31,24 +34,23 @@ def chunk_fixed(
     The last chunk is the first one that reaches the end of the text.
     """
     step = max_tokens - max_tokens * overlap_percent // 100
-    tokens = F.filter(F.split(F.col(text), r"\s+"), lambda t: t != "")
+    tokens = F.array_remove(F.split(F.col(text), r"\s+"), "")
     sized = documents.select(F.col(id_column), tokens.alias("_t")).withColumn("_n", F.size("_t"))
     last = F.greatest(F.ceil((F.col("_n") - max_tokens) / step), F.lit(0)).cast("int")
     pieces = F.transform(
-        F.sequence(F.lit(0), last), lambda i: F.slice(F.col("_t"), i * step + 1, max_tokens)
+        F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(F.col("_t"), i * step + 1, max_tokens), " ")
     )
     return (
         sized.filter(F.col("_n") > 0)
-        .select(id_column, F.posexplode(pieces).alias("chunk_no", "_piece"))
-        .select(
-            id_column, "chunk_no", F.array_join("_piece", " ").alias("chunk"), F.size("_piece").alias("chunk_tokens")
-        )
+        .select(id_column, "_n", F.posexplode(pieces).alias("chunk_no", "chunk"))
+        .withColumn("chunk_tokens", F.least(F.lit(max_tokens), F.col("_n") - F.col("chunk_no") * step))
+        .drop("_n")
     )
 
 
 def words(text: Column) -> Column:
     """Lower-cased runs of letters and digits; no stemming, no stop words."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def _blocks(questions: DataFrame, limit: int) -> Iterator[pd.DataFrame]:
@@ -61,37 +63,59 @@ def _blocks(questions: DataFrame, limit: int) -> Iterator[pd.DataFrame]:
             yield block.sort_values("query_id", ignore_index=True)
 
 
-def _best_per_question(query_ids: np.ndarray, k: int, scorer: Callable[[pd.DataFrame], np.ndarray], floor: float):
+def _best_per_question(
+    query_ids: np.ndarray, k: int, scorer: Callable[[pa.RecordBatch], np.ndarray], floor: float
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Scores batches against a block of questions and keeps k rows per question and partition.
 
     No (question, chunk) pair leaves the task unless it is among the best k seen there.
     """
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: list[pd.DataFrame | None] = [None] * len(query_ids)
-        for rows in batches:
-            if rows.empty:
-                continue
-            scores = np.round(scorer(rows), SCORE_DIGITS)
-            ids = rows["chunk_id"].to_numpy()
-            for q, column in enumerate(scores.T):
-                cut = np.partition(column, -k)[-k] if len(column) > k else -np.inf
-                at = np.flatnonzero((column >= cut) & (column > floor))
-                fresh = pd.DataFrame({"chunk_id": ids[at], "score": column[at]})
-                pool = fresh if best[q] is None else pd.concat([best[q], fresh])
-                best[q] = pool.sort_values(["score", "chunk_id"], ascending=[False, True]).head(k)
-        for query_id, pool in zip(query_ids, best):
-            if pool is not None and len(pool):
-                yield pool.assign(query_id=query_id)[["query_id", "chunk_id", "score"]]
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = np.empty((len(query_ids), 0))
+        ids = np.empty((len(query_ids), 0), dtype=object)
+        for batch in batches:
+            for rows in (batch.slice(i, SCORE_ROWS) for i in range(0, batch.num_rows, SCORE_ROWS)):
+                fresh = np.round(scorer(rows), SCORE_DIGITS).T
+                names = np.broadcast_to(rows.column("chunk_id").to_numpy(zero_copy_only=False), fresh.shape)
+                scores, ids = _keep_best(np.hstack([scores, fresh]), np.hstack([ids, names]), k)
+        q, at = np.nonzero(scores > floor)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(query_ids[q], pa.int64()), pa.array(ids[q, at], pa.string()), pa.array(scores[q, at], pa.float64())],
+            names=["query_id", "chunk_id", "score"],
+        )
 
     return scan
 
 
+def _keep_best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best columns of each row: highest score, then smallest id."""
+    if scores.shape[1] <= k:
+        return scores, ids
+    cut = np.partition(scores, -k, axis=1)[:, -k][:, None]
+    at = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    for q in np.flatnonzero((scores == cut).sum(axis=1) > 1):  # ties at the cut: let the id decide
+        near = np.flatnonzero(scores[q] >= cut[q])
+        at[q] = near[np.lexsort((ids[q, near].astype(str), -scores[q, near]))][:k]
+    return np.take_along_axis(scores, at, axis=1), np.take_along_axis(ids, at, axis=1)
+
+
 def _merge(found: DataFrame, k: int) -> DataFrame:
     order = [F.desc("score"), F.asc("chunk_id")]
     return top_k_per(found, ["query_id"], order, k, salt=F.col("chunk_id"))
 
 
+def _unit_rows(matrix: np.ndarray) -> np.ndarray:
+    return matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+
+
+def _vectors(rows: pa.RecordBatch) -> np.ndarray:
+    """Unit vectors of a batch. All embeddings have one length."""
+    column = rows.column("embedding")
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return _unit_rows(flat.reshape(len(column), -1))
+
+
 def vector_topk(
     chunks: DataFrame, questions: DataFrame, *, k: int = 10, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
@@ -102,16 +126,13 @@ def vector_topk(
     """
     found = None
     for block in _blocks(questions.select("query_id", "embedding"), block_bytes):
-        matrix = np.array(block["embedding"].tolist(), dtype=float)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+        matrix = _unit_rows(np.array(block["embedding"].tolist(), dtype=float))
 
-        def cosine(rows: pd.DataFrame, matrix: np.ndarray = matrix) -> np.ndarray:
-            vectors = np.array(rows["embedding"].tolist(), dtype=float)
-            vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
-            return vectors @ matrix.T
+        def cosine(rows: pa.RecordBatch, matrix: np.ndarray = matrix) -> np.ndarray:
+            return _vectors(rows) @ matrix.T
 
         scan = _best_per_question(block["query_id"].to_numpy(), k, cosine, -np.inf)
-        part = chunks.select("chunk_id", "embedding").mapInPandas(scan, FOUND)
+        part = chunks.select("chunk_id", "embedding").mapInArrow(scan, FOUND)
         found = part if found is None else found.unionByName(part)
     return _merge(_or_empty(found, chunks), k)
 
@@ -125,49 +146,71 @@ def keyword_search(
 ) -> DataFrame:
     """The k best chunks per question by BM25: (query_id, chunk_id, score, rank).
 
-    chunks: chunk_id string, chunk; questions: query_id long, text. Tokens are
-    cut to the questions' words where they are made; only word statistics come
-    back to the driver, at most one row per question word.
+    chunks: chunk_id string, chunk; questions: query_id long, text. Only word
+    statistics come back to the driver, at most one row per question word.
     """
-    worded = chunks.select("chunk_id", words(F.col("chunk")).alias("_w"))
+    worded = chunks.select("chunk_id", words(F.col("chunk")).alias("words"))
     found = None
-    totals = None
     for block in _blocks(questions.select("query_id", F.array_distinct(words(F.col("text"))).alias("words")), block_bytes):
         vocabulary = sorted({w for row in block["words"] for w in row})
         if not vocabulary:
             continue
-        totals = totals or worded.agg(F.count(F.lit(1)), F.avg(F.size("_w"))).first()
-        n, mean_length = totals
+        n, mean_length, holders = _word_statistics(worded, vocabulary)
         if not n:
             break
-        hits = worded.select(
-            "chunk_id", F.size("_w").alias("length"), F.filter("_w", lambda w: w.isin(vocabulary)).alias("hits")
-        )
-        holders = dict(
-            hits.select(F.explode(F.array_distinct("hits")).alias("w")).groupBy("w").count().collect()
-        )
-        index = pd.Index(vocabulary)
-        df = np.array([holders.get(w, 0) for w in vocabulary], dtype=float)
-        idf = np.log(1.0 + (n - df + 0.5) / (df + 0.5))
+        idf = np.log(1.0 + (n - holders + 0.5) / (holders + 0.5))
         weights = np.zeros((len(vocabulary), len(block)))
+        place = {w: i for i, w in enumerate(vocabulary)}
         for q, row in enumerate(block["words"]):
-            weights[index.get_indexer(list(row)), q] = 1.0
-        weights *= idf[:, None]
-
-        def bm25(rows: pd.DataFrame, index=index, weights=weights, mean_length=mean_length) -> np.ndarray:
-            counts = np.zeros((len(rows), len(index)))
-            sizes = rows["hits"].map(len).to_numpy()
-            at = index.get_indexer(np.concatenate(rows["hits"].to_list())) if sizes.sum() else []
-            np.add.at(counts, (np.repeat(np.arange(len(rows)), sizes), at), 1.0)
-            length = rows["length"].to_numpy(dtype=float)[:, None] / mean_length
+            at = [place[w] for w in row]
+            weights[at, q] = idf[at]
+
+        def bm25(rows: pa.RecordBatch, vocabulary=vocabulary, weights=weights, mean_length=mean_length) -> np.ndarray:
+            counts, length = _word_counts(rows, vocabulary)
+            length = length[:, None] / mean_length
             return (counts * (BM25_K1 + 1) / (counts + BM25_K1 * (1 - BM25_B + BM25_B * length))) @ weights
 
         scan = _best_per_question(block["query_id"].to_numpy(), k, bm25, 0.0)
-        part = hits.filter(F.size("hits") > 0).mapInPandas(scan, FOUND)
+        part = worded.mapInArrow(scan, FOUND)
         found = part if found is None else found.unionByName(part)
     return _merge(_or_empty(found, chunks), k)
 
 
+def _word_counts(rows: pa.RecordBatch, vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(rows x vocabulary counts, words per row) of a batch with a `words` column."""
+    column = rows.column("words")
+    length = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(float)
+    parents = pc.list_parent_indices(column).to_numpy(zero_copy_only=False)
+    place = pc.index_in(pc.list_flatten(column), value_set=pa.array(vocabulary, pa.string()))
+    known = pc.is_valid(place).to_numpy(zero_copy_only=False)
+    cell = parents[known] * len(vocabulary) + place.drop_null().to_numpy()
+    counts = np.bincount(cell, minlength=len(length) * len(vocabulary)).astype(float)
+    return counts.reshape(len(length), len(vocabulary)), length
+
+
+def _word_statistics(worded: DataFrame, vocabulary: list[str]) -> tuple[int, float, np.ndarray]:
+    """(chunks, mean words per chunk, chunks that hold each word), summed per partition first."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holders, rows_seen, words_seen = np.zeros(len(vocabulary), dtype=np.int64), 0, 0
+        for batch in batches:
+            for rows in (batch.slice(i, SCORE_ROWS) for i in range(0, batch.num_rows, SCORE_ROWS)):
+                counts, length = _word_counts(rows, vocabulary)
+                holders += (counts > 0).sum(axis=0)
+                rows_seen, words_seen = rows_seen + len(length), words_seen + int(length.sum())
+        at = np.flatnonzero(holders)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([-1, -2, *at], pa.int32()), pa.array([rows_seen, words_seen, *holders[at]], pa.int64())],
+            names=["place", "n"],
+        )
+
+    tallied = dict(worded.select("words").mapInArrow(tally, "place int, n long").groupBy("place").sum("n").collect())
+    n, total = tallied.pop(-1, 0), tallied.pop(-2, 0)
+    holders = np.zeros(len(vocabulary))
+    holders[list(tallied)] = list(tallied.values())
+    return n, total / n if n else 0.0, holders
+
+
 def hybrid_search(chunks: DataFrame, questions: DataFrame, *, k: int = 10, depth: int = 50) -> DataFrame:
     """Vector and keyword results fused by reciprocal rank: (query_id, chunk_id, score, rank)."""
     lists = [vector_topk(chunks, questions, k=depth), keyword_search(chunks, questions, k=depth)]
@@ -208,20 +251,17 @@ def vector_topk_approx(
     chunks = spark.read.parquet(f"{path}/chunks")
     found = None
     for block in _blocks(questions.select("query_id", "embedding"), block_bytes):
-        matrix = np.array(block["embedding"].tolist(), dtype=float)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+        matrix = _unit_rows(np.array(block["embedding"].tolist(), dtype=float))
         away = ((matrix[:, None, :] - places[None, :, :]) ** 2).sum(axis=2)
         probed = np.zeros(away.shape, dtype=bool)
         np.put_along_axis(probed, np.argsort(away, axis=1, kind="stable")[:, :probes], True, axis=1)
         cells = [int(c) for c in centres["cell"].to_numpy()[probed.any(axis=0)]]
 
-        def cosine(rows: pd.DataFrame, matrix=matrix, probed=probed) -> np.ndarray:
-            vectors = np.array(rows["embedding"].tolist(), dtype=float)
-            vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
-            return np.where(probed[:, rows["cell"].to_numpy()].T, vectors @ matrix.T, -2.0)
+        def cosine(rows: pa.RecordBatch, matrix=matrix, probed=probed) -> np.ndarray:
+            return np.where(probed[:, rows.column("cell").to_numpy()].T, _vectors(rows) @ matrix.T, -2.0)
 
         scan = _best_per_question(block["query_id"].to_numpy(), k, cosine, -1.5)
-        part = chunks.filter(F.col("cell").isin(cells)).select("chunk_id", "embedding", "cell").mapInPandas(scan, FOUND)
+        part = chunks.filter(F.col("cell").isin(cells)).select("chunk_id", "embedding", "cell").mapInArrow(scan, FOUND)
         found = part if found is None else found.unionByName(part)
     return _merge(_or_empty(found, chunks), k)
 

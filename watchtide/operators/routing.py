@@ -27,7 +27,7 @@ def rule_conditions(d: Column) -> dict[str, Column]:
     source, kind = F.col("source"), F.col("detail_type")
     guardduty = (source == fx.GUARDDUTY) & (kind == GUARDDUTY_TYPE)
     hub = (source == fx.SECURITYHUB) & (kind == SECURITYHUB_TYPE)
-    severe = fx.is_json_number(d["severity"]) & (
+    severe = fx.is_json_number(fx.variant_kind(d["severity"])) & (
         F.try_variant_get(d["severity"], "$", "double") >= HIGH_SEVERITY
     )
     actionable = F.exists(
@@ -45,16 +45,20 @@ def rule_conditions(d: Column) -> dict[str, Column]:
     }
 
 
+def _parsed() -> Column:
+    return fx.parse_detail(F.col("detail"), "severity", "findings")
+
+
 def route(events: DataFrame, rule: str) -> DataFrame:
     """Events that match one rule."""
     if rule not in RULES:
         raise ValueError(f"unknown rule {rule!r}; known: {RULES}")
-    return events.filter(rule_conditions(fx.parse_detail(F.col("detail")))[rule])
+    return events.filter(rule_conditions(_parsed())[rule])
 
 
 def route_high_severity(events: DataFrame) -> DataFrame:
     """Events that match either alerting rule."""
-    rules = rule_conditions(fx.parse_detail(F.col("detail")))
+    rules = rule_conditions(_parsed())
     return events.filter(
         F.coalesce(rules["route_guardduty_high"], F.lit(False))
         | F.coalesce(rules["route_securityhub_high"], F.lit(False))
@@ -63,7 +67,7 @@ def route_high_severity(events: DataFrame) -> DataFrame:
 
 def route_events(events: DataFrame) -> DataFrame:
     """One row per (event, matching rule), all rules in one pass over the events."""
-    parsed = events.withColumn("_d", fx.parse_detail(F.col("detail")))
+    parsed = events.withColumn("_d", _parsed())
     matches = F.array(*[F.when(cond, F.lit(name)) for name, cond in rule_conditions(F.col("_d")).items()])
     return parsed.withColumn("rule", F.explode(F.array_compact(matches))).drop("_d")
 

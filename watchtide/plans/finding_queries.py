@@ -59,9 +59,10 @@ def _(t):
 
 @query("severity_label", "SELECT event_id, severity FROM normalized WHERE source = 'guardduty'", N)
 def _(t):
-    d = fx.parse_detail(F.col("detail"))
-    return t.view("envelopes").filter(F.col("source") == fx.GUARDDUTY).select(
-        "event_id", fx.guardduty_severity(d["severity"]).alias("severity")
+    severity = fx.severity_parts(fx.parse_detail(F.col("detail"), "severity")["severity"])
+    scored = t.view("envelopes").filter(F.col("source") == fx.GUARDDUTY).withColumn("_s", severity)
+    return scored.withColumn("_n", fx.severity_score(F.col("_s"))).select(
+        "event_id", fx.severity_label(F.col("_n")).alias("severity")
     )
 
 
@@ -81,9 +82,9 @@ def _(t):
 
 @query("guardduty_resource_arn", "SELECT event_id, resource_arn FROM normalized WHERE source = 'guardduty'", N)
 def _(t):
-    d = fx.parse_detail(F.col("detail"))
-    return t.view("envelopes").filter(F.col("source") == fx.GUARDDUTY).select(
-        "event_id", fx.guardduty_resource_arn(d).alias("resource_arn")
+    d = fx.parse_detail(F.col("detail"), "accountId", "region", "resource")
+    return t.view("envelopes").filter(F.col("source") == fx.GUARDDUTY).withColumn("_d", d).select(
+        "event_id", fx.guardduty_resource_arn(F.col("_d")).alias("resource_arn")
     )
 
 
@@ -123,7 +124,7 @@ def _(t):
 @query("source_ip", f"SELECT event_id, sourceipaddress FROM ({EVENT_SQL})", N)
 def _(t):
     return t.view("envelopes").select(
-        "event_id", fx.source_ip(fx.parse_detail(F.col("detail"))).alias("sourceipaddress")
+        "event_id", fx.source_ip(fx.parse_detail(F.col("detail"), "service")).alias("sourceipaddress")
     )
 
 

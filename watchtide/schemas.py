@@ -57,17 +57,21 @@ FOREST_NODES = "tree int, node int, feature int, threshold double, n_rows long"
 
 # Parts of a finding's JSON detail that any operator reads; one parse serves them all.
 # `severity` stays a variant: JSON null, text and number must be told apart.
-DETAIL = """
-  id string, finding_id string, type string, title string, description string,
-  severity variant, accountId string, region string, resource_arn string,
-  resource struct<
-    resourceType string,
-    instanceDetails struct<instanceId string>,
-    accessKeyDetails struct<userName string, userType string>,
-    s3BucketDetails array<struct<arn string>>>,
-  service struct<action struct<networkConnectionAction struct<remoteIpDetails struct<ipAddressV4 string>>>>,
-  findings array<struct<
-    Id string, Title string, Description string, AwsAccountId string, Region string,
-    Severity struct<Label string>, Workflow struct<Status string>, RecordState string,
-    Resources array<struct<Type string, Id string>>>>
-"""
+# Each operator parses only the parts it names.
+DETAIL_FIELDS = {
+    "id": "string",
+    "finding_id": "string",
+    "type": "string",
+    "title": "string",
+    "description": "string",
+    "severity": "variant",
+    "accountId": "string",
+    "region": "string",
+    "resource_arn": "string",
+    "resource": """struct<resourceType string, instanceDetails struct<instanceId string>,
+        accessKeyDetails struct<userName string, userType string>, s3BucketDetails array<struct<arn string>>>""",
+    "service": "struct<action struct<networkConnectionAction struct<remoteIpDetails struct<ipAddressV4 string>>>>",
+    "findings": """array<struct<Id string, Title string, Description string, AwsAccountId string, Region string,
+        Severity struct<Label string>, Workflow struct<Status string>, RecordState string,
+        Resources array<struct<Type string, Id string>>>>""",
+}
