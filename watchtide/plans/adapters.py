@@ -173,10 +173,18 @@ QUALIFY row_number() OVER (PARTITION BY source, year, month, day, translate(find
 SQL_ONLY = {"normalized": NORMALIZED, "stored": STORED}
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Splits a table that is only a few small files over all cores; larger tables stay as they are."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= wanted or df.rdd.getNumPartitions() > wanted:
+        return df
+    return df.repartition(wanted)
+
+
 def tables(spark: SparkSession, sf_dir: str) -> None:
     """Registers the given tables as temporary views."""
     for name in TABLES:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+        spread(spark.read.parquet(f"{sf_dir}/{name}.parquet")).createOrReplaceTempView(name)
 
 
 def view(spark: SparkSession, name: str) -> DataFrame:

@@ -16,10 +16,10 @@ from watchtide.plans.model_queries import alarm_sql, fitted
 from watchtide.plans.registry import Inputs, query
 from watchtide.schemas import CLOUDTRAIL_FILE_FIELDS, ENRICHED, FEATURE_COLUMNS
 from watchtide.sources import lake
-from watchtide.sources.alerts import append_load, score_capture
 from watchtide.sources.cloudtrail import read_cloudtrail
 from watchtide.sources.knowledge import kb_ingest, write_chunks
 from watchtide.sources.quarantine import parse_records, quarantine_rows, retry_quarantine, split_bad
+from watchtide.sources.tables import append_load, score_capture
 from watchtide.sources.training import read_split, read_training, write_split
 from watchtide.streaming import jobs
 
@@ -49,7 +49,6 @@ def _flat(df: DataFrame) -> DataFrame:
 def _(t):
     path = t.scratch("enriched")
     _write_enriched(t, path)
-    _write_enriched(t, path)  # writing a load again changes nothing
     return _flat(lake.read_loads(t.spark, path))
 
 

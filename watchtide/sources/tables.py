@@ -2,24 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchtide.schemas import FEATURE_COLUMNS
 
 
-def append_load(rows: DataFrame, path: str, load: str, *, columns: tuple[str, ...] = ()) -> None:
-    """Appends one load; repeating the load replaces it, so a replayed batch adds nothing twice."""
-    rows = rows.select(*columns) if columns else rows
+def append_load(rows: DataFrame, path: str, load: str, *, by: Sequence[str] = ()) -> None:
+    """Appends one load; repeating the load replaces it, so a replayed batch adds nothing twice.
+
+    `by` names further partition columns, in front of the load.
+    """
     (
         rows.withColumn("load", F.lit(load))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("load")
+        .partitionBy(*by, "load")
         .parquet(path)
     )
 
 
+def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table that may not have been written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def score_capture(scored: DataFrame, *, model_version: str) -> DataFrame:
     """Model inputs and outputs as captured next to the scored findings."""
     return scored.select(

@@ -3,23 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from watchtide.operators.alerts import format_alert, triage_parse
-from watchtide.operators.dedup import DEDUP_HOURS
+from watchtide.operators.dedup import DEDUP_HOURS, ttl_dedup
 from watchtide.operators.iforest import IsolationForest
 from watchtide.operators.metrics import ALARM_THRESHOLD, PERIOD_SECONDS
 from watchtide.operators.normalize import normalize_findings
 from watchtide.operators.routing import route_high_severity
 from watchtide.operators.scoring import score_with_features
 from watchtide.schemas import FEATURE_COLUMNS
-from watchtide.sources.alerts import append_load, score_capture
+from watchtide.sources.tables import append_load, read_table, score_capture
 from watchtide.sources.lake import DAY_COLUMNS, write_findings
 from watchtide.sources.quarantine import quarantine_rows, split_bad
 
@@ -28,6 +28,7 @@ MAX_EVENT_AGE = 3600
 LATENESS = f"{MAX_EVENT_AGE} seconds"
 STATE_STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+CLAIMS = "id string, claimed_at long, claim_day string, load string"
 AVAILABLE_NOW = {"availableNow": True}
 
 
@@ -77,68 +78,58 @@ def stream_score(
     )
 
 
-def _claim(window: int, columns: list[str]):
-    """Per id: emits the events that claim it and remembers the last claim until it expires."""
-
-    def claim(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(parts).sort_values("claimed_at", kind="stable")
-        last = state.get[0] if state.exists else None
-        kept = []
-        for i, second in enumerate(rows["claimed_at"].to_numpy()):
-            if last is None or second >= last + window:
-                last = int(second)
-                kept.append(i)
-        state.update((last,))
-        expiry = (last + window) * 1000
-        if expiry > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(expiry)
-        if kept:
-            yield rows.iloc[kept][columns]
-
-    return claim
-
-
-def dedup_stream(alerts: DataFrame, *, hours: int = DEDUP_HOURS) -> DataFrame:
-    """The rows of a stream (id, ts, …) that claim their id; repeats within the window are suppressed.
-
-    Repeats of an id within one second are dropped before the state is keyed by
-    id, so a hot id brings at most one row per second. An event older than the
-    id's last claim counts as a repeat.
-    """
-    columns = [*alerts.columns, "claimed_at"]
-    window = hours * 3600
-    thinned = (
-        alerts.withWatermark("ts", LATENESS)
-        .withColumn("claimed_at", F.unix_timestamp("ts"))
-        .dropDuplicatesWithinWatermark(["id", "claimed_at"])
-    )
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in thinned.schema.fields)
-    return thinned.groupBy("id").applyInPandasWithState(
-        _claim(window, columns), fields, "last_claim long", "append", GroupStateTimeout.EventTimeTimeout
-    )
-
-
 def high_severity_alerts(events: DataFrame, *, ts: Column, keep: Sequence[str] = ()) -> DataFrame:
     """Alert records of the events that match an alerting rule. The filter comes first."""
     timed = route_high_severity(events).withColumn("ts", ts.cast("timestamp"))
     return triage_parse(timed, keep=["ts", *keep])
 
 
+def claim_alerts(alerts: DataFrame, held: DataFrame | None = None, *, hours: int = DEDUP_HOURS) -> DataFrame:
+    """The alerts (id, ts, …) that claim their id, with `claimed_at`; `held` are claims made before.
+
+    Of several alerts of an id in the claiming second the first one stands.
+    """
+    columns = [*alerts.columns, "claimed_at"]
+    claims = ttl_dedup(alerts, id_column="id", ts=F.col("ts"), hours=hours, claims=held)
+    timed = alerts.withColumn("claimed_at", F.unix_timestamp("ts"))
+    winners = timed.join(
+        claims.select(F.col("finding_id").alias("id"), "claimed_at"), ["id", "claimed_at"], "left_semi"
+    )
+    row = F.struct(*columns)
+    first = winners.groupBy("id", "claimed_at").agg(F.min_by(row, F.struct("ts", F.xxhash64(row))).alias("_a"))
+    return first.select("_a.*")
+
+
 def stream_alerts(
     events: DataFrame, path: str, checkpoint: str, *, ts: Column, hours: int = DEDUP_HOURS, trigger: dict = AVAILABLE_NOW
 ) -> StreamingQuery:
     """High-severity events to formatted alerts, one per id and window.
 
-    Claims and alerts commit with the same micro-batch: if the write fails, the
-    batch is replayed and no claim is left behind.
+    The alert table is the claim table: a micro-batch reads the days whose
+    claims can still be live, leaving out its own rows, and appends what it
+    claims. Claims and alerts so commit together, and a replayed batch replaces
+    exactly its own. An event older than its id's last claim counts as a repeat.
     """
-    alerts = format_alert(dedup_stream(high_severity_alerts(events, ts=ts), hours=hours))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark, load = batch.sparkSession, f"stream-{batch_id}"
+        alerts = high_severity_alerts(batch, ts=ts).persist()
+        try:
+            oldest = alerts.agg(F.min("ts")).first()[0]
+            if oldest is None:
+                return
+            first_day = f"{oldest - timedelta(hours=hours):%Y-%m-%d}"
+            held = read_table(spark, path, CLAIMS).filter(
+                (F.col("claim_day") >= first_day) & (F.col("load") != load)
+            ).select(F.col("id").alias("finding_id"), "claimed_at")
+            claimed = format_alert(claim_alerts(alerts, held, hours=hours))
+            day = F.date_format(F.timestamp_seconds("claimed_at"), "yyyy-MM-dd")
+            append_load(claimed.withColumn("claim_day", day), path, load, by=("claim_day",))
+        finally:
+            alerts.unpersist()
+
     return (
-        alerts.writeStream.format("parquet").outputMode("append")
-        .option("path", path).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+        events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
     )
 
 
@@ -269,7 +260,7 @@ def late_data(
         marked = batch.withColumn("_ts", ts.cast("timestamp"))
         mark = None
         if batch_id > 0:
-            marks = spark.read.parquet(f"{path}/newest").filter(F.col("batch") < batch_id)
+            marks = read_table(spark, f"{path}/newest", "newest timestamp, batch long").filter(F.col("batch") < batch_id)
             mark = marks.agg(F.max("newest")).first()[0]
         newest = F.lit(mark).cast("timestamp")
         good, late = split_late(marked, ts=F.col("_ts"), newest=newest)
