@@ -87,7 +87,13 @@ def severity_label(score: Column) -> Column:
 def python_text(severity: Column) -> Column:
     """Text of a JSON scalar where null, true and false carry Python's spelling; null when absent."""
     kind, text = severity["kind"], severity["text"]
-    return F.when(kind == "VOID", "None").when(kind == "BOOLEAN", F.initcap(text)).otherwise(text)
+    fraction = kind.startswith("DECIMAL") | (kind == "DOUBLE")
+    return (
+        F.when(kind == "VOID", "None")
+        .when(kind == "BOOLEAN", F.initcap(text))
+        .when(fraction, text.try_cast("double").cast("string"))
+        .otherwise(text)
+    )
 
 
 def guardduty_resource_arn(detail: Column) -> Column:

@@ -42,18 +42,21 @@ def grouped_percentiles(
     if hot.isEmpty():
         return rows.groupBy(*keys).agg(*aggregates, *plain)
 
-    keyed = lambda a, b: [a[k].eqNullSafe(b[k]) for k in keys]
-    tagged = rows.withColumn("_g", F.xxhash64(*keys))
-    hot_ids = hot.select(F.xxhash64(*keys).alias("_g")).distinct()
-    cold = tagged.join(F.broadcast(hot_ids) if hot.count() <= 100_000 else hot_ids, "_g", "left_anti")
-    small = cold.groupBy(*keys).agg(*aggregates, *plain)
-
-    # A hash clash only sends a small group down the hot path, which is exact for it too:
-    # groups up to ACCURACY rows keep all their values inside the bracket.
-    warm = tagged.join(F.broadcast(hot_ids) if hot.count() <= 100_000 else hot_ids, "_g", "left_semi")
+    # Keys travel as one struct: struct comparison treats null fields as equal, so null groups join too.
+    tagged = rows.select(F.struct(*keys).alias("_k"), *[c for c in rows.columns if c not in keys])
+    hot = hot.select(F.struct(*keys).alias("_k"))
+    spilled = [f"_k.{k}" for k in keys]
+    small = (
+        join_checked(tagged, hot, ["_k"], "left_anti")
+        .groupBy("_k")
+        .agg(*aggregates, *plain)
+        .select(*spilled, "*")
+        .drop("_k")
+    )
+    warm = join_checked(tagged, hot, ["_k"], "left_semi")
     names = list(percentiles)
     sketch = materialize(
-        warm.groupBy(*keys).agg(
+        warm.groupBy("_k").agg(
             *aggregates,
             F.count(F.lit(1)).alias("_n"),
             F.min(value).alias("_min"),
@@ -61,23 +64,26 @@ def grouped_percentiles(
             *[_bracket(value, percentiles[name]).alias(f"_b_{name}") for name in names],
         )
     )
+    # Up to ACCURACY rows a group keeps all its values inside the bracket.
+    few = F.col("_n") <= ACCURACY
     cuts = sketch.select(
-        *keys,
-        F.explode(F.array(*[
+        "_k",
+        F.array(*[
             F.struct(
                 F.lit(name).alias("_name"),
-                F.when(F.col("_n") <= ACCURACY, F.col("_min")).otherwise(F.col(f"_b_{name}")[0]).alias("_lo"),
-                F.when(F.col("_n") <= ACCURACY, F.col("_max")).otherwise(F.col(f"_b_{name}")[1]).alias("_hi"),
+                F.when(few, F.col("_min")).otherwise(F.col(f"_b_{name}")[0]).alias("_lo"),
+                F.when(few, F.col("_max")).otherwise(F.col(f"_b_{name}")[1]).alias("_hi"),
                 ((F.col("_n") - 1) * F.lit(percentiles[name])).alias("_rank"),
             )
             for name in names
-        ])).alias("_cut"),
-    ).select(*keys, "_cut.*")
-    per_group = cuts.groupBy(*keys).agg(F.collect_list(F.struct("_name", "_lo", "_hi", "_rank")).alias("_cuts"))
-    placed = join_checked(warm, per_group, list(keys), "inner").select(
-        *keys, value, F.explode("_cuts").alias("_cut")
-    ).select(*keys, value, "_cut.*")
-    group = [*keys, "_name", "_rank"]
+        ]).alias("_cuts"),
+    )
+    placed = (
+        join_checked(warm, cuts, ["_k"], "inner")
+        .select("_k", value, F.explode("_cuts").alias("_cut"))
+        .select("_k", value, "_cut.*")
+    )
+    group = ["_k", "_name", "_rank"]
     below = placed.filter(F.col(value) < F.col("_lo")).groupBy(*group).agg(F.count(F.lit(1)).alias("_below"))
     inside = (
         placed.filter(F.col(value).between(F.col("_lo"), F.col("_hi")))
@@ -87,24 +93,21 @@ def grouped_percentiles(
     )
     upto = Window.partitionBy(*group).orderBy(value)
     ranked = inside.withColumn("_end", F.coalesce("_below", F.lit(0)) + F.sum("_c").over(upto))
-    at = lambda rank: F.max(
-        F.when((F.col("_end") > rank) & (F.col("_end") - F.col("_c") <= rank), F.col(value))
-    )
-    low, high = F.floor("_rank"), F.ceil("_rank")
+
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_end") > rank) & (F.col("_end") - F.col("_c") <= rank), F.col(value)))
+
+    low, high = F.col("_low"), F.col("_high")
     exact = (
         ranked.groupBy(*group)
-        .agg(at(low).alias("_low"), at(high).alias("_high"))
-        .withColumn("_p", F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_rank") - F.floor("_rank")))
-        .groupBy(*keys)
+        .agg(value_at(F.floor("_rank")).alias("_low"), value_at(F.ceil("_rank")).alias("_high"))
+        .withColumn("_p", low + (high - low) * (F.col("_rank") - F.floor("_rank")))
+        .groupBy("_k")
         .pivot("_name", names)
         .agg(F.first("_p"))
     )
     kept = [c for c in sketch.columns if not c.startswith("_")]
-    large = (
-        sketch.select(*kept).alias("s")
-        .join(exact.alias("e"), keyed(sketch, exact), "inner")
-        .select(*[F.col(f"s.{c}") for c in kept], *[F.col(f"e.{n}") for n in names])
-    )
+    large = sketch.select("_k", *kept).join(exact, "_k").select(*spilled, *kept, *names)
     return small.unionByName(large)
 
 
