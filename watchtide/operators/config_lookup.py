@@ -44,20 +44,24 @@ def resource_config_lookup(
     three per resource before the joins, so each request meets one row per side.
     """
     cleaned, tail, error = id_candidates(F.col("resource_id"))
+    # Rows without a usable key get one of their own that matches nothing ('#' is no id
+    # character), so they spread out instead of meeting in one task.
+    own = F.concat(F.lit("#"), F.col(request_key).cast("string"))
     asked = requests.select(
-        request_key, F.col("resource_id").alias("requested"), cleaned.alias("_id"), tail.alias("_tail"), error.alias("error")
+        request_key,
+        F.col("resource_id").alias("requested"),
+        error.alias("error"),
+        F.when(error.isNull(), cleaned).otherwise(own).alias("_id"),
+        F.coalesce(F.when(error.isNull(), tail), own).alias("_tail"),
     )
     found = (
         latest_config(items, tie=tie)
         .groupBy("resource_id")
         .agg(F.array_sort(F.collect_list(F.struct("position", *ITEM_COLUMNS))).alias("_items"))
     )
-    valid = F.col("error").isNull()
-    by_id = found.select(F.col("resource_id").alias("_k1"), F.col("_items").alias("_direct"))
-    by_tail = found.select(F.col("resource_id").alias("_k2"), F.col("_items").alias("_by_tail"))
-    matched = asked.join(by_id, (F.col("_id") == F.col("_k1")) & valid, "left").join(
-        by_tail, (F.col("_tail") == F.col("_k2")) & valid, "left"
-    )
+    by_id = found.select(F.col("resource_id").alias("_id"), F.col("_items").alias("_direct"))
+    by_tail = found.select(F.col("resource_id").alias("_tail"), F.col("_items").alias("_by_tail"))
+    matched = asked.join(by_id, "_id", "left").join(by_tail, "_tail", "left")
     return matched.select(
         request_key, "requested", "error", F.explode_outer(F.coalesce("_direct", "_by_tail")).alias("_item")
     ).select(request_key, "requested", "error", "_item.*")

@@ -46,10 +46,9 @@ def rarity_lookup(
 ) -> DataFrame:
     """Adds the rarity columns from a table of category counts; null or unseen gives 1.
 
-    The counts are written once and measured per category; those that fit are
-    broadcast, so the events do not move.
+    `counts` is a written table (see `materialize`). It is measured per category;
+    categories that fit are broadcast, so the events do not move.
     """
-    counts = materialize(counts)
     sizes = dict(
         counts.groupBy("category").agg(F.sum(F.octet_length("value") + F.lit(ROW_BYTES))).collect()
     )
@@ -115,5 +114,5 @@ def extract_features(
     if rarity == "single":
         base = _single_event_rarity(base)
     else:
-        base = rarity_lookup(base, category_counts(events) if counts is None else counts)
+        base = rarity_lookup(base, materialize(category_counts(events)) if rarity == "batch" else counts)
     return base.select(*keep, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in FEATURE_COLUMNS])

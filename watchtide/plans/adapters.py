@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = ("events", "documents", "embeddings", "conversations", "benchmark", "orders")
 AS_OF = "2024-01-31 00:00:00"  # the day after the last event
 
 CLOUDTRAIL = """
@@ -130,6 +129,9 @@ VIEWS = {
     "chunk_table": CHUNK_TABLE,
 }
 
+# Tables behind a view; all others read `events`.
+VIEW_TABLES = {"turns": ("conversations",), "chunk_table": ("documents", "embeddings")}
+
 # Canonical findings as the checking engine computes them from `envelopes`.
 NORMALIZED = """
 SELECT event_id, event_ts,
@@ -181,13 +183,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(wanted)
 
 
-def tables(spark: SparkSession, sf_dir: str) -> None:
-    """Registers the given tables as temporary views."""
-    for name in TABLES:
-        spread(spark.read.parquet(f"{sf_dir}/{name}.parquet")).createOrReplaceTempView(name)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def view(spark: SparkSession, name: str) -> DataFrame:
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A view over the given tables; only those it reads are opened."""
+    for source in VIEW_TABLES.get(name, ("events",)):
+        table(spark, sf_dir, source).createOrReplaceTempView(source)
     return spark.sql(VIEWS[name])
 
 

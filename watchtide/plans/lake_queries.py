@@ -72,7 +72,7 @@ def _(t):
     path, mirror = t.scratch("enriched"), t.scratch("mirror")
     _write_enriched(t, path)
     lake.mirror_days(t.spark, path, mirror)
-    return _flat(lake.read_findings(t.spark, mirror, fmt="parquet"))
+    return _flat(lake.read_mirror(t.spark, mirror))
 
 
 @query("stream_enriched", "SELECT source, count(*) AS findings FROM stored GROUP BY 1", STORED)

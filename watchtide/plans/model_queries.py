@@ -17,6 +17,7 @@ from watchtide.operators.summary import evaluation_report, training_distribution
 from watchtide.plans.adapters import AS_OF
 from watchtide.plans.registry import Inputs, query
 from watchtide.schemas import FEATURE_COLUMNS
+from watchtide.session import materialize
 from watchtide.sources.registry import approve_model, approvals, gate, keep_latest_models, model_states, register
 
 C = ("cloudtrail",)
@@ -58,7 +59,7 @@ def _register_feature(name: str) -> None:
         trail = t.view("cloudtrail")
         if name in RARITY_SOURCES:
             column = RARITY_SOURCES[name]
-            rows = rarity_lookup(trail.select("event_id", column), category_counts(trail, [column]), [name])
+            rows = rarity_lookup(trail.select("event_id", column), materialize(category_counts(trail, [column])), [name])
         else:
             rows = trail.withColumn(name, plain_features(F.col("event_ts"))[name])
         return _round_features(rows.select("event_id", name), (name,))
@@ -98,7 +99,7 @@ def _(t):
 )
 def _(t):
     trail = t.view("cloudtrail")
-    rows = rarity_lookup(trail.select("event_id", *RARITY_SOURCES.values()), category_counts(trail))
+    rows = rarity_lookup(trail.select("event_id", *RARITY_SOURCES.values()), materialize(category_counts(trail)))
     return _round_features(rows.select("event_id", *RARITY_SOURCES), tuple(RARITY_SOURCES))
 
 
@@ -127,7 +128,7 @@ def _(t):
 def fitted(t: Inputs) -> tuple[IsolationForest, DataFrame, DataFrame]:
     """(model, train features, validation features) with rarity counted on the training rows."""
     train, validation = train_val_split(t.view("cloudtrail"), key="event_id")
-    counts = category_counts(train)
+    counts = materialize(category_counts(train))
     made = [
         extract_features(rows, keep=["event_id"], ts=F.col("event_ts"), rarity="baseline", counts=counts)
         for rows in (train, validation)

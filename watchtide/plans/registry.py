@@ -19,17 +19,17 @@ class Inputs:
     sf_dir: str
 
     def view(self, name: str) -> DataFrame:
-        return adapters.view(self.spark, name)
+        return adapters.view(self.spark, self.sf_dir, name)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.table(name)
+        return adapters.table(self.spark, self.sf_dir, name)
 
     def scratch(self, label: str) -> str:
         return scratch_path(self.spark, label)
 
     def stream(self, name: str) -> DataFrame:
         """A view over the events table read as a stream."""
-        schema = self.table("events").schema
+        schema = self.spark.read.parquet(f"{self.sf_dir}/events.parquet").schema
         source = self.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(self.sf_dir)
         source.createOrReplaceTempView("events_stream")
         return self.spark.sql(adapters.VIEWS[name].replace("FROM events", "FROM events_stream"))
@@ -44,8 +44,7 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
 
     def add(build: Callable[[Inputs], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            adapters.tables(use_utc(spark), sf_dir)
-            return build(Inputs(spark, sf_dir))
+            return build(Inputs(use_utc(spark), sf_dir))
 
         if name in QUERIES:
             raise ValueError(f"query {name!r} is registered twice")

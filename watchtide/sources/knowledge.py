@@ -9,8 +9,8 @@ from watchtide.operators.retrieval import chunk_fixed
 
 
 def kb_source_overlap(enriched: DataFrame, scored: DataFrame) -> DataFrame:
-    """Enriched findings that have no scored row yet."""
-    return enriched.join(scored.select("finding_id"), "finding_id", "left_anti")
+    """Enriched findings that have no scored row yet. Scored ids are made distinct first, so an id scored often moves once per task."""
+    return enriched.join(scored.select("finding_id").distinct(), "finding_id", "left_anti")
 
 
 def kb_ingest(enriched: DataFrame, scored: DataFrame) -> DataFrame:

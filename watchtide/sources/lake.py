@@ -78,6 +78,12 @@ def read_scored(spark: SparkSession, path: str, **options) -> DataFrame:
     return read_findings(spark, path, schema=SCORED, **options)
 
 
+def read_mirror(spark: SparkSession, mirror: str, *, schema: T.StructType = ENRICHED, **options) -> DataFrame:
+    """Findings in a columnar mirror. Its rows are unique already: a plain scan with pushed filters, no shuffle."""
+    rows = read_loads(spark, mirror, schema=schema, fmt="parquet", **options)
+    return rows.select(*[f.name for f in schema.fields], *DAY_COLUMNS)
+
+
 def read_objects(
     spark: SparkSession, path: str, *, schema: T.StructType = ENRICHED,
     sources: Sequence[str] | None = None, start: date | None = None, end: date | None = None,
@@ -133,7 +139,7 @@ def mirror_days(
     rows = read_findings(spark, path, schema=schema, start=start, end=end)
     (
         rows.withColumn("load", F.lit("mirror"))
-        .repartitionByRange("source", *DAY_COLUMNS, "finding_id")
+        .hint("rebalance", "source", *DAY_COLUMNS)
         .sortWithinPartitions("source", *DAY_COLUMNS, "severity", "finding_id")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
