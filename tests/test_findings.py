@@ -239,7 +239,7 @@ def test_feature_modes(spark):
 
 @pytest.mark.parametrize("ip,zero", [("1.2.3", True), ("a.b.c.d", True), (None, True), ("300.0.0.0", False), (" 1.2.3.4", False)])
 def test_ip_variance(spark, ip, zero):
-    got = spark.createDataFrame([(ip,)], "ip string").select(feat.ip_octet_variance(F.col("ip"))).first()[0]
+    got = spark.createDataFrame([(ip,)], "ip string").select(feat.ip_octet_variance(feat.octets(F.col("ip")))).first()[0]
     assert (got == 0.0) == zero
 
 

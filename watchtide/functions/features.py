@@ -38,12 +38,12 @@ def identity_type(user_identity: Column) -> Column:
     return F.lower(F.get_json_object(user_identity, "$.type"))
 
 
-def is_root_user(user_identity: Column) -> Column:
-    return _flag(identity_type(user_identity) == "root")
+def is_root_user(identity: Column) -> Column:
+    return _flag(identity == "root")
 
 
-def is_assumed_role(user_identity: Column) -> Column:
-    return _flag(identity_type(user_identity) == "assumedrole")
+def is_assumed_role(identity: Column) -> Column:
+    return _flag(identity == "assumedrole")
 
 
 def is_error_response(error_code: Column) -> Column:
@@ -62,11 +62,14 @@ def rarity(count: Column, top_count: Column) -> Column:
     return F.coalesce(F.lit(1.0) - count / top_count, F.lit(1.0))
 
 
-def ip_octet_variance(ip: Column) -> Column:
-    """Population variance of the four numbers of a dotted address, scaled; 0 for anything else."""
-    numbers = F.transform(F.split(ip, r"\."), lambda part: F.trim(part).try_cast("bigint").cast("double"))
-    usable = (F.size(numbers) == 4) & ~F.exists(numbers, lambda n: n.isNull())
-    total = lambda values: F.aggregate(values, F.lit(0.0), lambda acc, n: acc + n)
-    mean = total(numbers) / 4.0
-    spread = F.aggregate(numbers, F.lit(0.0), lambda acc, n: acc + (n - mean) * (n - mean)) / 4.0
-    return F.when(usable, spread / VARIANCE_SCALE).otherwise(0.0)
+def octets(ip: Column) -> Column:
+    """The whole numbers between the dots of an address; null where a part is none."""
+    return F.split(ip, r"\.").try_cast("array<bigint>")
+
+
+def ip_octet_variance(numbers: Column) -> Column:
+    """Population variance of the four octets, scaled; 0 when there are not four whole numbers."""
+    parts = [F.get(numbers, F.lit(i)).cast("double") for i in range(4)]
+    mean = (parts[0] + parts[1] + parts[2] + parts[3]) / 4.0
+    a, b, c, d = [(p - mean) * (p - mean) for p in parts]
+    return F.when(F.size(numbers) == 4, F.coalesce((a + b + c + d) / 4.0 / VARIANCE_SCALE, F.lit(0.0))).otherwise(0.0)

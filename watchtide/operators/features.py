@@ -74,18 +74,30 @@ def _single_event_rarity(events: DataFrame) -> DataFrame:
     )
 
 
-def plain_features(ts: Column) -> dict[str, Column]:
-    """The nine features that need one row only."""
+def with_parts(events: DataFrame, ts: Column) -> DataFrame:
+    """Adds `_ts`, `_identity` and `_octets`, each parsed once for the features that read it."""
+    return events.withColumns(
+        {
+            "_ts": ts,
+            "_identity": feat.identity_type(F.col("useridentity")),
+            "_octets": feat.octets(F.col("sourceipaddress")),
+        }
+    )
+
+
+def plain_features() -> dict[str, Column]:
+    """The nine features that need one row only, over the columns of `with_parts`."""
+    ts, identity = F.col("_ts"), F.col("_identity")
     return {
         "hour_of_day": feat.hour_of_day(ts),
         "day_of_week": feat.day_of_week(ts),
         "is_weekend": feat.is_weekend(ts),
         "is_business_hours": feat.is_business_hours(ts),
-        "is_root_user": feat.is_root_user(F.col("useridentity")),
-        "is_assumed_role": feat.is_assumed_role(F.col("useridentity")),
+        "is_root_user": feat.is_root_user(identity),
+        "is_assumed_role": feat.is_assumed_role(identity),
         "is_error_response": feat.is_error_response(F.col("errorcode")),
         "is_console_action": feat.is_console_action(F.col("eventname")),
-        "ip_octet_variance": feat.ip_octet_variance(F.col("sourceipaddress")),
+        "ip_octet_variance": feat.ip_octet_variance(F.col("_octets")),
     }
 
 
@@ -109,8 +121,7 @@ def extract_features(
         raise ValueError("rarity='baseline' needs the counts saved with the model")
     needed = list(dict.fromkeys([*keep, *RARITY_SOURCES.values()]))
     at = F.try_to_timestamp(F.col("eventtime")) if ts is None else ts
-    base = events.withColumn("_ts", at)
-    base = base.select(*needed, *[c.alias(n) for n, c in plain_features(F.col("_ts")).items()])
+    base = with_parts(events, at).select(*needed, *[c.alias(n) for n, c in plain_features().items()])
     if rarity == "single":
         base = _single_event_rarity(base)
     else:

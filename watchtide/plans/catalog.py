@@ -10,12 +10,12 @@ from watchtide.operators.query import query_findings
 from watchtide.operators.scoring import score_findings
 from watchtide.plans import finding_queries, lake_queries, model_queries, search_queries  # noqa: F401
 from watchtide.plans.registry import QUERIES, SQL, Inputs  # noqa: F401
-from watchtide.session import use_utc
+from watchtide.session import prepare
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw envelopes to findings, a forest fitted on audit events, scores, and the structured query."""
-    t = Inputs(use_utc(spark), sf_dir)
+    t = Inputs(prepare(spark), sf_dir)
     model, _train, _validation = model_queries.fitted(t)
     findings = normalize_findings(t.view("envelopes"), enriched_at=F.col("event_ts"))
     scored = score_findings(findings, model)

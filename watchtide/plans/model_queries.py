@@ -7,7 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchtide.operators.features import RARITY_SOURCES, category_counts, extract_features, plain_features, rarity_lookup
+from watchtide.operators.features import RARITY_SOURCES, category_counts, extract_features, plain_features, rarity_lookup, with_parts
 from watchtide.operators.iforest import IsolationForest, iforest_fit
 from watchtide.operators.metrics import alarm_states, api_status_rollup, budget_eval, metric_rollup, window_sums
 from watchtide.operators.normalize import normalize_findings
@@ -61,7 +61,7 @@ def _register_feature(name: str) -> None:
             column = RARITY_SOURCES[name]
             rows = rarity_lookup(trail.select("event_id", column), materialize(category_counts(trail, [column])), [name])
         else:
-            rows = trail.withColumn(name, plain_features(F.col("event_ts"))[name])
+            rows = with_parts(trail, F.col("event_ts")).withColumn(name, plain_features()[name])
         return _round_features(rows.select("event_id", name), (name,))
 
 

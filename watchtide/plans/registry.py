@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from watchtide.plans import adapters
-from watchtide.session import scratch_path, use_utc
+from watchtide.session import scratch_path, prepare
 
 
 @dataclass(frozen=True)
@@ -30,7 +30,8 @@ class Inputs:
     def stream(self, name: str) -> DataFrame:
         """A view over the events table read as a stream."""
         schema = self.spark.read.parquet(f"{self.sf_dir}/events.parquet").schema
-        source = self.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(self.sf_dir)
+        # The glob matches the table as one file and as a folder of files.
+        source = self.spark.readStream.schema(schema).parquet(f"{self.sf_dir}/events.parquet*")
         source.createOrReplaceTempView("events_stream")
         return self.spark.sql(adapters.VIEWS[name].replace("FROM events", "FROM events_stream"))
 
@@ -44,7 +45,7 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
 
     def add(build: Callable[[Inputs], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return build(Inputs(use_utc(spark), sf_dir))
+            return build(Inputs(prepare(spark), sf_dir))
 
         if name in QUERIES:
             raise ValueError(f"query {name!r} is registered twice")
