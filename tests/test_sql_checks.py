@@ -11,7 +11,6 @@ from tests.conftest import SMALL
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
-NO_ROWS_AT_THIS_SIZE = {"vector_topk_approx"}
 
 
 @pytest.fixture(scope="module")
