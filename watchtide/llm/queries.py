@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from watchtide.llm.piece_codec import piece_digests
+from watchtide.llm.simhash_vptree import simhash_components
 from watchtide.llm.texts import prepare_texts
 from watchtide.llm.token_counts import count_tokens
 
@@ -30,6 +31,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op3_simhash_neardup")
+def op3_simhash_neardup(spark, table):
+    return simhash_components(table("documents").select("doc_id", "text"))
+
+
 @query("op4_token_counts")
 def op4_token_counts(spark, table):
     found = count_tokens(table("documents").select("doc_id", "text"))
