@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from watchtide.llm.language_id import language_query
+from watchtide.llm.pairwise_quality import quality_query
 from watchtide.llm.piece_codec import piece_digests
 from watchtide.llm.simhash_vptree import simhash_components
 from watchtide.llm.texts import prepare_texts
 from watchtide.llm.token_counts import count_tokens
+from watchtide.llm.toxic_segments import toxicity_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,6 +34,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_language_id")
+def op1_language_id(spark, table):
+    return language_query(table("documents"))
+
+
 @query("op3_simhash_neardup")
 def op3_simhash_neardup(spark, table):
     return simhash_components(table("documents").select("doc_id", "text"))
@@ -42,7 +50,17 @@ def op4_token_counts(spark, table):
     return found.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+@query("op6_toxic_segments")
+def op6_toxic_segments(spark, table):
+    return toxicity_query(table("documents"), table("labels"))
+
+
 @query("op8_piece_codec")
 def op8_piece_codec(spark, table):
     found = piece_digests(table("documents").select("doc_id", "text"))
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query("op9_pairwise_quality")
+def op9_pairwise_quality(spark, table):
+    return quality_query(table("documents"), table("labels"))
