@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from watchtide.llm.cross_polytope import similar_vectors
 from watchtide.llm.language_id import language_query
 from watchtide.llm.pairwise_quality import quality_query
 from watchtide.llm.piece_codec import piece_digests
@@ -13,6 +15,7 @@ from watchtide.llm.simhash_vptree import simhash_components
 from watchtide.llm.texts import prepare_texts
 from watchtide.llm.token_counts import count_tokens
 from watchtide.llm.toxic_segments import toxicity_query
+from watchtide.llm.vptree_search import nearest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -50,6 +53,11 @@ def op4_token_counts(spark, table):
     return found.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+@query("op5_cross_polytope")
+def op5_cross_polytope(spark, table):
+    return similar_vectors(table("embeddings"))
+
+
 @query("op6_toxic_segments")
 def op6_toxic_segments(spark, table):
     return toxicity_query(table("documents"), table("labels"))
@@ -64,3 +72,8 @@ def op8_piece_codec(spark, table):
 @query("op9_pairwise_quality")
 def op9_pairwise_quality(spark, table):
     return quality_query(table("documents"), table("labels"))
+
+
+@query("op10_vptree_search")
+def op10_vptree_search(spark, table):
+    return nearest(table("embeddings"), F.col("vec_id") % 100 == 0)
