@@ -77,7 +77,7 @@ class VantageTree:
     def __init__(self, sample: np.ndarray, leaves: int, seed: int = SEED):
         self.nodes: list[tuple] = []  # (point, radius, inner, outer), or (None, leaf number)
         self.leaves = 0
-        self._grow(np.unique(sample), leaves, np.random.default_rng(seed))
+        self._grow(sample, leaves, np.random.default_rng(seed))
 
     def _grow(self, points: np.ndarray, leaves: int, rng) -> int:
         at = len(self.nodes)
@@ -199,24 +199,40 @@ def fingerprint_table(docs: DataFrame, id_col: str, text: str, k: int) -> DataFr
     return with_text_columns(narrow, "_text", run, "print_id: bigint").drop("_text")
 
 
-def exact_links(prints: DataFrame, reach: int) -> DataFrame:
-    """Links among distinct `print_id` that differ in at most `reach` bits, none missed."""
+def block_masks(blocks: int) -> list[np.uint64]:
+    """The 64 bits in runs of about equal length."""
+    edges = [64 * b // blocks for b in range(blocks + 1)]
+    return [np.uint64((1 << hi) - (1 << lo)) for lo, hi in zip(edges, edges[1:])]
+
+
+def exact_links(prints: DataFrame, reach: int, blocks: int | None = None) -> DataFrame:
+    """Links among distinct `print_id` that differ in at most `reach` bits, none missed.
+
+    Each of `blocks` runs of bits has a tree of its own that deals fingerprints into shards by their distances on
+    these bits. Of two linked fingerprints some block differs in at most reach // blocks bits, so only shards
+    within that distance of a boundary overlap there; by default blocks are so many that this is 0, and every
+    fingerprint lies in one shard per block. (One block overlaps within the whole reach: exact too, but with
+    copies that multiply by about 1.5 on each level.) Within a shard all bits count.
+    """
+    blocks = blocks or reach + 1
     n = prints.count()
     leaves = min(MOST_LEAVES, max(1, math.ceil(n / (LEAF_ROWS // 2))))
     part = min(1.0, SAMPLE / max(n, 1))
     drawn = prints.filter(F.pmod(F.xxhash64("print_id", F.lit("vantage")), F.lit(1 << 30)) < int(part * (1 << 30)))
     sample = np.array([r[0] for r in drawn.limit(2 * SAMPLE).collect()], np.int64).view(np.uint64)
-    tree = VantageTree(sample, leaves)
+    trees = [(mask, VantageTree(sample & mask, leaves)) for mask in block_masks(blocks)]
 
     def route(batches):
         for batch in batches:
             points = batch["print_id"].to_numpy().view(np.uint64)
-            shards = tree.route(points, reach)
-            yield pd.DataFrame({
-                "print_id": np.repeat(batch["print_id"].to_numpy(), [len(s) for s in shards]),
-                "shard": np.concatenate([np.array(s, np.int32) for s in shards]) if shards else np.zeros(0, np.int32),
-                "bits": [p for p, s in zip(map(np.uint64.tobytes, points), shards) for _ in s],
-            })
+            for b, (mask, tree) in enumerate(trees):
+                shards = tree.route(points & mask, reach // blocks)
+                times = [len(s) for s in shards]
+                yield pd.DataFrame({
+                    "print_id": np.repeat(batch["print_id"].to_numpy(), times),
+                    "shard": np.array([b * MOST_LEAVES + leaf for s in shards for leaf in s], np.int32),
+                    "bits": [p for p, n in zip(map(np.uint64.tobytes, points), times) for _ in range(n)],
+                })
 
     sharded = prints.mapInPandas(route, "print_id bigint, shard int, bits binary")
     return linked_prints(sharded, ["shard"], reach)
@@ -230,12 +246,9 @@ def simhash_components(
     Fingerprints link at `max_bits` or fewer differing bits; a component is named by the smallest id reachable.
     Null and empty texts and texts without a word have fingerprint zero and link like any other. Equal
     fingerprints are one node, so groups of copies cost one row. Repeated rows stay; a row without an id takes
-    part, gives null as its id, and never names a component while the component has an id. The tree is planted
-    from at most about SAMPLE fingerprints; every fingerprint is then routed through it. Pruning needs a reach
-    well below the spread of distances (4 bits of 64): up to 4 bits is accepted here.
+    part, gives null as its id, and never names a component while the component has an id. Trees are planted from
+    at most about SAMPLE fingerprints; every fingerprint is then routed through them.
     """
-    if not 0 <= max_bits <= 4:
-        raise ValueError("the tree prunes nothing beyond 4 bits; see similar_components")
     prints = materialize(fingerprint_table(docs, id_col, text, k))
     nodes = materialize(prints.groupBy("print_id").agg(F.min("doc_id").alias("first_id")))
     links = exact_links(nodes.select("print_id"), max_bits)
