@@ -11,6 +11,7 @@ from watchtide.llm.cross_polytope import similar_vectors
 from watchtide.llm.language_id import language_query
 from watchtide.llm.pairwise_quality import quality_query
 from watchtide.llm.piece_codec import piece_digests
+from watchtide.llm.sentence_spans import ORACLE, remove_repeats
 from watchtide.llm.simhash_vptree import simhash_components
 from watchtide.llm.texts import prepare_texts
 from watchtide.llm.token_counts import count_tokens
@@ -63,6 +64,12 @@ def op6_toxic_segments(spark, table):
     return toxicity_query(table("documents"), table("labels"))
 
 
+@query("op7_sentence_spans", sql=ORACLE)
+def op7_sentence_spans(spark, table):
+    found = remove_repeats(table("documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_sentences", "n_removed", "text")
+
+
 @query("op8_piece_codec")
 def op8_piece_codec(spark, table):
     found = piece_digests(table("documents").select("doc_id", "text"))
