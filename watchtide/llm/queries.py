@@ -13,6 +13,7 @@ from watchtide.llm.pairwise_quality import quality_query
 from watchtide.llm.piece_codec import piece_digests
 from watchtide.llm.sentence_spans import ORACLE, remove_repeats
 from watchtide.llm.simhash_vptree import simhash_components
+from watchtide.llm.source_mixing import mix_sources, oracle
 from watchtide.llm.texts import prepare_texts
 from watchtide.llm.token_counts import count_tokens
 from watchtide.llm.toxic_segments import toxicity_query
@@ -43,6 +44,15 @@ def op1_language_id(spark, table):
     return language_query(table("documents"))
 
 
+@query("op2_source_mixing", sql=oracle())
+def op2_source_mixing(spark, table):
+    found = mix_sources(table("documents").select("doc_id", "text", "source", "lang"))
+    return found.select(
+        "doc_id", "source", "lang", "topic", "tokens",
+        F.round("weight", 6).alias("weight"), F.round("p", 6).alias("p"), "sampled",
+    )
+
+
 @query("op3_simhash_neardup")
 def op3_simhash_neardup(spark, table):
     return simhash_components(table("documents").select("doc_id", "text"))

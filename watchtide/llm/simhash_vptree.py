@@ -275,13 +275,14 @@ def bits_apart(similarity: float, bits: int) -> int:
 def similar_components(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8
 ) -> DataFrame:
-    """(`doc_id`, `component_id`) where texts link at an estimated similarity of their k-word shingles.
+    """(`doc_id`, `row_key`, `component_id`) where texts link at an estimated similarity of their k-word shingles.
 
     A similarity of 0.8 moves about 15 bits in 100, and distances of unrelated fingerprints spread too little for
     any triangle bound to prune at that reach. So this search draws WIDE_TABLES keys of WIDE_KEY_BITS bits from a
     512-bit SimHash, and compares whole fingerprints within equal keys: a pair at 0.8 meets with probability 0.96,
     one at 0.85 with 0.99, one at 0.9 with 0.999. The estimate has a standard error of about 0.04 at 0.8.
-    Nulls, empty texts, repeated rows and missing ids are treated as in `simhash_components`.
+    Nulls, empty texts, repeated rows and missing ids are treated as in `simhash_components`; `row_key` is the
+    xxhash64 of id and text.
     """
     rng = np.random.default_rng(SEED)
     chosen = np.stack([rng.permutation(64 * WIDE_WORDS)[:WIDE_KEY_BITS] for _ in range(WIDE_TABLES)])
@@ -290,7 +291,7 @@ def similar_components(
     def prints_of(texts: list[str | None]) -> dict:
         return {"bits": [fingerprint(t, k, WIDE_WORDS).tobytes() for t in texts]}
 
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("_text"))
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text).alias("row_key"), F.col(text).alias("_text"))
     prints = with_text_columns(narrow, "_text", prints_of, "bits: binary").drop("_text")
     prints = materialize(prints.withColumn("print_id", F.xxhash64("bits")))
     nodes = materialize(prints.groupBy("print_id", "bits").agg(F.min("doc_id").alias("first_id")))
@@ -311,7 +312,7 @@ def similar_components(
     cells = pair_cells(sharded, ["shard"], F.col("print_id"), LEAF_ROWS)
     cells = cells.withColumn("_group", F.expr(f"shard div {together}"))
     links = cells.groupBy("_group", "cell_a", "cell_b").applyInPandas(_link_keys(reach), "a bigint, b bigint").distinct()
-    return _named(prints, nodes.select("print_id", "first_id"), links).select("doc_id", "component_id")
+    return _named(prints, nodes.select("print_id", "first_id"), links).select("doc_id", "row_key", "component_id")
 
 
 def _link_keys(reach: int):
@@ -340,3 +341,16 @@ def _link_keys(reach: int):
         return pd.DataFrame({"a": ids[i], "b": ids[j]})
 
     return link
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """`docs` with one document of each group of similar texts: that with the smallest id; columns as they are.
+
+    Rows equal in id and text are one document. A row without an id goes if its group has an id or holds an equal
+    row; otherwise it stays. Texts without a word are copies of each other.
+    """
+    groups = similar_components(docs, id_col, text, k, similarity)
+    lost = groups.filter(F.coalesce(F.col("doc_id") != F.col("component_id"), F.col("component_id").isNotNull()))
+    keyed = docs.withColumn("__row_key", F.xxhash64(id_col, text))
+    kept = keyed.join(lost.select(F.col("row_key").alias("__row_key")).distinct(), "__row_key", "left_anti")
+    return kept.dropDuplicates(["__row_key"]).drop("__row_key")

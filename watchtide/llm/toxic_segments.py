@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from watchtide.llm.labelled import held_out, labelled_sample
-from watchtide.llm.texts import with_text_columns
+from watchtide.llm.texts import per_text, with_text_columns
 from watchtide.session import materialize
 
 PER_LABEL = 4000  # labelled documents learnt from, per label
@@ -193,6 +193,15 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text", thre
     return with_text_columns(df, text, run, "score: double, predicted: int")
 
 
+def without_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of `docs` that score below `threshold`, columns as they are; null and empty texts stay."""
+
+    def run(texts: list[str | None]) -> dict:
+        return {"keep": [not t or score_of(evidence(t, model), model.turn) < threshold for t in texts]}
+
+    return docs.withColumn("__toxicity", per_text(F.col(text), run, "keep: boolean")).filter("__toxicity.keep").drop("__toxicity")
+
+
 def toxic_passages(df: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
     """`df` with arrays `starts`, `ends` (token positions) and `weights` of its significant passages, in order."""
 
