@@ -83,13 +83,12 @@ def remove_repeats(
     stay null and have no sentences; a text of which nothing remains becomes empty, its row stays. Rows equal in
     id and text are alike: none of them is before the other. Columns named like the results are replaced.
     """
-    covered = repeated_runs(docs, id_col, text, least_sentences, least_words).groupBy("row_key").agg(
-        F.collect_set(F.struct("start", "sentences")).alias("covered")
+    covered = repeated_runs(docs, id_col, text, least_sentences, least_words).groupBy(F.col("row_key").alias("__row_key")).agg(
+        F.collect_set(F.struct("start", "sentences")).alias("__covered")
     )
-    keyed = docs.withColumn("__row_key", _row_key(id_col, text))
-    joined = keyed.join(covered.withColumnRenamed("row_key", "__row_key"), "__row_key", "left").drop("__row_key")
+    joined = docs.withColumn("__row_key", _row_key(id_col, text)).join(covered, "__row_key", "left")
     kept = F.arrow_udf(_without, "struct<text: string, n_sentences: bigint, n_removed: bigint>")
-    starts, sizes = F.col("covered.start"), F.col("covered.sentences")
+    starts, sizes = F.col("__covered.start"), F.col("__covered.sentences")
     others = [c for c in docs.columns if c.lower() not in ("n_sentences", "n_removed")]
     return joined.withColumn("__kept", kept(F.col(text), starts, sizes)).select(
         *(F.col("__kept.text").alias(c) if c == text else F.col(f"`{c}`") for c in others),

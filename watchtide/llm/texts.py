@@ -67,14 +67,14 @@ def _arrow_type(name: str) -> pa.DataType:
 
 def runs(sizes: Iterable[int], most: int) -> Iterator[slice]:
     """Consecutive slices whose sizes sum to about `most`; a larger single item is a slice of its own."""
-    start = total = end = 0
-    for end, size in enumerate(sizes):
-        if total and total + size > most:
-            yield slice(start, end)
-            start, total = end, 0
-        total += size
-    if total or end >= start:
-        yield slice(start, end + 1)
+    start = stop = total = 0
+    for size in sizes:
+        if stop > start and total + size > most:
+            yield slice(start, stop)
+            start, total = stop, 0
+        stop, total = stop + 1, total + size
+    if stop > start:
+        yield slice(start, stop)
 
 
 class WordMemo:
