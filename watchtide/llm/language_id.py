@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from functools import lru_cache
 
@@ -14,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from watchtide.llm.labelled import draw, held_out
-from watchtide.llm.texts import WordMemo, runs, with_text_columns
+from watchtide.llm.ragged_merges import PairTable
+from watchtide.llm.texts import LATIN, LATIN_TEXT, WordMemo, runs, with_text_columns
 from watchtide.session import materialize
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
@@ -23,46 +25,67 @@ MOST_LANGUAGES = 200
 ROUNDS = 3  # of expectation maximisation
 PRIOR = 0.01  # pseudo-count of a piece
 WORD = regex.compile(r"\p{L}+")
+LATIN_WORD = re.compile(rf"[{LATIN}]+")
 LONGEST = 32  # letters; longer runs are scored in parts of this length
 CHUNK_CHARS = 1_000_000
 UNKNOWN = "und"
 
 
 @lru_cache(maxsize=2)
-def vocabulary(path: str) -> tuple[dict[str, int], int]:
-    """Letter pieces by number, word starts marked by U+2581, and their greatest length."""
+def vocabulary(path: str) -> dict[str, int]:
+    """Letter pieces by number, word starts marked by U+2581."""
     lib = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (lib.id_to_piece(i).lower() for i in range(lib.vocab_size()))
     letters = dict.fromkeys(p for p in pieces if WORD.fullmatch(p.removeprefix("▁")) or p == "▁")
-    table = {p: n for n, p in enumerate(letters)}
-    return table, max(map(len, table))
+    return {p: n for n, p in enumerate(letters)}
+
+
+@lru_cache(maxsize=2)
+def beginnings(path: str) -> tuple[PairTable, np.ndarray]:
+    """From one beginning of a piece by one letter more to the next (0: the empty one), and the piece that each
+    beginning is (-1: none)."""
+    table = vocabulary(path)
+    states = {"": 0}
+    for piece in table:
+        for n in range(1, len(piece) + 1):
+            states.setdefault(piece[:n], len(states))
+    steps = [(states[s[:-1]], ord(s[-1]), n) for s, n in states.items() if s]
+    left, right, result = np.array(steps, np.int64).T
+    return PairTable(left, right, np.zeros(len(steps), np.int64), result, 0x110000), np.array([table.get(s, -1) for s in states])
 
 
 class Lattice:
     """All segmentations of a batch of words into pieces; a character that is no piece is an unknown piece."""
 
     def __init__(self, words: list[str], path: str):
-        table, longest = vocabulary(path)
-        unknown = len(table)
+        step, piece_of = beginnings(path)
+        marked = ["▁" + w for w in words]
+        sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+        letters = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.int64)
+        owner = np.repeat(np.arange(len(marked)), sizes)
+        letter_ends = np.cumsum(sizes)
+        # A word of n letters has n + 1 nodes; letter i of all lies between nodes i + owner and i + owner + 1.
+        self.starts, self.ends = letter_ends - sizes + np.arange(len(marked)), letter_ends + np.arange(len(marked))
+        self.nodes = int(sizes.sum()) + len(marked)
+        self.depth = np.arange(self.nodes) - np.repeat(self.starts, sizes + 1)
+        at, state, n = np.arange(len(letters)), np.zeros(len(letters), np.int64), 0
         first, last, piece = [], [], []
-        base = 0
-        starts, ends = [], []
-        for word in words:
-            w = "▁" + word
-            n = len(w)
-            for a in range(n):
-                if w[a] not in table:
-                    first.append(base + a), last.append(base + a + 1), piece.append(unknown)
-                for b in range(a + 1, min(n, a + longest) + 1):
-                    found = table.get(w[a:b])
-                    if found is not None:
-                        first.append(base + a), last.append(base + b), piece.append(found)
-            starts.append(base)
-            ends.append(base + n)
-            base += n + 1
-        self.first, self.last, self.piece = (np.array(x, np.int64) for x in (first, last, piece))
-        self.starts, self.ends, self.nodes = np.array(starts, np.int64), np.array(ends, np.int64), base
-        self.depth = np.arange(base) - np.repeat(self.starts, self.ends - self.starts + 1) if words else np.zeros(0, int)
+        while len(at):  # all places read one letter more, while that begins a piece
+            alive, state = step.find(state, letters[at + n])
+            n += 1
+            if n == 1:
+                single = piece_of[state]
+                odd = at[(alive != 0) | (single < 0)]
+                first.append(odd + owner[odd]), last.append(odd + owner[odd] + 1), piece.append(np.full(len(odd), len(vocabulary(path))))
+            at, state = at[alive == 0], state[alive == 0]
+            whole = piece_of[state] >= 0
+            begin = at[whole] + owner[at[whole]]
+            first.append(begin), last.append(begin + n), piece.append(piece_of[state[whole]])
+            more = at + n < letter_ends[owner[at]]
+            at, state = at[more], state[more]
+        self.first, self.last, self.piece = (np.concatenate(x or [np.zeros(0, np.int64)]) for x in (first, last, piece))
+        order = np.argsort(self.first, kind="stable")
+        self.first, self.last, self.piece = self.first[order], self.last[order], self.piece[order]
 
     def _sweep(self, p: np.ndarray, at: np.ndarray, to: np.ndarray, init: np.ndarray, back: bool) -> np.ndarray:
         """Sums of products of piece probabilities from the word's one end to each node, layer by layer."""
@@ -101,7 +124,7 @@ class Lattice:
 
 def words_of(text: str) -> list[str]:
     """Runs of letters in lower case, long ones in parts."""
-    found = WORD.findall(text.lower())
+    found = (LATIN_WORD if LATIN_TEXT.fullmatch(text) else WORD).findall(text.lower())
     if max(map(len, found), default=0) <= LONGEST:
         return found
     return [w[at:at + LONGEST] for w in found for at in range(0, len(w), LONGEST)]
@@ -114,22 +137,28 @@ class PieceModels:
         self.languages, self.probability, self.path = languages, probability, path
         self.key = uuid.uuid4().hex
 
-    def log_likelihood(self, words: list[str]) -> list[np.ndarray]:
-        return list(np.log(Lattice(words, self.path).likelihood(self.probability)))
+    def log_likelihood(self, words: list[str]) -> list[tuple[float, ...]]:
+        found = [np.log(Lattice(words[at:at + 20_000], self.path).likelihood(self.probability)) for at in range(0, len(words), 20_000)]
+        return [tuple(row) for part in found for row in part.tolist()]
 
     def predict(self, texts: list[str | None], memo: WordMemo) -> tuple[list[str], list[float]]:
-        names, scores = [], []
+        names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         for part in runs((len(t or "") for t in texts), CHUNK_CHARS):
             split = [words_of(t) if t else [] for t in texts[part]]
-            known = memo.of(set().union(*split))
-            for words in split:
-                if not words or not self.languages:
-                    names.append(UNKNOWN), scores.append(0.0)
-                    continue
-                total = np.sum([known[w] for w in words], axis=0)
-                best = int(total.argmax())
-                names.append(self.languages[best])
-                scores.append(float(1 / np.exp(total - total[best]).sum()))
+            distinct = list(set().union(*split))
+            if not distinct or not self.languages:
+                continue
+            known = memo.of(set(distinct))
+            value = np.array([known[w] for w in distinct])
+            place = dict(zip(distinct, range(len(distinct))))
+            at = np.fromiter((place[w] for words in split for w in words), np.int64)
+            spoken = [n for n, words in enumerate(split) if words]
+            starts = np.cumsum([0, *(len(split[n]) for n in spoken[:-1])])
+            total = np.add.reduceat(value[at], starts, axis=0)
+            best = total.argmax(axis=1)
+            score = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+            for n, b, s in zip(spoken, best.tolist(), score.tolist()):
+                names[part.start + n], scores[part.start + n] = self.languages[b], s
         return names, scores
 
 
@@ -158,7 +187,7 @@ def learn_languages(
     tally = drawn.select("lang", word.alias("word")).groupBy("lang", "word").count()
     languages = sorted(r[0] for r in drawn.select("lang").distinct().collect())
     seen = [F.coalesce(F.sum(F.when(F.col("lang") == v, F.col("count"))), F.lit(0)).alias(f"n{i}") for i, v in enumerate(languages)]
-    size = len(vocabulary(path)[0]) + 1
+    size = len(vocabulary(path)) + 1
     probability = np.full((size, max(1, len(languages))), 1.0 / size)
     if not languages:
         return PieceModels([], probability, path)

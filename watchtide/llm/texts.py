@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
 
@@ -18,6 +19,11 @@ ARROW_SETTINGS = {
 }
 
 
+# Letters of the usual Latin texts, for which a plain class does what a slower Unicode property does.
+LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+LATIN_TEXT = re.compile(rf"[\t-\r -~{LATIN}]*")
+
+
 def prepare_texts(spark: SparkSession) -> SparkSession:
     """Session settings that bound the memory of a Python worker."""
     prepare(spark)

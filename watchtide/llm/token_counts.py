@@ -13,14 +13,12 @@ import regex
 from pyspark.sql import DataFrame
 
 from watchtide.llm.ragged_merges import PairTable, merge_in_step
-from watchtide.llm.texts import WordMemo, runs, with_text_columns
+from watchtide.llm.texts import LATIN, LATIN_TEXT, WordMemo, runs, with_text_columns
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 TOKEN_LIMIT = 1024
 PRE_TOKENS = regex.compile(public_tokenizers.PATTERN)
-# The same pattern for the usual Latin letters, which the quicker library can be given as a class.
-LATIN = r"A-Za-zÀ-ÖØ-öø-ÿ"
-LATIN_TEXT = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
+# The same pattern for texts of the usual Latin letters, which the quicker library can be given as a class.
 LATIN_PRE_TOKENS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[^\s{LATIN}0-9]+|\s+(?!\S)|\s+")
 CHUNK_CHARS = 1_000_000
 CHUNK_WORDS = 200_000
