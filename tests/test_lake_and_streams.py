@@ -161,10 +161,15 @@ def test_model_registry(spark, tmp_path):
 
 
 def test_kb_ingest_prefers_scored(spark):
-    enriched = spark.createDataFrame([("a", "x"), ("b", "y")], "finding_id string, severity string")
-    scored = spark.createDataFrame([("a", "x", -0.1)], "finding_id string, severity string, anomaly_score double")
-    got = {r.doc_id: r.chunk for r in kb_ingest(enriched, scored).collect()}
-    assert set(got) == {"scored/a", "enriched/b"} and "-0.1" in got["scored/a"]
+    plain = "source string, finding_id string, enriched_at string, raw_detail string"
+    enriched = spark.createDataFrame(
+        [("custom", "a", "2", "{}"), ("guardduty", "a", "1", "{}"), ("guardduty", "a", "3", "{}"), ("custom", "b", "2", "{}")], plain
+    )
+    scored = spark.createDataFrame([("custom", "a", "2", "{}", -0.1), ("custom", "a", "1", "{}", -0.7)], plain + ", anomaly_score double")
+    rows = kb_ingest(enriched, scored).collect()
+    got = {r.chunk_id: r.chunk for r in rows}
+    assert len(rows) == 3 and set(got) == {"scored/custom/a#0", "enriched/guardduty/a#0", "enriched/custom/b#0"}
+    assert "-0.1" in got["scored/custom/a#0"] and '"enriched_at":"3"' in got["enriched/guardduty/a#0"]
 
 
 # --- streams -------------------------------------------------------------------------------------
@@ -185,12 +190,33 @@ def test_stream_normalize_equals_batch(spark, tmp_path):
     rows = [finding(f"f{i % 7}", DAY + timedelta(hours=i), "aws.guardduty" if i % 3 else "aws.securityhub") for i in range(40)]
     for part in range(4):
         drop_file(spark, rows[part * 10:part * 10 + 10], inbox, f"{part}.json")
-        jobs.stream_normalize(feed(spark, inbox), out, checkpoint, enriched_at=at_time()).awaitTermination()
+        jobs.stream_normalize(feed(spark, inbox), out, checkpoint, job="t", enriched_at=at_time()).awaitTermination()
     batch = str(tmp_path / "batch")
     write_batch(spark, rows, batch, "all")
     assert stored(lake.read_findings(spark, out)) == stored(lake.read_findings(spark, batch))
 
 
+def test_two_streams_share_a_lake(spark, tmp_path):
+    out = str(tmp_path / "out")
+    for job in ("east", "west"):
+        drop_file(spark, [finding(f"from-{job}")], tmp_path / job, "0.json")
+        jobs.stream_normalize(feed(spark, tmp_path / job), out, str(tmp_path / f"cp-{job}"), job=job).awaitTermination()
+    assert sorted(r.finding_id for r in lake.read_findings(spark, out).collect()) == ["from-east", "from-west"]
+    with pytest.raises(ValueError):
+        jobs.stream_normalize(feed(spark, tmp_path / "east"), out, str(tmp_path / "cp"), job="a/b")
+
+
+def test_filters_reach_the_lake(spark, tmp_path):
+    from watchtide.operators.query import query_findings
+
+    path = str(tmp_path / "lake")
+    write_batch(spark, [finding("a")], path, "1")
+    plan = query_findings(lake.read_scored(spark, path).filter("source = 'custom'"), days_back=7, limit=5, as_of=DAY)
+    text = plan._jdf.queryExecution().toString()
+    scan = text[text.rindex("FileScan"):]
+    assert "PartitionFilters: []" not in scan and "custom" in scan[scan.index("PartitionFilters"):]
+
+
 def test_stream_alerts_equals_batch_dedup(spark, tmp_path):
     inbox, out, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp")
     rows = [finding("hot" if i % 3 else f"id{i % 5}", DAY + timedelta(hours=i * 5, seconds=i % 2)) for i in range(60)]
@@ -198,7 +224,7 @@ def test_stream_alerts_equals_batch_dedup(spark, tmp_path):
     rows.sort(key=lambda r: r[4])
     for part in range(5):
         drop_file(spark, rows[part * 13:part * 13 + 13], inbox, f"{part}.json")
-        jobs.stream_alerts(feed(spark, inbox), out, checkpoint, ts=at_time()).awaitTermination()
+        jobs.stream_alerts(feed(spark, inbox), out, checkpoint, job="t", ts=at_time()).awaitTermination()
     alerts = spark.read.parquet(out)
     high = event_frame(spark, [r for r in rows if r[5] not in ("low", "custom")])
     want = ttl_dedup(high, id_column="id", ts=at_time())
@@ -246,7 +272,7 @@ def test_late_rows_are_kept(spark, tmp_path):
     batches = [[finding("a")], [finding("b", DAY - timedelta(minutes=59)), finding("c", DAY - timedelta(minutes=61))], [finding("d", DAY + timedelta(hours=3))]]
     for i, rows in enumerate(batches):
         drop_file(spark, rows, inbox, f"{i}.json")
-        jobs.late_data(feed(spark, inbox), out, checkpoint, ts=at_time()).awaitTermination()
+        jobs.late_data(feed(spark, inbox), out, checkpoint, job="t", ts=at_time()).awaitTermination()
     accepted, late = spark.read.parquet(f"{out}/accepted"), spark.read.parquet(f"{out}/late")
     assert sorted(r.id for r in accepted.collect()) == ["a", "b", "d"]
     assert [(r.id, r.reason) for r in late.collect()] == [("c", "too late")]
@@ -263,11 +289,11 @@ def test_stream_score(spark, tmp_path):
     folder = next(p.parent for p in path.rglob("*.json"))
     (folder / "broken.json").write_text("not json\n")
     source = lake.stream_findings(spark, str(path), max_files=2)
-    jobs.stream_score(source, out, str(tmp_path / "cp"), model=model, scored_at=F.lit(DAY)).awaitTermination()
+    jobs.stream_score(source, out, str(tmp_path / "cp"), job="t", model=model, scored_at=F.lit(DAY)).awaitTermination()
     got = {r.finding_id: r.anomaly_score for r in lake.read_scored(spark, f"{out}/scored").collect()}
     batch = score_findings(lake.read_findings(spark, str(path)).drop("year", "month", "day"), model)
     assert got == {r.finding_id: pytest.approx(r.anomaly_score) for r in batch.collect()} and len(got) == 10
     assert read_table(spark, f"{out}/capture", "finding_id string").count() == 10
     assert [r.reason for r in spark.read.parquet(f"{out}/quarantine").collect()] == ["malformed"]
     with pytest.raises(ValueError):
-        jobs.stream_score(source, out, str(tmp_path / "cp2"), model=model, rarity="batch")
+        jobs.stream_score(source, out, str(tmp_path / "cp2"), job="t", model=model, rarity="batch")

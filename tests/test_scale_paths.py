@@ -66,6 +66,11 @@ def test_claim_check(spark):
     claims = spark.createDataFrame([("a", 0, 100), ("a", 100, 200)], "finding_id string, claimed_at long, expires_at long")
     events = spark.createDataFrame([("a", 150), ("a", 200), ("b", 1)], "finding_id string, s long").withColumn("ts", F.timestamp_seconds("s"))
     assert sorted((r.finding_id, r.s) for r in claim_check(events, claims, ts=F.col("ts")).collect()) == [("a", 200), ("b", 1)]
+    older = spark.createDataFrame([("a", 50), ("a", 0), ("a", 199)], "finding_id string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    assert claim_check(older, claims, ts=F.col("ts")).count() == 0  # a newer claim does not hide an older one
+    long = spark.createDataFrame([("a", 86_000, 86_000 + 3 * 86_400)], "finding_id string, claimed_at long, expires_at long")
+    far = spark.createDataFrame([("a", 86_000 + 200_000), ("a", 85_999)], "finding_id string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    assert [r.s for r in claim_check(far, long, ts=F.col("ts")).collect()] == [85_999]
 
 
 def test_last_write_wins(spark):

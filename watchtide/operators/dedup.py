@@ -97,14 +97,23 @@ def ttl_dedup(
     return scanned.withColumn("expires_at", F.col("claimed_at") + window)
 
 
-def claim_check(events: DataFrame, claims: DataFrame, *, ts: Column, id_column: str = "finding_id") -> DataFrame:
-    """Events whose id holds no claim that is live at the event's time."""
-    held = claims.groupBy(F.col("finding_id").alias("_id")).agg(
-        F.max(F.struct("claimed_at", "expires_at")).alias("_held")
+def claim_check(
+    events: DataFrame, claims: DataFrame, *, ts: Column, id_column: str = "finding_id", hours: int = DEDUP_HOURS
+) -> DataFrame:
+    """Events whose id holds no claim that is live at the event's time.
+
+    Time is cut into slots of `hours`; a claim stands in each slot it touches (one or two, if it lasts that long),
+    and an event looks only into its own slot of its id, so a long history of claims costs an event nothing.
+    """
+    slot = hours * 3600
+    touched = F.sequence(F.floor(F.col("claimed_at") / slot), F.floor((F.col("expires_at") - 1) / slot))
+    held = claims.filter("expires_at > claimed_at").select(
+        F.col("finding_id").alias("_id"), "claimed_at", "expires_at", F.explode(touched).alias("_slot")
     )
     second = F.unix_timestamp(ts)
-    live = (second >= F.col("_held.claimed_at")) & (second < F.col("_held.expires_at"))
-    return events.join(held, (F.col(id_column) == F.col("_id")) & live, "left_anti")
+    same = (F.col(id_column) == F.col("_id")) & (F.floor(second / slot) == F.col("_slot"))
+    live = (second >= F.col("claimed_at")) & (second < F.col("expires_at"))
+    return events.join(held, same & live, "left_anti")
 
 
 def last_write_wins(
@@ -118,7 +127,7 @@ def last_write_wins(
     An aggregate, not a window: each task sends at most one row per key, so a
     key with a large share of all rows stays cheap.
     """
-    newest = findings.groupBy(*keys).agg(
-        F.max_by(F.struct(*findings.columns), F.struct(*order)).alias("_row")
-    )
-    return newest.select("_row.*")
+    others = [c for c in findings.columns if c not in keys]
+    newest = findings.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(*order)).alias("_row"))
+    # Keys come from the grouping itself, so filters on them reach the scan.
+    return newest.select(*(F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in findings.columns))

@@ -59,20 +59,21 @@ def draw_samples(rows: DataFrame, key: str, n: int, samples: int, trees: int, se
     """(tree, order, key, features): `samples` rows per tree, without replacement.
 
     Rows are chosen by hash, so the draw does not depend on partitioning and
-    only about trees * samples rows move. On a large table the trees share one
-    hash per row, each owning its own slice of the hash range.
+    only about trees * samples rows move. In a round each tree owns a slice of
+    the hash range; as many rounds, with a hash each, follow as the trees need:
+    one for a large table, one per tree for a table that every tree takes whole.
     """
     rate = min(1.0, (samples + margin * math.sqrt(samples)) / n)
     seed_part = F.lit(seed)
-    if rate * trees <= 1.0:
-        slot = F.floor(_unit_hash(F.col(key), seed_part) / rate).cast("int")
-        drawn = rows.withColumn("tree", slot).filter(F.col("tree") < trees)
-    else:
-        chosen = F.filter(
-            F.sequence(F.lit(0), F.lit(trees - 1)),
-            lambda t: _unit_hash(F.col(key), t, seed_part) < rate,
-        )
-        drawn = rows.withColumn("tree", F.explode(chosen))
+    slices = max(1, int(1.0 / rate))
+    rounds = F.sequence(F.lit(0), F.lit(math.ceil(trees / slices) - 1))
+    taken = F.transform(
+        rounds,
+        lambda r: F.struct(r.alias("r"), F.floor(_unit_hash(F.col(key), r, seed_part) / rate).cast("int").alias("slice")),
+    )
+    tree = F.col("_t.r") * slices + F.col("_t.slice")
+    drawn = rows.withColumn("_t", F.explode(F.filter(taken, lambda t: t["slice"] < slices)))
+    drawn = drawn.withColumn("tree", tree).drop("_t").filter(F.col("tree") < trees)
     drawn = drawn.withColumn("_order", F.xxhash64(F.col(key), F.col("tree"), F.lit(seed + 1)))
     ranked = Window.partitionBy("tree").orderBy("_order", key)
     return drawn.withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") <= samples)

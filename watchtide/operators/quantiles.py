@@ -13,6 +13,7 @@ from watchtide.session import materialize
 ACCURACY = 10_000
 MARGIN = 3.0 / ACCURACY  # the sketch may be off by 1/ACCURACY of the ranks
 HOT_ROWS = 1_000_000
+FEW_ROWS = 10_000
 
 
 def _bracket(value: str, p: float) -> Column:
@@ -102,6 +103,8 @@ def grouped_percentiles(
         ranked.groupBy(*group)
         .agg(value_at(F.floor("_rank")).alias("_low"), value_at(F.ceil("_rank")).alias("_high"))
         .withColumn("_p", low + (high - low) * (F.col("_rank") - F.floor("_rank")))
+        # The sketch bounds its error, so a rank is always inside its bracket; were it not, that must show.
+        .withColumn("_p", F.coalesce("_p", F.raise_error(F.lit("a percentile lies outside its bracket")).cast("double")))
         .groupBy("_k")
         .pivot("_name", names)
         .agg(F.first("_p"))
@@ -112,23 +115,38 @@ def grouped_percentiles(
 
 
 def order_statistic(rows: DataFrame, value: str, rank: int, low=None, high=None) -> object:
-    """Value at 0-based `rank` in ascending order, looked for between `low` and `high`.
+    """Value at 0-based `rank` in ascending order; `low` and `high` are a first guess of where it lies.
 
-    Only rows inside the bounds are sorted (range-partitioned); the rest are counted.
+    The range is cut at values drawn by hash (any type that has an order will do) and the parts are counted, until
+    the part with the rank holds few rows; only those are sorted. A round moves a few values, and takes the range to
+    about a fifth.
     """
     column = F.col(value)
-    inside, before = rows.filter(column.isNotNull()), 0
-    if low is not None:
-        before = inside.filter(column < low).count()
-        inside = inside.filter(column >= low)
-    if high is not None:
-        inside = inside.filter(column <= high)
-    hit = inside.select(value).orderBy(value).offset(rank - before).limit(1).collect() if rank >= before else []
-    if not hit:
-        if low is None and high is None:
-            raise ValueError(f"rank {rank} is beyond the rows")
-        return order_statistic(rows, value, rank)
-    return hit[0][0]
+    inside = rows.filter(column.isNotNull())
+    n, last = inside.agg(F.count(column), F.max(column)).first()
+    if not 0 <= rank < n:
+        raise ValueError(f"rank {rank} is beyond the rows")
+    after, below, upto = None, 0, last  # the range (after, upto], and the rows up to `after`
+    guesses = sorted({g for g in (low, high) if g is not None and g < last})
+    while True:
+        part = inside.filter(column <= upto) if after is None else inside.filter((column > after) & (column <= upto))
+        size, smaller, next_down, *cuts = part.agg(
+            F.count(column), F.count_if(column < upto), F.max(F.when(column < upto, column)),
+            *[F.min_by(column, F.xxhash64(column, F.lit(i))).alias(f"cut{i}") for i in range(7)],
+        ).first()
+        if rank - below >= smaller:
+            return upto
+        if size <= FEW_ROWS:
+            return part.select(value).orderBy(value).offset(rank - below).limit(1).first()[0]
+        cuts = guesses or sorted({c for c in cuts if c < upto}) or [next_down]
+        guesses = []
+        counts = part.agg(*[F.count_if(column <= c).alias(f"c{i}") for i, c in enumerate(cuts)]).first()
+        base = below
+        for cut, count in zip(cuts, counts):
+            if base + count > rank:
+                upto = cut
+                break
+            after, below = cut, base + count
 
 
 def exact_percentile(rows: DataFrame, value: str, p: float) -> float:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -21,7 +22,8 @@ BM25_K1, BM25_B = 1.2, 0.75
 FUSION_K = 60
 SCORE_DIGITS = 6
 BLOCK_BYTES = 32 * 1024 * 1024
-SCORE_ROWS = 1024  # rows per scoring step; bounds the (rows x words) matrix
+SCORE_ROWS = 1024  # rows per scoring step, at most
+SCORE_CELLS = 1 << 22  # cells of any matrix of questions, words or rows
 FOUND = "query_id long, chunk_id string, score double"
 
 
@@ -54,9 +56,11 @@ def words(text: Column) -> Column:
 
 
 def _blocks(questions: DataFrame, limit: int) -> Iterator[pd.DataFrame]:
-    """The questions in driver-sized parts; one part unless they exceed `limit` bytes."""
+    """The questions in driver-sized parts: at most about `limit` bytes, and SCORE_CELLS cells of questions x words
+    (a word takes four bytes or more)."""
     questions = materialize(questions)
-    parts = -(-max(measured_bytes(questions), 1) // limit)
+    size = max(measured_bytes(questions), 1)
+    parts = max(-(-size // limit), math.ceil(math.sqrt(size * questions.count() / (4 * SCORE_CELLS))))
     for part in range(parts):
         block = questions.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).toPandas()
         if len(block):
@@ -70,12 +74,13 @@ def _best_per_question(
 
     No (question, chunk) pair leaves the task unless it is among the best k seen there.
     """
+    step = _step(len(query_ids))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = np.empty((len(query_ids), 0))
         ids = np.empty((len(query_ids), 0), dtype=object)
         for batch in batches:
-            for rows in (batch.slice(i, SCORE_ROWS) for i in range(0, batch.num_rows, SCORE_ROWS)):
+            for rows in (batch.slice(i, step) for i in range(0, batch.num_rows, step)):
                 fresh = np.round(scorer(rows), SCORE_DIGITS).T
                 names = np.broadcast_to(rows.column("chunk_id").to_numpy(zero_copy_only=False), fresh.shape)
                 scores, ids = _keep_best(np.hstack([scores, fresh]), np.hstack([ids, names]), k)
@@ -88,6 +93,11 @@ def _best_per_question(
     return scan
 
 
+def _step(width: int) -> int:
+    """Rows per step, so that rows x width stays bounded."""
+    return max(1, min(SCORE_ROWS, SCORE_CELLS // max(1, width)))
+
+
 def _keep_best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best columns of each row: highest score, then smallest id."""
     if scores.shape[1] <= k:
@@ -166,9 +176,13 @@ def keyword_search(
             weights[at, q] = idf[at]
 
         def bm25(rows: pa.RecordBatch, vocabulary=vocabulary, weights=weights, mean_length=mean_length) -> np.ndarray:
-            counts, length = _word_counts(rows, vocabulary)
-            length = length[:, None] / mean_length
-            return (counts * (BM25_K1 + 1) / (counts + BM25_K1 * (1 - BM25_B + BM25_B * length))) @ weights
+            parts = []
+            step = _step(len(vocabulary))
+            for part in (rows.slice(i, step) for i in range(0, rows.num_rows, step)):
+                counts, length = _word_counts(part, vocabulary)
+                length = length[:, None] / mean_length
+                parts.append((counts * (BM25_K1 + 1) / (counts + BM25_K1 * (1 - BM25_B + BM25_B * length))) @ weights)
+            return np.vstack(parts)
 
         scan = _best_per_question(block["query_id"].to_numpy(), k, bm25, 0.0)
         part = worded.mapInArrow(scan, FOUND)
@@ -192,9 +206,10 @@ def _word_statistics(worded: DataFrame, vocabulary: list[str]) -> tuple[int, flo
     """(chunks, mean words per chunk, chunks that hold each word), summed per partition first."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = _step(len(vocabulary))
         holders, rows_seen, words_seen = np.zeros(len(vocabulary), dtype=np.int64), 0, 0
         for batch in batches:
-            for rows in (batch.slice(i, SCORE_ROWS) for i in range(0, batch.num_rows, SCORE_ROWS)):
+            for rows in (batch.slice(i, step) for i in range(0, batch.num_rows, step)):
                 counts, length = _word_counts(rows, vocabulary)
                 holders += (counts > 0).sum(axis=0)
                 rows_seen, words_seen = rows_seen + len(length), words_seen + int(length.sum())
@@ -212,8 +227,13 @@ def _word_statistics(worded: DataFrame, vocabulary: list[str]) -> tuple[int, flo
 
 
 def hybrid_search(chunks: DataFrame, questions: DataFrame, *, k: int = 10, depth: int = 50) -> DataFrame:
-    """Vector and keyword results fused by reciprocal rank: (query_id, chunk_id, score, rank)."""
-    lists = [vector_topk(chunks, questions, k=depth), keyword_search(chunks, questions, k=depth)]
+    """Vector and keyword results fused by reciprocal rank: (query_id, chunk_id, score, rank).
+
+    Each list is `depth` long, or k if that is more. Chunks without a vector are found by their words.
+    """
+    depth = max(depth, k)
+    near = vector_topk(chunks.filter("embedding IS NOT NULL"), questions, k=depth)
+    lists = [near, keyword_search(chunks, questions, k=depth)]
     votes = lists[0].unionByName(lists[1]).withColumn("_vote", 1.0 / (F.lit(float(FUSION_K)) + F.col("rank")))
     fused = votes.groupBy("query_id", "chunk_id").agg(F.round(F.sum("_vote"), 9).alias("score"))
     return top_k_per(fused, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k, salt=F.col("chunk_id"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from watchtide.operators.query import ALLOWED_SOURCE
+
 
 def evaluation_report(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Anomaly rate, counts and score statistics of a validation set: one row, or one per `by` group."""
@@ -37,12 +39,20 @@ def finding_counts(findings: DataFrame, *, ts: Column, totals: bool = False) ->
     return grouped.agg(F.count(F.lit(1)).alias("findings"))
 
 
-def data_freshness(findings: DataFrame, *, ts: Column, as_of: Column, max_age_hours: int = 24) -> DataFrame:
-    """Per source: rows, newest time, and PASS when something arrived within `max_age_hours`."""
-    newest = F.max(ts)
+def data_freshness(
+    findings: DataFrame, *, ts: Column, as_of: Column, expected: Sequence[str] = ALLOWED_SOURCE, max_age_hours: int = 24
+) -> DataFrame:
+    """Per source: rows, newest time, and PASS when something arrived within `max_age_hours`.
+
+    An `expected` source without a row is told as well: 0 findings, no newest time, WARN.
+    """
+    newest = F.max("_at")
     fresh = newest >= as_of - F.make_dt_interval(hours=F.lit(max_age_hours))
-    return findings.groupBy("source").agg(
-        F.count(F.lit(1)).alias("findings"),
+    seen = findings.select("source", ts.cast("timestamp").alias("_at"), F.lit(1).alias("_n"))
+    due = findings.sparkSession.createDataFrame([(s,) for s in expected], "source string")
+    due = due.select("source", F.lit(None).cast("timestamp").alias("_at"), F.lit(0).alias("_n"))
+    return seen.unionByName(due).groupBy("source").agg(
+        F.sum("_n").alias("findings"),
         F.date_format(newest, "yyyy-MM-dd HH:mm:ss").alias("newest"),
         F.when(fresh, "PASS").otherwise("WARN").alias("status"),
     )

@@ -97,7 +97,7 @@ FROM events
 
 CHUNK_TABLE = """
 SELECT CONCAT('doc-', CAST(d.doc_id AS STRING)) AS chunk_id, d.text AS chunk, e.embedding, e.label
-FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id
+FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id
 """
 
 RECORD_LINES = """
@@ -175,16 +175,8 @@ QUALIFY row_number() OVER (PARTITION BY source, year, month, day, translate(find
 SQL_ONLY = {"normalized": NORMALIZED, "stored": STORED}
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Splits a table that is only a few small files over all cores; larger tables stay as they are."""
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= wanted or df.rdd.getNumPartitions() > wanted:
-        return df
-    return df.repartition(wanted)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -320,13 +320,16 @@ def _(t):
 
 @query(
     "data_freshness",
-    f"""SELECT source, count(*) AS findings, strftime(max(enriched_ts), '%Y-%m-%d %H:%M:%S') AS newest,
+    f"""SELECT source, count(event_id) AS findings, strftime(max(enriched_ts), '%Y-%m-%d %H:%M:%S') AS newest,
         CASE WHEN max(enriched_ts) >= TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR THEN 'PASS' ELSE 'WARN' END AS status
-        FROM scored GROUP BY source""",
+        FROM scored FULL JOIN (VALUES ('guardduty'), ('securityhub'), ('custom'), ('silent')) due(source) USING (source) GROUP BY source""",
     ("scored",),
 )
 def _(t):
-    return data_freshness(t.view("scored"), ts=F.col("enriched_ts").cast("timestamp"), as_of=as_of())
+    return data_freshness(
+        t.view("scored"), ts=F.col("enriched_ts").cast("timestamp"), as_of=as_of(),
+        expected=("guardduty", "securityhub", "custom", "silent"),
+    )
 
 
 # --- requests and conversations ------------------------------------------------------------------
@@ -465,10 +468,9 @@ def _(t):
 @query(
     "dedup_claim_check",
     CLAIM_SQL
-    + """, held AS (SELECT finding_id, max(claimed_at) AS at FROM claims WHERE claimed_at < epoch(TIMESTAMP '2024-01-20') GROUP BY 1)
-    SELECT e.event_id, e.finding_id FROM claim_events e LEFT JOIN held h
-      ON h.finding_id = e.finding_id AND floor(epoch(e.ts)) >= h.at AND floor(epoch(e.ts)) < h.at + 86400
-    WHERE h.finding_id IS NULL""",
+    + """SELECT e.event_id, e.finding_id FROM claim_events e WHERE NOT EXISTS (
+      SELECT 1 FROM claims h WHERE h.finding_id = e.finding_id AND h.claimed_at < epoch(TIMESTAMP '2024-01-20')
+        AND floor(epoch(e.ts)) >= h.claimed_at AND floor(epoch(e.ts)) < h.claimed_at + 86400)""",
     ("claim_events",),
 )
 def _(t):

@@ -250,9 +250,11 @@ def _(t):
 
 @query(
     "kb_ingest",
-    """, found AS (SELECT finding_id, bool_or(severity = 'high') AS scored FROM stored GROUP BY 1)
-       SELECT CASE WHEN f.scored THEN 'scored' ELSE 'enriched' END AS origin, s.finding_id, count(*) AS chunks
-       FROM stored s JOIN found f USING (finding_id) WHERE NOT f.scored OR s.severity = 'high' GROUP BY ALL""",
+    """, told AS (SELECT *, 'enriched' AS origin FROM stored UNION ALL SELECT *, 'scored' FROM stored WHERE severity = 'high'),
+    newest AS (SELECT * FROM told QUALIFY row_number() OVER (PARTITION BY origin, source, finding_id ORDER BY enriched_at DESC, raw_detail DESC) = 1)
+    SELECT concat_ws('/', origin, source, finding_id) || '#0' AS chunk_id, severity, account_id, resource_arn, enriched_at
+    FROM newest n WHERE origin = 'scored' OR NOT EXISTS (
+      SELECT 1 FROM newest s WHERE s.origin = 'scored' AND s.source = n.source AND s.finding_id = n.finding_id)""",
     STORED,
 )
 def _(t):
@@ -261,10 +263,9 @@ def _(t):
     enriched = lake.read_findings(t.spark, path)
     severe = enriched.filter(F.col("severity") == "high").withColumn("anomaly_score", F.lit(-0.1))
     write_chunks(kb_ingest(enriched, severe), out)
-    parts = F.split("doc_id", "/", 2)
-    return t.spark.read.parquet(out).groupBy(parts[0].alias("origin"), parts[1].alias("finding_id")).agg(
-        F.count(F.lit(1)).alias("chunks")
-    )
+    # Every finding is short enough for one chunk, so the chunk holds its whole JSON.
+    told = [F.get_json_object("chunk", f"$.{c}").alias(c) for c in ("severity", "account_id", "resource_arn", "enriched_at")]
+    return t.spark.read.parquet(out).select("chunk_id", *told)
 
 
 @query("score_capture")
@@ -282,7 +283,7 @@ def _(t):
 def _(t):
     path = t.scratch("enriched")
     jobs.stream_normalize(
-        t.stream("envelopes"), path, t.scratch("checkpoint"), enriched_at=event_ts()
+        t.stream("envelopes"), path, t.scratch("checkpoint"), job="envelopes", enriched_at=event_ts()
     ).awaitTermination()
     return _flat(lake.read_findings(t.spark, path))
 
@@ -293,7 +294,7 @@ def _(t):
     _write_enriched(t, path)
     feed = lake.stream_findings(t.spark, path, max_files=2000)
     jobs.stream_score(
-        feed, out, t.scratch("checkpoint"), model=fitted(t)[0],
+        feed, out, t.scratch("checkpoint"), job="scores", model=fitted(t)[0],
         scored_at=F.try_to_timestamp(F.col("enriched_at")),
     ).awaitTermination()
     return lake.read_scored(t.spark, f"{out}/scored").drop("resource_tags")
@@ -311,7 +312,7 @@ ALERT_SQL = (
 @query("stream_alerts", ALERT_SQL, ("envelopes",))
 def _(t):
     path = t.scratch("alerts")
-    jobs.stream_alerts(t.stream("envelopes"), path, t.scratch("checkpoint"), ts=event_ts()).awaitTermination()
+    jobs.stream_alerts(t.stream("envelopes"), path, t.scratch("checkpoint"), job="alerts", ts=event_ts()).awaitTermination()
     return t.spark.read.parquet(path).select("id", "claimed_at")
 
 
@@ -345,7 +346,7 @@ def _(t):
 @query("late_data", "SELECT 'accepted' AS kind, count(*) AS events FROM events")
 def _(t):
     path = t.scratch("late")
-    jobs.late_data(t.stream("claim_events"), path, t.scratch("checkpoint"), ts=F.col("ts")).awaitTermination()
+    jobs.late_data(t.stream("claim_events"), path, t.scratch("checkpoint"), job="claims", ts=F.col("ts")).awaitTermination()
     kinds = [
         t.spark.read.schema("event_id long").parquet(f"{path}/{kind}").select(F.lit(kind).alias("kind")) for kind in ("accepted", "late")
     ]

@@ -117,7 +117,7 @@ QUESTIONS_SQL = "SELECT b.item_id AS query_id, b.text, c.embedding FROM benchmar
     f", {CENTRES_SQL}, questions AS ({QUESTIONS_SQL}), "
     + _bm25_sql("SELECT chunk_id, chunk FROM chunk_table", "SELECT query_id, text FROM questions")
     + f""", near AS ({RANKED.format('''SELECT q.query_id, e.chunk_id,
-        round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), q.embedding), 6) AS score FROM chunk_table e CROSS JOIN questions q''', 50)}),
+        round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), q.embedding), 6) AS score FROM chunk_table e CROSS JOIN questions q WHERE e.embedding IS NOT NULL''', 50)}),
   said AS ({RANKED.format('SELECT * FROM bm25 WHERE score > 0', 50)}),
   fused AS (SELECT query_id, chunk_id, round(sum(1.0 / (60.0 + rank)), 9) AS score
     FROM (SELECT query_id, chunk_id, rank FROM near UNION ALL SELECT query_id, chunk_id, rank FROM said) GROUP BY ALL)

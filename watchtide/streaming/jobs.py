@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from datetime import timedelta
 
@@ -32,16 +33,29 @@ CLAIMS = "id string, claimed_at long, claim_day string, load string"
 AVAILABLE_NOW = {"availableNow": True}
 
 
+def _load(job: str, batch_id: int) -> str:
+    """Every stream counts its batches from 0; the job's name keeps the loads of two streams in one lake apart."""
+    if not re.fullmatch(r"[A-Za-z0-9_.]+", job):
+        raise ValueError("a job name is made of letters, digits, dots and underscores")
+    return f"{job}-{batch_id}"
+
+
 def stream_normalize(
-    events: DataFrame, path: str, checkpoint: str, *, enriched_at: Column | None = None, trigger: dict = AVAILABLE_NOW
+    events: DataFrame, path: str, checkpoint: str, *, job: str, enriched_at: Column | None = None,
+    trigger: dict = AVAILABLE_NOW,
 ) -> StreamingQuery:
-    """Event envelopes into the enriched lake; a replayed micro-batch replaces its own load."""
+    """Event envelopes into the enriched lake; a replayed micro-batch replaces its own load.
+
+    `job` names this stream among all that write to the lake; one checkpoint, one name. Without `enriched_at` the
+    stamp is the batch's time in the offset log, so a batch replayed a day later lands in its first folder.
+    """
     stamp = F.current_timestamp() if enriched_at is None else enriched_at
+    events = events.withColumn("_stamp", stamp)
+    _load(job, 0)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("_stamp", stamp)
-        findings = normalize_findings(rows, enriched_at=F.col("_stamp"), keep=["_stamp"])
-        write_findings(findings, path, ts=F.col("_stamp"), load=f"stream-{batch_id}")
+        findings = normalize_findings(batch, enriched_at=F.col("_stamp"), keep=["_stamp"])
+        write_findings(findings, path, ts=F.col("_stamp"), load=_load(job, batch_id))
 
     return (
         events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
@@ -49,17 +63,19 @@ def stream_normalize(
 
 
 def stream_score(
-    findings: DataFrame, path: str, checkpoint: str, *, model: IsolationForest, rarity: str = "single",
+    findings: DataFrame, path: str, checkpoint: str, *, job: str, model: IsolationForest, rarity: str = "single",
     counts: DataFrame | None = None, model_version: str = "1", scored_at: Column | None = None,
     trigger: dict = AVAILABLE_NOW,
 ) -> StreamingQuery:
     """New findings to the scored lake, with a capture of inputs and outputs and a quarantine of bad rows."""
     if rarity == "batch":
         raise ValueError("rarity within a micro-batch depends on its size; use 'single' or 'baseline'")
-    stamp = F.current_timestamp() if scored_at is None else scored_at
+    stamp = F.col("_stamp")
+    findings = findings.withColumn("_stamp", F.current_timestamp() if scored_at is None else scored_at)
+    _load(job, 0)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        load = f"stream-{batch_id}"
+        load = _load(job, batch_id)
         good, bad = split_bad(batch, required=("finding_id", "source"))
         scored = score_with_features(
             good.drop(*DAY_COLUMNS, "load"), model, rarity=rarity, counts=counts, scored_at=stamp,
@@ -70,7 +86,8 @@ def stream_score(
             append_load(score_capture(scored, model_version=model_version), f"{path}/capture", load)
         finally:
             scored.unpersist()
-        record = bad.withColumn("_record", F.coalesce("_corrupt_record", F.to_json(F.struct("*"))))
+        plain = F.to_json(F.struct(*(c for c in bad.columns if c != "_stamp")))
+        record = bad.withColumn("_record", F.coalesce("_corrupt_record", plain))
         append_load(quarantine_rows(record, at=stamp, text="_record"), f"{path}/quarantine", load)
 
     return (
@@ -101,7 +118,8 @@ def claim_alerts(alerts: DataFrame, held: DataFrame | None = None, *, hours: int
 
 
 def stream_alerts(
-    events: DataFrame, path: str, checkpoint: str, *, ts: Column, hours: int = DEDUP_HOURS, trigger: dict = AVAILABLE_NOW
+    events: DataFrame, path: str, checkpoint: str, *, job: str, ts: Column, hours: int = DEDUP_HOURS,
+    trigger: dict = AVAILABLE_NOW,
 ) -> StreamingQuery:
     """High-severity events to formatted alerts, one per id and window.
 
@@ -112,7 +130,7 @@ def stream_alerts(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark, load = batch.sparkSession, f"stream-{batch_id}"
+        spark, load = batch.sparkSession, _load(job, batch_id)
         alerts = high_severity_alerts(batch, ts=ts).persist()
         try:
             oldest = alerts.agg(F.min("ts")).first()[0]
@@ -247,20 +265,22 @@ def split_late(rows: DataFrame, *, ts: Column, newest: Column) -> tuple[DataFram
 
 
 def late_data(
-    events: DataFrame, path: str, checkpoint: str, *, ts: Column, trigger: dict = AVAILABLE_NOW
+    events: DataFrame, path: str, checkpoint: str, *, job: str, ts: Column, trigger: dict = AVAILABLE_NOW
 ) -> StreamingQuery:
     """Sorts a stream into `accepted` and `late` tables; late rows are kept, never dropped.
 
     A row is compared with the newest event of the batches before its own, as a
-    watermark would; that mark is kept per batch next to the tables.
+    watermark would; that mark is kept per batch and job next to the tables. Streams that close windows drop what
+    their watermark has passed; feed them the `accepted` table, and nothing is lost unseen.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark, load = batch.sparkSession, f"stream-{batch_id}"
+        spark, load = batch.sparkSession, _load(job, batch_id)
         marked = batch.withColumn("_ts", ts.cast("timestamp"))
         mark = None
         if batch_id > 0:
-            marks = read_table(spark, f"{path}/newest", "newest timestamp, batch long").filter(F.col("batch") < batch_id)
+            marks = read_table(spark, f"{path}/newest", "newest timestamp, batch long, load string")
+            marks = marks.filter((F.col("batch") < batch_id) & F.col("load").startswith(f"{job}-"))
             mark = marks.agg(F.max("newest")).first()[0]
         newest = F.lit(mark).cast("timestamp")
         good, late = split_late(marked, ts=F.col("_ts"), newest=newest)
