@@ -9,7 +9,7 @@ resolved when findings are read, and for good when finished days are mirrored.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,11 +55,35 @@ def read_loads(
     spark: SparkSession, path: str, *, schema: T.StructType = ENRICHED, fmt: str = "json",
     sources: Sequence[str] | None = None, start: date | None = None, end: date | None = None,
 ) -> DataFrame:
-    """Every stored row, corrupt lines included (their text is in `_corrupt_record`)."""
-    reader = spark.read.schema(_lake_schema(schema, fmt))
+    """Every stored row, corrupt lines included (their text is in `_corrupt_record`).
+
+    With both `start` and `end` only the folders of these days are listed; otherwise the whole lake is listed
+    before its folders are filtered.
+    """
+    stored = _lake_schema(schema, fmt)
+    reader = spark.read.schema(stored)
     if fmt == "json":
         reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-    return _in_range(reader.format(fmt).load(path), sources, start, end)
+    if not (start and end):
+        return _in_range(reader.format(fmt).load(path), sources, start, end)
+    folders = _folders(spark, path, sources or ALLOWED_SOURCE, start, end)
+    rows = reader.option("basePath", path).format(fmt).load(folders) if folders else spark.createDataFrame([], stored)
+    return _in_range(rows, sources, start, end)
+
+
+def _folders(spark: SparkSession, path: str, sources: Sequence[str], start: date, end: date) -> list[str]:
+    """Patterns for the folders of sources x days, one per source and month, that match something."""
+    months: dict[tuple[int, int], list[str]] = {}
+    for n in range((end - start).days + 1):
+        day = start + timedelta(days=n)
+        months.setdefault((day.year, day.month), []).append(f"{day.day:02d}")
+    wanted = [
+        f"{path}/source={source}/year={y}/month={m:02d}/day={{{','.join(days)}}}"
+        for source in sources for (y, m), days in months.items()
+    ]
+    jvm = spark._jvm.org.apache.hadoop.fs
+    files = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    return [w for w in wanted if len(files.globStatus(jvm.Path(w)) or ())]
 
 
 def read_findings(
