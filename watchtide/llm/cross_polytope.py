@@ -160,7 +160,8 @@ def similar_vectors(
     named = groups.join(counts, "vec_id", "left").join(parts_of, "vec_id", "left")
     named = named.withColumn("component", F.coalesce("component", "vec_id"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = named.join(least, "component").select(
+    # Dealt anew, so that the join deals both of its sides itself and a large component can be split.
+    named = named.join(least.repartition("component_id"), "component").select(
         "vec_id", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
     out = held.withColumn("vec_id", F.when(F.col("ok"), F.xxhash64("vector"))).join(named, "vec_id", "left")

@@ -66,6 +66,8 @@ def repeated_runs(docs: DataFrame, id_col: str, text: str, least_sentences: int,
         (F.col("place") + F.col("start")).cast("decimal(32,0)").alias("place"),
     )
     first = runs.groupBy("hash").agg(F.count("*").alias("n"), F.min("place").alias("first")).filter("n > 1")
+    # Dealt anew, so that the join deals both of its sides itself and a hot hash can be split.
+    first = first.repartition("first")
     return runs.join(first, "hash").filter("place > first").select("row_key", "start", "sentences")
 
 

@@ -260,7 +260,8 @@ def _named(prints: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
     parts = connected_components(links, "a", "b").withColumnRenamed("node", "print_id")
     nodes = nodes.join(parts, "print_id", "left").withColumn("component", F.coalesce("component", "print_id"))
     least = nodes.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    names = materialize(nodes.join(least, "component").select("print_id", "component_id"))
+    # Dealt anew, so that the join deals both of its sides itself and a large component can be split.
+    names = materialize(nodes.join(least.repartition("component_id"), "component").select("print_id", "component_id"))
     return prints.join(names, "print_id")
 
 
