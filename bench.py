@@ -14,7 +14,7 @@ HEADLINE = (
     "normalize_findings", "triage_parse", "route_events", "query_findings", "extract_features", "ttl_dedup",
     "last_write_wins", "resource_config_lookup", "metric_rollup", "alarm_states", "train_val_split",
     "iforest_score", "score_findings", "chunk_fixed", "vector_topk", "keyword_search", "redact_text",
-    "write_enriched", "stream_normalize", "stream_alerts",
+    "write_enriched", "stream_normalize", "stream_alerts", "read_scored", "kb_ingest", "hybrid_search",
 )
 RUNS = int(os.environ.get("BENCH_RUNS", "1"))
 
