@@ -44,7 +44,7 @@ def _star(edges: DataFrame, *, larger_only: bool) -> DataFrame:
         near = edges
     least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     # Dealt anew, so that the join deals both of its sides itself and a hub can be split.
-    tied = near.join(least.repartition("m"), "u")
+    tied = near.join(least.repartition(F.xxhash64("u")), "u")
     if larger_only:
         pairs = tied.filter("v >= u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
