@@ -174,3 +174,33 @@ def test_vectors_of_the_table(texts_session):
     rows = [(r["vec_id"], r["embedding"]) for r in table.collect()]
     got = sorted(tuple(r) for r in similar_vectors(table).collect())
     assert got == sorted(brute_vectors(rows, 0.9))
+
+
+def shingles_of(text):
+    words = text.lower().split()
+    return {tuple(words[i:i + 5]) for i in range(len(words) - 4)} or {tuple(words)}
+
+
+@pytest.mark.parametrize("block_rows", [8, 1024])
+def test_groups_of_similar_texts_against_brute_force(documents, monkeypatch, block_rows):
+    monkeypatch.setattr(simhash_vptree, "SET_ROWS", block_rows)
+    rng = random.Random(9)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    line = fresh(12)
+    texts = [" ".join([line] * 20 + [fresh(60)]) for _ in range(12)]  # one line that repeats, own words otherwise
+    for n in (5, 8, 10, 11, 12, 13, 14, 30):  # short texts, the last word changed
+        for _ in range(6):
+            base = fresh(n)
+            texts += [base, base.rsplit(" ", 1)[0] + " other"]
+    for n in (104, 204, 404):  # a tail cut or replaced, similarity 0.75 to 0.85
+        for share in (0.77, 0.785, 0.795, 0.8, 0.805, 0.82):
+            base, own = fresh(n).split(), round((n - 4) * (1 - share) / (1 + share))
+            texts += [" ".join(base), " ".join(base[:n - own]) + " " + fresh(own), " ".join(base[:4 + round(share * (n - 4))])]
+    core = fresh(120)
+    texts += [core + " " + fresh(3) for _ in range(40)]  # a large group
+    sets = [shingles_of(t) for t in texts]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    want = components_of(range(len(texts)), links)
+    got = {r["doc_id"]: r["component_id"] for r in simhash_vptree.similar_components(documents(list(enumerate(texts)))).collect()}
+    assert got == want
+    assert 60 < len(set(want.values())) < len(texts) - 50

@@ -1,8 +1,10 @@
-"""SimHash fingerprints of word shingles, and near-duplicates among them by vantage-point trees."""
+"""SimHash fingerprints of word shingles with near-duplicates among them by vantage-point trees, and texts with
+similar sets of shingles."""
 
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from watchtide.llm.components import connected_components
 from watchtide.llm.pair_blocks import pair_cells, star_links
 from watchtide.llm.texts import with_text_columns
+from watchtide.operators.small_side import join_checked
 from watchtide.session import materialize
 
 SEED = 42
@@ -24,10 +27,11 @@ MOST_LEAVES = 8_192
 BRUTE_ROWS = 96
 CHUNK = 1 << 16  # shingles whose bits are counted at once
 
-# The wide search: 512-bit fingerprints, sharded by sampled bits.
-WIDE_WORDS = 8
-WIDE_TABLES = 32
-WIDE_KEY_BITS = 14
+# Similarity of shingles: keys of so many minima each, and blocks of so many sets.
+BAND_ROWS = 4
+MISSED = 1e-4
+SET_ROWS = 1024
+SHINGLES_AT_ONCE = 4096
 
 
 def fingerprint(text: str | None, k: int = SHINGLE_WORDS, words64: int = 1) -> np.ndarray:
@@ -265,85 +269,150 @@ def _named(prints: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
     return prints.join(names, "print_id")
 
 
-# --- wide reach: shards of sampled bits -------------------------------------------------------------------------
+# --- similarity of shingles: keys of minima propose, the shingles decide -----------------------------------------
 
-def bits_apart(similarity: float, bits: int) -> int:
-    """Differing bits of a fingerprint that stand for a Jaccard similarity of shingles (two texts of like length:
-    cosine 2s / (1 + s); each bit differs with probability angle / pi)."""
-    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    """Hashes of the distinct k-word shingles of a text, ascending; words and short texts as in `fingerprint`."""
+    tokens = (text or "").encode("utf-8").lower().split()
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    joined, digest = b" ".join(tokens), xxhash.xxh64_intdigest
+    starts = np.zeros(len(tokens) + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1, out=starts[1:])
+    n = max(1, len(tokens) - k + 1)
+    spans = zip(starts[:n].tolist(), (starts[min(k, len(tokens)):] - 1).tolist())
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, n))
 
 
-def similar_components(
-    docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8
-) -> DataFrame:
-    """(`doc_id`, `row_key`, `component_id`) where texts link at an estimated similarity of their k-word shingles.
+def band_count(similarity: float) -> int:
+    """Bands of BAND_ROWS minima such that a pair of this similarity shares none with probability MISSED at most."""
+    return max(1, math.ceil(math.log(MISSED) / math.log(1 - min(similarity, 0.999) ** BAND_ROWS)))
 
-    A similarity of 0.8 moves about 15 bits in 100, and distances of unrelated fingerprints spread too little for
-    any triangle bound to prune at that reach. So this search draws WIDE_TABLES keys of WIDE_KEY_BITS bits from a
-    512-bit SimHash, and compares whole fingerprints within equal keys: a pair at 0.8 meets with probability 0.96,
-    one at 0.85 with 0.99, one at 0.9 with 0.999. The estimate has a standard error of about 0.04 at 0.8.
-    Nulls, empty texts, repeated rows and missing ids are treated as in `simhash_components`; `row_key` is the
-    xxhash64 of id and text.
-    """
-    rng = np.random.default_rng(SEED)
-    chosen = np.stack([rng.permutation(64 * WIDE_WORDS)[:WIDE_KEY_BITS] for _ in range(WIDE_TABLES)])
-    reach = bits_apart(similarity, 64 * WIDE_WORDS)
 
-    def prints_of(texts: list[str | None]) -> dict:
-        return {"bits": [fingerprint(t, k, WIDE_WORDS).tobytes() for t in texts]}
+@lru_cache(maxsize=2)
+def _orders(bands: int) -> np.ndarray:
+    turns = np.random.default_rng(SEED).integers(0, 1 << 63, (2, bands * BAND_ROWS, 1), dtype=np.uint64)
+    turns[1] = 2 * turns[1] + np.uint64(1)
+    return turns
 
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text).alias("row_key"), F.col(text).alias("_text"))
-    prints = with_text_columns(narrow, "_text", prints_of, "bits: binary").drop("_text")
-    prints = materialize(prints.withColumn("print_id", F.xxhash64("bits")))
-    nodes = materialize(prints.groupBy("print_id", "bits").agg(F.min("doc_id").alias("first_id")))
-    keys = 1 << WIDE_KEY_BITS
-    together = max(1, min(256, LEAF_ROWS * 4 * keys // max(1, nodes.count())))  # keys handled by one call
 
-    def deal(batches):
-        for batch in batches:
-            bits = np.unpackbits(np.frombuffer(b"".join(batch["bits"]), np.uint8).reshape(len(batch), -1), axis=1, bitorder="little")
-            drawn = bits[:, chosen].astype(np.int64) @ (1 << np.arange(WIDE_KEY_BITS))
-            yield pd.DataFrame({
-                "print_id": np.repeat(batch["print_id"].to_numpy(), WIDE_TABLES),
-                "bits": np.repeat(batch["bits"].to_numpy(), WIDE_TABLES),
-                "shard": (drawn + np.arange(WIDE_TABLES) * keys).ravel(),
-            })
-
-    sharded = nodes.select("print_id", "bits").mapInPandas(deal, "print_id bigint, bits binary, shard bigint")
-    cells = pair_cells(sharded, ["shard"], F.col("print_id"), LEAF_ROWS)
-    cells = cells.withColumn("_group", F.expr(f"shard div {together}"))
-    links = cells.groupBy("_group", "cell_a", "cell_b").applyInPandas(_link_keys(reach), "a bigint, b bigint").distinct()
-    return _named(prints, nodes.select("print_id", "first_id"), links).select("doc_id", "row_key", "component_id")
+def band_keys(shingles: np.ndarray, bands: int) -> np.ndarray:
+    """One key per band: BAND_ROWS minima of the shingles under orders of their own, and the band's number.
+
+    Two texts agree in a minimum with a probability that is their Jaccard similarity, whatever their length.
+    """
+    turns = _orders(bands)
+    least = np.full(bands * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), SHINGLES_AT_ONCE):
+        order = (shingles[at:at + SHINGLES_AT_ONCE] ^ turns[0]) * turns[1]
+        np.minimum(least, order.min(axis=1), out=least)
+    rows = least.reshape(bands, BAND_ROWS)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), b) for b, r in enumerate(rows)], np.uint64).view(np.int64)
+
 
+def tied_sets(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what pairs of sets at a Jaccard similarity of `similarity` or more connect.
 
-def _link_keys(reach: int):
-    """Compares the rows of each of several shards with a neighbour that is 1, 2, ... rows on, all shards at once."""
+    Each set is compared with all that nothing reached yet; what it reaches is compared next.
+    """
+    n = len(sets)
+    size = np.array([len(x) for x in sets], np.int64)
+    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    whole, owner = flat, np.repeat(np.arange(n), size)
+    free, held = np.ones(n, bool), n
+    mark = np.zeros(len(names), bool)
+    ends_i, ends_j = [], []
+    for root in range(n):
+        todo = [root] if free[root] else []
+        free[root] = False
+        while todo and free.any():
+            p = todo.pop()
+            if 2 * np.count_nonzero(free) < held:
+                still = free[owner]
+                flat, owner, held = flat[still], owner[still], np.count_nonzero(free)
+            own = whole[bounds[p]:bounds[p + 1]]
+            mark[own] = True
+            shared = np.bincount(owner[mark[flat]], minlength=n)
+            mark[own] = False
+            either = np.maximum(size + size[p] - shared, 1)
+            near = np.flatnonzero(free & (shared / either >= similarity))
+            free[near] = False
+            ends_i.append(near), ends_j.append(np.full(len(near), p))
+            todo += near.tolist()
+    return tuple(np.concatenate(x or [np.zeros(0, np.int64)]) for x in (ends_i, ends_j))
+
+
+def _link_sets(similarity: float):
+    """Links within each of several shards, by the shingles."""
 
     def link(cell: pd.DataFrame) -> pd.DataFrame:
-        cell = cell.sort_values("shard", kind="stable")
-        points = np.frombuffer(b"".join(cell["bits"]), np.uint64).reshape(len(cell), -1)
-        shard, block = cell["shard"].to_numpy(), cell["block"].to_numpy()
-        within = cell["cell_a"].iloc[0] == cell["cell_b"].iloc[0]
-        at, step, found = np.arange(len(cell)), 1, []
-        while True:
-            at = at[at + step < len(cell)]
-            at = at[shard[at] == shard[at + step]]
-            if not len(at):
-                break
-            ask = at if within else at[block[at] != block[at + step]]
-            apart = np.bitwise_count(points[ask] ^ points[ask + step]).sum(axis=1, dtype=np.int32)
-            near = ask[apart <= reach]
-            found.append((near, near + step))
-            step += 1
-        if not found:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        i, j = star_links(len(cell), *(np.concatenate(x) for x in zip(*found)))
-        ids = cell["print_id"].to_numpy()
-        return pd.DataFrame({"a": ids[i], "b": ids[j]})
+        ids, sets = cell["print_id"].to_numpy(), cell["shingles"].to_numpy()
+        ends_a, ends_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for rows in cell.groupby("shard").indices.values():
+            if len(rows) > 1:
+                i, j = tied_sets([sets[r] for r in rows], similarity)
+                ends_a.append(ids[rows[i]]), ends_b.append(ids[rows[j]])
+        return pd.DataFrame({"a": np.concatenate(ends_a), "b": np.concatenate(ends_b)})
 
     return link
 
 
+def similar_components(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """(`doc_id`, `row_key`, `component_id`) where texts link at a Jaccard similarity of their distinct k-word shingles
+    of at least `similarity`.
+
+    Nodes are distinct sets of shingles. Minima of the shingles propose which of them to compare (a pair at exactly
+    `similarity` is missed with probability MISSED, more similar ones less often); every link is then decided by
+    the shingles themselves. Shards with the same rows are compared once, and shingles are only held for texts that
+    share a shard. Full shards are compared in blocks: first each block in itself, then pairs of blocks of the
+    shards that are not connected yet. A task holds the shingles of about two blocks.
+    Nulls, empty texts, repeated rows and missing ids are treated as in `simhash_components`; `row_key` is the
+    xxhash64 of id and text.
+    """
+    bands = band_count(similarity)
+
+    def keys_of(texts: list[str | None]) -> dict:
+        sets = [shingle_set(t, k) for t in texts]
+        names = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+        return {"print_id": names, "keys": [band_keys(x, bands) for x in sets]}
+
+    def sets_of(texts: list[str | None]) -> dict:
+        return {"shingles": [shingle_set(t, k).view(np.int64) for t in texts]}
+
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text).alias("row_key"), F.col(text).alias("_text"))
+    prints = materialize(with_text_columns(narrow, "_text", keys_of, "print_id: bigint, keys: array<bigint>").drop("_text"))
+    nodes = prints.groupBy("print_id").agg(F.min("doc_id").alias("first_id"), F.min("row_key").alias("row_key"), F.first("keys").alias("keys"))
+    nodes = materialize(nodes)
+    sharded = nodes.select("print_id", "row_key", F.explode("keys").alias("shard"))
+    shards = sharded.groupBy("shard").agg(
+        F.count("*").alias("n"), F.sum(F.col("print_id").cast("decimal(28,0)")).alias("rows"),
+        F.sum(F.xxhash64("print_id").cast("decimal(28,0)")).alias("mixed"),
+    ).filter("n > 1")
+    shards = shards.groupBy("n", "rows", "mixed").agg(F.min("shard").alias("shard")).select("shard")
+    met = materialize(sharded.join(shards, "shard"))
+    wanted = met.select("row_key").distinct()
+    held = narrow.select("row_key", "_text").join(wanted, "row_key", "left_semi").dropDuplicates(["row_key"])
+    held = materialize(with_text_columns(held, "_text", sets_of, "shingles: array<bigint>").drop("_text"))
+    groups = max(1, math.ceil(met.count() / SET_ROWS))
+    cells = pair_cells(met, ["shard"], F.col("print_id"), SET_ROWS).withColumn("_group", F.pmod("shard", F.lit(groups)))
+
+    def compared(some: DataFrame) -> DataFrame:
+        full = some.join(held, "row_key").select("_group", "cell_a", "cell_b", "shard", "print_id", "shingles")
+        return full.groupBy("_group", "cell_a", "cell_b").applyInPandas(_link_sets(similarity), "a bigint, b bigint").distinct()
+
+    links = materialize(compared(cells.filter("cell_a = cell_b")))
+    between = materialize(cells.filter("cell_a < cell_b"))
+    if not between.isEmpty():
+        parts = connected_components(links, "a", "b").withColumnRenamed("node", "print_id")
+        named = between.join(parts, "print_id", "left").withColumn("component", F.coalesce("component", "print_id"))
+        apart = named.groupBy("shard").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+        links = links.union(compared(join_checked(between, apart.select("shard"), ["shard"], "inner")))
+    return _named(prints, nodes.select("print_id", "first_id"), links).select("doc_id", "row_key", "component_id")
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
     """`docs` with one document of each group of similar texts: that with the smallest id; columns as they are.
 
