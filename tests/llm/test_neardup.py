@@ -204,3 +204,20 @@ def test_groups_of_similar_texts_against_brute_force(documents, monkeypatch, blo
     got = {r["doc_id"]: r["component_id"] for r in simhash_vptree.similar_components(documents(list(enumerate(texts)))).collect()}
     assert got == want
     assert 60 < len(set(want.values())) < len(texts) - 50
+
+
+@pytest.mark.parametrize("parts", [1, 2, 3])
+def test_vectors_are_found_whatever_the_size_of_keys(texts_session, monkeypatch, parts):
+    monkeypatch.setattr(cross_polytope, "hashes_per_key", lambda n, wide: parts)
+    rng = np.random.default_rng(parts)
+    x, other = rng.normal(size=(2, 1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    other -= (other * x).sum(axis=1, keepdims=True) * x
+    y = 0.9005 * x + np.sqrt(1 - 0.9005**2) * other / np.linalg.norm(other, axis=1, keepdims=True)
+    tables = max(cross_polytope.TABLES, cross_polytope.tables_needed(64, 0.9, parts, cross_polytope.PROBES))
+    a, b = (cross_polytope.bucket_keys(v, tables, parts, cross_polytope.PROBES).reshape(len(v), -1) for v in (x, y))
+    assert np.mean([bool({*p} & {*q}) for p, q in zip(a.tolist(), b.tolist())]) >= 0.998
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x[:100], y[:100]]))]
+    table = texts_session.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = similar_vectors(table).filter("n_links = 1 AND component_id = pmod(vec_id, 100)").count()
+    assert found >= 196

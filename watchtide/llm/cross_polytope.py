@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,9 @@ from watchtide.llm.vectors import matrix, usable
 from watchtide.session import materialize
 
 SIMILARITY = 0.9
-TABLES = 6
+TABLES = 6  # at least; as many as MISSED needs
+MISSED = 1e-4  # share of the pairs at the wanted similarity that meet in no bucket
+TRIAL_PAIRS = 4000  # simulated to find the number of tables; fewer where vectors are long
 PROBES = 2  # buckets of a vector per table, its own included
 BUCKET_ROWS = 512  # wanted on average; more hashes are joined into a key as the input grows
 BLOCK_ROWS = 1024
@@ -75,6 +78,25 @@ def bucket_keys(x: np.ndarray, tables: int, parts: int, probes: int, seed: int =
     return keys
 
 
+def hashes_per_key(n: int, wide: int) -> int:
+    """Hashes joined into a key, so that buckets of n rows hold about BUCKET_ROWS."""
+    return max(1, min(int(50 // math.log2(2 * wide)), round(math.log(max(2, n / BUCKET_ROWS)) / math.log(2 * wide))))
+
+
+@lru_cache(maxsize=64)
+def tables_needed(d: int, similarity: float, parts: int, probes: int) -> int:
+    """Tables after which at most MISSED of the pairs with this cosine have met nowhere, by simulation of the keys."""
+    rng = np.random.default_rng(SEED)
+    x, other = rng.normal(size=(2, max(500, min(TRIAL_PAIRS, (1 << 20) // d)), d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    other -= (other * x).sum(axis=1, keepdims=True) * x
+    size = np.linalg.norm(other, axis=1, keepdims=True)
+    y = similarity * x + math.sqrt(max(0.0, 1 - similarity**2)) * other / np.maximum(size, 1e-12)
+    a, b = (bucket_keys(v / np.linalg.norm(v, axis=1, keepdims=True), 4, parts, probes) for v in (x, y))
+    met = (a[:, :, :, None] == b[:, :, None, :]).any(axis=(2, 3)).mean()
+    return 1 if met >= 1 - MISSED else math.ceil(math.log(MISSED) / math.log(1 - max(met, 1e-3)))
+
+
 def _compare(similarity: float):
     """Links of a cell's rows: per row the vectors it is linked to that no earlier shared bucket counts, and as few
     links as connect what is linked here."""
@@ -123,8 +145,9 @@ def similar_vectors(
     vectors and vectors with null or non-finite components have no links and are their own component. Equal
     vectors are compared once and counted each; repeated rows link as copies do. A row without an id has a null
     component and counts as a link of others. A full bucket is compared in blocks, in as many tasks as needed;
-    tasks give counts and connecting links, never all pairs. At cosine 0.9 in 64 dimensions a pair is missed
-    about once in a thousand; the tests measure it.
+    tasks give counts and connecting links, never all pairs. Larger inputs join more hashes into a key, and get as
+    many tables more (`tables` is the least) as keep the share of missed pairs at `similarity` at about MISSED,
+    by simulation for the number of dimensions; the tests measure it.
     """
     held = rows.select(F.col(id_col).alias("id"), F.col(vector).alias("vector")).withColumn("ok", usable("vector"))
     groups = held.filter("ok").groupBy("vector").agg(F.count("*").alias("copies"), F.min("id").alias("first_id"))
@@ -132,7 +155,8 @@ def similar_vectors(
     counted = groups.agg(F.count("*"), F.max(F.size("vector"))).first()
     n, d = counted[0], counted[1] or 2
     wide = max(2, 1 << (d - 1).bit_length())
-    parts = max(1, min(int(50 // math.log2(2 * wide)), round(math.log(max(2, n / BUCKET_ROWS)) / math.log(2 * wide))))
+    parts = hashes_per_key(n, wide)
+    tables = max(tables, tables_needed(d, similarity, parts, probes))
 
     def deal(batches):
         for batch in batches:
