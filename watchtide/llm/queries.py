@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from watchtide.llm import importance_resampling, maxscore_search, vector_codes
 from watchtide.llm.cross_polytope import similar_vectors
 from watchtide.llm.language_id import language_query
 from watchtide.llm.pairwise_quality import quality_query
@@ -94,3 +95,20 @@ def op9_pairwise_quality(spark, table):
 @query("op10_vptree_search")
 def op10_vptree_search(spark, table):
     return nearest(table("embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op11_importance_resampling", sql=importance_resampling.ORACLE)
+def op11_importance_resampling(spark, table):
+    found = importance_resampling.resample(table("documents"), table("benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op12_maxscore_search", sql=maxscore_search.oracle())
+def op12_maxscore_search(spark, table):
+    return maxscore_search.top_products(table("embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op13_vector_codes", sql=vector_codes.oracle())
+def op13_vector_codes(spark, table):
+    codes, _books = vector_codes.compress(table("embeddings"))
+    return codes
