@@ -9,8 +9,9 @@ from watchtide.functions.redact import redact
 from watchtide.operators.dedup import _claims_of_sorted, claim_check, last_write_wins, ttl_dedup
 from watchtide.operators.iforest import Hyperparameters, IsolationForest, average_path, depth_limit, draw_samples, iforest_fit
 from watchtide.operators.quantiles import exact_percentile, grouped_percentiles, order_statistic
+from watchtide.operators.keyword_index import keyword_search
 from watchtide.operators.retrieval import (
-    build_vector_index, chunk_fixed, keyword_search, recall, vector_topk, vector_topk_approx,
+    build_vector_index, chunk_fixed, recall, vector_topk, vector_topk_approx,
 )
 from watchtide.operators.split import train_val_split
 from watchtide.operators.topk import top_k_per
@@ -257,7 +258,7 @@ def test_keyword_search(spark):
     questions = spark.createDataFrame([(1, "RED"), (2, "hen fox"), (3, "nothing"), (4, "?!")], "query_id long, text string")
     got = found(keyword_search(chunks, questions, k=10))
     assert got == {1: ["b", "a"], 2: ["a", "c"]}
-    assert found(keyword_search(chunks, questions, k=1, block_bytes=20)) == {1: ["b"], 2: ["a"]}
+    assert found(keyword_search(chunks, questions, k=1)) == {1: ["b"], 2: ["a"]}
 
 
 REDACTED = [

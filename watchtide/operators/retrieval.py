@@ -1,4 +1,4 @@
-"""Chunking, vector, keyword and hybrid search over finding text."""
+"""Chunking, vector and hybrid search over finding text."""
 
 from __future__ import annotations
 
@@ -8,19 +8,18 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from watchtide.operators.keyword_index import SCORE_DIGITS, keyword_search
 from watchtide.operators.small_side import measured_bytes
+from watchtide.operators.spread import spread
 from watchtide.operators.topk import top_k_per
 from watchtide.session import materialize
 
-# Chunk size and overlap in tokens; usual BM25 and rank-fusion constants.
+# Chunk size and overlap in tokens; usual rank-fusion constant.
 CHUNK_TOKENS, OVERLAP_PERCENT = 300, 20
-BM25_K1, BM25_B = 1.2, 0.75
 FUSION_K = 60
-SCORE_DIGITS = 6
 BLOCK_BYTES = 32 * 1024 * 1024
 SCORE_ROWS = 1024  # rows per scoring step, at most
 SCORE_CELLS = 1 << 22  # cells of any matrix of questions, words or rows
@@ -37,7 +36,7 @@ def chunk_fixed(
     """
     step = max_tokens - max_tokens * overlap_percent // 100
     tokens = F.array_remove(F.split(F.col(text), r"\s+"), "")
-    sized = documents.select(F.col(id_column), tokens.alias("_t")).withColumn("_n", F.size("_t"))
+    sized = spread(documents.select(id_column, text)).select(F.col(id_column), tokens.alias("_t")).withColumn("_n", F.size("_t"))
     last = F.greatest(F.ceil((F.col("_n") - max_tokens) / step), F.lit(0)).cast("int")
     pieces = F.transform(
         F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(F.col("_t"), i * step + 1, max_tokens), " ")
@@ -50,11 +49,6 @@ def chunk_fixed(
     )
 
 
-def words(text: Column) -> Column:
-    """Lower-cased runs of letters and digits; no stemming, no stop words."""
-    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
-
-
 def _blocks(questions: DataFrame, limit: int) -> Iterator[pd.DataFrame]:
     """The questions in driver-sized parts: at most about `limit` bytes, and SCORE_CELLS cells of questions x words
     (a word takes four bytes or more)."""
@@ -151,81 +145,6 @@ def _or_empty(found: DataFrame | None, chunks: DataFrame) -> DataFrame:
     return chunks.sparkSession.createDataFrame([], FOUND) if found is None else found
 
 
-def keyword_search(
-    chunks: DataFrame, questions: DataFrame, *, k: int = 10, block_bytes: int = BLOCK_BYTES
-) -> DataFrame:
-    """The k best chunks per question by BM25: (query_id, chunk_id, score, rank).
-
-    chunks: chunk_id string, chunk; questions: query_id long, text. Only word
-    statistics come back to the driver, at most one row per question word.
-    """
-    worded = chunks.select("chunk_id", words(F.col("chunk")).alias("words"))
-    found = None
-    for block in _blocks(questions.select("query_id", F.array_distinct(words(F.col("text"))).alias("words")), block_bytes):
-        vocabulary = sorted({w for row in block["words"] for w in row})
-        if not vocabulary:
-            continue
-        n, mean_length, holders = _word_statistics(worded, vocabulary)
-        if not n:
-            break
-        idf = np.log(1.0 + (n - holders + 0.5) / (holders + 0.5))
-        weights = np.zeros((len(vocabulary), len(block)))
-        place = {w: i for i, w in enumerate(vocabulary)}
-        for q, row in enumerate(block["words"]):
-            at = [place[w] for w in row]
-            weights[at, q] = idf[at]
-
-        def bm25(rows: pa.RecordBatch, vocabulary=vocabulary, weights=weights, mean_length=mean_length) -> np.ndarray:
-            parts = []
-            step = _step(len(vocabulary))
-            for part in (rows.slice(i, step) for i in range(0, rows.num_rows, step)):
-                counts, length = _word_counts(part, vocabulary)
-                length = length[:, None] / mean_length
-                parts.append((counts * (BM25_K1 + 1) / (counts + BM25_K1 * (1 - BM25_B + BM25_B * length))) @ weights)
-            return np.vstack(parts)
-
-        scan = _best_per_question(block["query_id"].to_numpy(), k, bm25, 0.0)
-        part = worded.mapInArrow(scan, FOUND)
-        found = part if found is None else found.unionByName(part)
-    return _merge(_or_empty(found, chunks), k)
-
-
-def _word_counts(rows: pa.RecordBatch, vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(rows x vocabulary counts, words per row) of a batch with a `words` column."""
-    column = rows.column("words")
-    length = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(float)
-    parents = pc.list_parent_indices(column).to_numpy(zero_copy_only=False)
-    place = pc.index_in(pc.list_flatten(column), value_set=pa.array(vocabulary, pa.string()))
-    known = pc.is_valid(place).to_numpy(zero_copy_only=False)
-    cell = parents[known] * len(vocabulary) + place.drop_null().to_numpy()
-    counts = np.bincount(cell, minlength=len(length) * len(vocabulary)).astype(float)
-    return counts.reshape(len(length), len(vocabulary)), length
-
-
-def _word_statistics(worded: DataFrame, vocabulary: list[str]) -> tuple[int, float, np.ndarray]:
-    """(chunks, mean words per chunk, chunks that hold each word), summed per partition first."""
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = _step(len(vocabulary))
-        holders, rows_seen, words_seen = np.zeros(len(vocabulary), dtype=np.int64), 0, 0
-        for batch in batches:
-            for rows in (batch.slice(i, step) for i in range(0, batch.num_rows, step)):
-                counts, length = _word_counts(rows, vocabulary)
-                holders += (counts > 0).sum(axis=0)
-                rows_seen, words_seen = rows_seen + len(length), words_seen + int(length.sum())
-        at = np.flatnonzero(holders)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([-1, -2, *at], pa.int32()), pa.array([rows_seen, words_seen, *holders[at]], pa.int64())],
-            names=["place", "n"],
-        )
-
-    tallied = dict(worded.select("words").mapInArrow(tally, "place int, n long").groupBy("place").sum("n").collect())
-    n, total = tallied.pop(-1, 0), tallied.pop(-2, 0)
-    holders = np.zeros(len(vocabulary))
-    holders[list(tallied)] = list(tallied.values())
-    return n, total / n if n else 0.0, holders
-
-
 def hybrid_search(chunks: DataFrame, questions: DataFrame, *, k: int = 10, depth: int = 50) -> DataFrame:
     """Vector and keyword results fused by reciprocal rank: (query_id, chunk_id, score, rank).
 

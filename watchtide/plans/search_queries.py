@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from watchtide.functions.redact import ENTITIES
+from watchtide.operators.keyword_index import add_to_index, keyword_search, search_index
 from watchtide.operators.redaction import redact_text, redaction_report
 from watchtide.operators.retrieval import (
     build_vector_index,
     chunk_fixed,
     hybrid_search,
-    keyword_search,
     recall,
     vector_topk,
     vector_topk_approx,
@@ -91,21 +91,38 @@ def _bm25_sql(chunks: str, question_sql: str) -> str:
     FROM asked a JOIN postings p USING (word) JOIN holders h USING (word) CROSS JOIN totals GROUP BY ALL)"""
 
 
-@query(
-    "keyword_search",
+KEYWORD_SQL = (
     "WITH "
     + _bm25_sql(
         f"SELECT CONCAT(CAST(doc_id AS VARCHAR), '#', CAST(chunk_no AS VARCHAR)) AS chunk_id, chunk FROM ({CHUNKS_SQL})",
         "SELECT item_id AS query_id, text FROM benchmark",
     )
-    + RANKED.format("SELECT * FROM bm25 WHERE score > 0", 10),
+    + RANKED.format("SELECT * FROM bm25 WHERE score > 0", 10)
 )
-def _(t):
-    chunks = chunk_fixed(t.table("documents")).select(
-        F.concat_ws("#", F.col("doc_id").cast("string"), F.col("chunk_no").cast("string")).alias("chunk_id"), "chunk"
+
+
+def text_chunks(t: Inputs) -> DataFrame:
+    return chunk_fixed(t.table("documents")).select(
+        "doc_id", F.concat_ws("#", F.col("doc_id").cast("string"), F.col("chunk_no").cast("string")).alias("chunk_id"), "chunk"
     )
-    questions = t.table("benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return keyword_search(chunks, questions, k=10).withColumn("rank", F.col("rank").cast("long"))
+
+
+def text_questions(t: Inputs) -> DataFrame:
+    return t.table("benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+@query("keyword_search", KEYWORD_SQL)
+def _(t):
+    return keyword_search(text_chunks(t), text_questions(t), k=10).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("keyword_index", KEYWORD_SQL)
+def _(t):
+    """Documents arrive in two loads, the second of which is repeated."""
+    path = t.scratch("keyword-index")
+    for load, kept in (("even", F.col("doc_id") % 2 == 0), ("odd", F.col("doc_id") % 2 != 0), ("odd", F.col("doc_id") % 2 != 0)):
+        add_to_index(text_chunks(t).filter(kept), path, load=load)
+    return search_index(t.spark, path, text_questions(t), k=10).withColumn("rank", F.col("rank").cast("long"))
 
 
 # Each benchmark text asks with the centre of one label as its vector.
