@@ -10,9 +10,7 @@ from watchtide.operators.dedup import _claims_of_sorted, claim_check, last_write
 from watchtide.operators.iforest import Hyperparameters, IsolationForest, average_path, depth_limit, draw_samples, iforest_fit
 from watchtide.operators.quantiles import exact_percentile, grouped_percentiles, order_statistic
 from watchtide.operators.keyword_index import keyword_search
-from watchtide.operators.retrieval import (
-    build_vector_index, chunk_fixed, recall, vector_topk, vector_topk_approx,
-)
+from watchtide.operators.retrieval import chunk_fixed, vector_topk
 from watchtide.operators.split import train_val_split
 from watchtide.operators.topk import top_k_per
 from watchtide.schemas import FEATURE_COLUMNS
@@ -242,15 +240,6 @@ def test_vector_topk(spark, block_bytes):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def test_vector_index(spark, tmp_path):
-    chunks, questions, best = vector_frames(spark)
-    build_vector_index(chunks, str(tmp_path), cells=8)
-    assert found(vector_topk_approx(spark, str(tmp_path), questions, k=5, probes=8)) == best
-    near = vector_topk_approx(spark, str(tmp_path), questions, k=5, probes=3)
-    share = recall(vector_topk(chunks, questions, k=5), near).agg(F.avg("recall")).first()[0]
-    assert share > 0.5
-
-
 def test_keyword_search(spark):
     chunks = spark.createDataFrame(
         [("a", "Red fox, red hen"), ("b", "red"), ("c", "blue hen hen hen"), ("d", "...")], "chunk_id string, chunk string"

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from watchtide.operators.keyword_index import SCORE_DIGITS, keyword_search
@@ -109,7 +109,8 @@ def _merge(found: DataFrame, k: int) -> DataFrame:
     return top_k_per(found, ["query_id"], order, k, salt=F.col("chunk_id"))
 
 
-def _unit_rows(matrix: np.ndarray) -> np.ndarray:
+def unit_rows(matrix: np.ndarray) -> np.ndarray:
+    """Rows of length one; zero rows stay."""
     return matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
 
 
@@ -117,7 +118,7 @@ def _vectors(rows: pa.RecordBatch) -> np.ndarray:
     """Unit vectors of a batch. All embeddings have one length."""
     column = rows.column("embedding")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
-    return _unit_rows(flat.reshape(len(column), -1))
+    return unit_rows(flat.reshape(len(column), -1))
 
 
 def vector_topk(
@@ -130,7 +131,7 @@ def vector_topk(
     """
     found = None
     for block in _blocks(questions.select("query_id", "embedding"), block_bytes):
-        matrix = _unit_rows(np.array(block["embedding"].tolist(), dtype=float))
+        matrix = unit_rows(np.array(block["embedding"].tolist(), dtype=float))
 
         def cosine(rows: pa.RecordBatch, matrix: np.ndarray = matrix) -> np.ndarray:
             return _vectors(rows) @ matrix.T
@@ -156,58 +157,3 @@ def hybrid_search(chunks: DataFrame, questions: DataFrame, *, k: int = 10, depth
     votes = lists[0].unionByName(lists[1]).withColumn("_vote", 1.0 / (F.lit(float(FUSION_K)) + F.col("rank")))
     fused = votes.groupBy("query_id", "chunk_id").agg(F.round(F.sum("_vote"), 9).alias("score"))
     return top_k_per(fused, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k, salt=F.col("chunk_id"))
-
-
-def build_vector_index(chunks: DataFrame, path: str, *, cells: int = 16, seed: int = 42) -> DataFrame:
-    """Writes chunks partitioned by their nearest k-means centre and returns the centres (cell, centre).
-
-    The table stands in for a vector index: a search reads only the cells it
-    probes. Unit vectors make Euclidean and cosine neighbours agree.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
-    unit = chunks.withColumn(
-        "_v", array_to_vector(F.transform("embedding", lambda x: x.cast("double") / F.greatest(norm, F.lit(1e-300))))
-    )
-    model = KMeans(k=cells, seed=seed, featuresCol="_v", predictionCol="cell").fit(unit)
-    model.transform(unit).drop("_v").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/chunks")
-    centres = chunks.sparkSession.createDataFrame(
-        [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cell int, centre array<double>"
-    )
-    centres.coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
-    return centres
-
-
-def vector_topk_approx(
-    spark: SparkSession, path: str, questions: DataFrame, *, k: int = 10, probes: int = 4,
-    block_bytes: int = BLOCK_BYTES,
-) -> DataFrame:
-    """Approximate nearest chunks: each question looks into its `probes` nearest cells only."""
-    centres = spark.read.parquet(f"{path}/centres").toPandas().sort_values("cell")
-    places = np.array(centres["centre"].tolist())
-    chunks = spark.read.parquet(f"{path}/chunks")
-    found = None
-    for block in _blocks(questions.select("query_id", "embedding"), block_bytes):
-        matrix = _unit_rows(np.array(block["embedding"].tolist(), dtype=float))
-        away = ((matrix[:, None, :] - places[None, :, :]) ** 2).sum(axis=2)
-        probed = np.zeros(away.shape, dtype=bool)
-        np.put_along_axis(probed, np.argsort(away, axis=1, kind="stable")[:, :probes], True, axis=1)
-        cells = [int(c) for c in centres["cell"].to_numpy()[probed.any(axis=0)]]
-
-        def cosine(rows: pa.RecordBatch, matrix=matrix, probed=probed) -> np.ndarray:
-            return np.where(probed[:, rows.column("cell").to_numpy()].T, _vectors(rows) @ matrix.T, -2.0)
-
-        scan = _best_per_question(block["query_id"].to_numpy(), k, cosine, -1.5)
-        part = chunks.filter(F.col("cell").isin(cells)).select("chunk_id", "embedding", "cell").mapInArrow(scan, FOUND)
-        found = part if found is None else found.unionByName(part)
-    return _merge(_or_empty(found, chunks), k)
-
-
-def recall(exact: DataFrame, approx: DataFrame) -> DataFrame:
-    """Share of the exact neighbours that the approximate search found, per question."""
-    hit = approx.select("query_id", "chunk_id", F.lit(1).alias("_hit"))
-    return exact.join(hit, ["query_id", "chunk_id"], "left").groupBy("query_id").agg(
-        (F.count("_hit") / F.count(F.lit(1))).alias("recall")
-    )

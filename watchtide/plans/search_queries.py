@@ -8,14 +8,8 @@ from pyspark.sql import functions as F
 from watchtide.functions.redact import ENTITIES
 from watchtide.operators.keyword_index import add_to_index, keyword_search, search_index
 from watchtide.operators.redaction import redact_text, redaction_report
-from watchtide.operators.retrieval import (
-    build_vector_index,
-    chunk_fixed,
-    hybrid_search,
-    recall,
-    vector_topk,
-    vector_topk_approx,
-)
+from watchtide.operators.retrieval import chunk_fixed, hybrid_search, vector_topk
+from watchtide.operators.vector_index import build_vector_index, recall, rows_read, vector_topk_approx
 from watchtide.plans.registry import Inputs, query
 
 TOKENS_SQL = "list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '')"
@@ -69,11 +63,13 @@ def _(t):
 
 @query("vector_topk_approx")
 def _(t):
+    """Every hundredth row asks, against all rows; each answer with its recall and the share of codes read for it."""
     path = t.scratch("vector-index")
     build_vector_index(vectors(t), path)
-    questions = centres(t)
+    questions = t.table("embeddings").filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
     near = vector_topk_approx(t.spark, path, questions, k=10)
-    return near.join(recall(vector_topk(vectors(t), questions, k=10), near), "query_id")
+    exact = vector_topk(vectors(t).filter("embedding IS NOT NULL"), questions.filter("embedding IS NOT NULL"), k=10)
+    return near.join(recall(exact, near), "query_id").join(rows_read(t.spark, path, questions), "query_id")
 
 
 def _bm25_sql(chunks: str, question_sql: str) -> str:
