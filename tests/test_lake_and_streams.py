@@ -1,6 +1,8 @@
 """Storage round trips and streams fed in several files, with restarts."""
 
 import json
+import random
+import shutil
 from datetime import date, datetime, timedelta, timezone
 
 import pytest
@@ -232,6 +234,48 @@ def test_stream_alerts_equals_batch_dedup(spark, tmp_path):
     assert alerts.filter(F.col("subject").startswith("[8] GuardDuty finding")).count() == alerts.count()
 
 
+def claims_of(df):
+    return sorted((r[0], r[1]) for r in df.collect())
+
+
+def test_held_alerts_equal_batch_dedup_in_any_order(spark, tmp_path):
+    """Events come out of order, across files and restarts; a flush of the watermark releases the last ones."""
+    rng = random.Random(5)
+    inbox, out, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp")
+    rows = [finding(f"id{rng.randrange(6)}", DAY + timedelta(minutes=rng.randrange(6000), microseconds=rng.randrange(10**6))) for _ in range(300)]
+    rows += [finding("hot", DAY + timedelta(minutes=13 * i)) for i in range(300)] + [finding("low", severity=3)]
+    rows.sort(key=lambda r: datetime.fromisoformat(r[4]).timestamp() + rng.uniform(-86_000, 0))  # up to a day late
+    for part in range(0, len(rows), 121):
+        drop_file(spark, rows[part:part + 121], inbox, f"{part:03d}.json")
+        jobs.stream_alerts(feed(spark, inbox), out, checkpoint, job="t", ts=at_time(), hold=86_400).awaitTermination()
+    drop_file(spark, [finding("flush", DAY + timedelta(days=30))], inbox, "999.json")
+    last = jobs.stream_alerts(feed(spark, inbox), out, checkpoint, job="t", ts=at_time(), hold=86_400)
+    last.awaitTermination()
+    want = ttl_dedup(event_frame(spark, [r for r in rows if r[5] != "low"]), id_column="id", ts=at_time())
+    assert claims_of(spark.read.parquet(out).select("id", "claimed_at")) == claims_of(want.select("finding_id", "claimed_at"))
+    # Every id but the flush has left the state, its timer and its waiting alerts with it.
+    assert last.lastProgress["stateOperators"][0]["numRowsTotal"] <= 6
+
+
+def test_alert_state_is_bounded_by_live_claims(spark, tmp_path):
+    """Each day brings ids of its own; claims that ended a day ago are gone, and no batch reads the alert table."""
+    inbox, out, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp")
+    sizes = []
+    for day in range(6):
+        rows = [finding(f"d{day}i{i}", DAY + timedelta(days=day, seconds=i)) for i in range(40)]
+        drop_file(spark, rows, inbox, f"{day}.json")
+        query = jobs.stream_alerts(feed(spark, inbox), out, checkpoint, job="t", ts=at_time(), hours=12)
+        query.awaitTermination()
+        sizes.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+        shutil.rmtree(out) if day == 3 else None  # whatever became of earlier alerts, claims still hold
+    assert max(sizes[2:]) <= max(sizes[:2])
+    rows = [finding("d5i0", DAY + timedelta(days=5, hours=11)), finding("d5i1", DAY + timedelta(days=5, hours=12, seconds=1))]
+    drop_file(spark, rows, inbox, "9.json")
+    jobs.stream_alerts(feed(spark, inbox), out, checkpoint, job="t", ts=at_time(), hours=12).awaitTermination()
+    counts = dict(claims_of(spark.read.parquet(out).groupBy("id").count()))
+    assert counts["d5i0"] == 1 and counts["d5i1"] == 2 and len(counts) == 80
+
+
 METRIC = "ts timestamp, name string, dim string, value double, failures int"
 
 

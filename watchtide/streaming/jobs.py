@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
-from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from watchtide.operators.alerts import format_alert, triage_parse
-from watchtide.operators.dedup import DEDUP_HOURS, ttl_dedup
+from watchtide.operators.dedup import DEDUP_HOURS
 from watchtide.operators.iforest import IsolationForest
 from watchtide.operators.metrics import ALARM_THRESHOLD, PERIOD_SECONDS
 from watchtide.operators.normalize import normalize_findings
@@ -29,7 +28,6 @@ MAX_EVENT_AGE = 3600
 LATENESS = f"{MAX_EVENT_AGE} seconds"
 STATE_STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-CLAIMS = "id string, claimed_at long, claim_day string, load string"
 AVAILABLE_NOW = {"availableNow": True}
 
 
@@ -101,53 +99,126 @@ def high_severity_alerts(events: DataFrame, *, ts: Column, keep: Sequence[str] =
     return triage_parse(timed, keep=["ts", *keep])
 
 
-def claim_alerts(alerts: DataFrame, held: DataFrame | None = None, *, hours: int = DEDUP_HOURS) -> DataFrame:
-    """The alerts (id, ts, …) that claim their id, with `claimed_at`; `held` are claims made before.
+class ClaimProcessor(StatefulProcessor):
+    """Per id: its last claim, until a timer at the end of that claim's window clears it.
 
-    Of several alerts of an id in the claiming second the first one stands.
+    Without holding, alerts claim as they arrive, those of a batch in event-time order, and one older than the last
+    claim is a repeat. With holding, alerts wait until the watermark has passed their second, so that they claim in
+    event-time order whatever order they came in. An id has one timer, at its next waiting second or the end of its
+    claim; it is kept with the claim, so that an id costs one read and one write of its state.
     """
-    columns = [*alerts.columns, "claimed_at"]
-    claims = ttl_dedup(alerts, id_column="id", ts=F.col("ts"), hours=hours, claims=held)
-    timed = alerts.withColumn("claimed_at", F.unix_timestamp("ts"))
-    winners = timed.join(
-        claims.select(F.col("finding_id").alias("id"), "claimed_at"), ["id", "claimed_at"], "left_semi"
+
+    def __init__(self, window: int, hold: bool) -> None:
+        self.window, self.hold = window, hold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("claim", "claimed_at long, timer long")
+        if self.hold:
+            self.waiting = handle.getMapState("waiting", "second long", "place string, alert string")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803  (the API's names)
+        firsts: dict[int, tuple[str, str]] = {}
+        for row in rows:
+            if row.second not in firsts or row.place < firsts[row.second][0]:
+                firsts[row.second] = (row.place, row.alert)
+        last, timer = self.state.get() or (None, None)
+        if self.hold:
+            for second, first in firsts.items():
+                held = self.waiting.getValue((second,)) if self.waiting.containsKey((second,)) else None
+                if held is None or first[0] < held[0]:
+                    self.waiting.updateValue((second,), first)
+            soonest = min(firsts)
+            self._keep(last, timer, soonest if timer is None else min(timer, soonest))
+        else:
+            claims = self._claims(last, firsts)
+            if claims:
+                self._keep(claims[-1], timer, claims[-1] + self.window)
+            yield from self._rows(key, claims, firsts)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        last, _timer = self.state.get()
+        passed = timerValues.getCurrentWatermarkInMs() // 1000
+        soonest = None
+        if self.hold:
+            due = {second: tuple(first) for (second,), first in self.waiting.iterator() if second < passed}
+            for second in due:
+                self.waiting.removeKey((second,))
+            claims = self._claims(last, due)
+            last = claims[-1] if claims else last
+            soonest = min((second for (second,) in self.waiting.keys()), default=None)
+            yield from self._rows(key, claims, due)
+        if last is not None and last + self.window < passed:
+            last = None
+        if soonest is None and last is not None:
+            soonest = last + self.window
+        if soonest is None:
+            self.state.clear()
+        else:
+            self._keep(last, None, soonest)
+
+    def _claims(self, last: int | None, firsts: dict[int, tuple[str, str]]) -> list[int]:
+        claims = []
+        for second in sorted(firsts):
+            if last is None or second >= last + self.window:
+                claims.append(second)
+                last = second
+        return claims
+
+    def _rows(self, key: tuple, claims: list[int], firsts: dict[int, tuple[str, str]]) -> Iterator[Row]:
+        return (Row(id=key[0], claimed_at=second, alert=firsts[second][1]) for second in claims)
+
+    def _keep(self, last: int | None, timer: int | None, wanted: int) -> None:
+        """The state, and the id's one timer at the end of the wanted second."""
+        if timer != wanted:
+            if timer is not None:
+                self.handle.deleteTimer((timer + 1) * 1000)
+            self.handle.registerTimer((wanted + 1) * 1000)
+        self.state.update((last, wanted))
+
+    def close(self) -> None:
+        pass
+
+
+def claim_alerts(alerts: DataFrame, *, hours: int = DEDUP_HOURS, hold: int | None = None) -> DataFrame:
+    """The alerts of a stream (id, ts, …) that claim their id, with `claimed_at`: one per id and window.
+
+    Of several alerts of an id in the claiming second the first one stands. `hold` seconds make alerts wait for
+    earlier ones that come up to so much later; without it they claim at once, and what is older than its id's last
+    claim is a repeat. Alerts that come later than `hold` (else the window) behind the newest are dropped, as by any
+    watermark; alerts without an id or a time are left out.
+    """
+    columns = alerts.schema
+    told = alerts.filter("id IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", f"{hours * 3600 if hold is None else hold} seconds")
+    row = F.struct(*alerts.columns)
+    # Places order alerts of one second: microseconds since the second, then a hash of the whole row.
+    place = F.concat(F.lpad((F.unix_micros("ts") % 1_000_000).cast("string"), 6, "0"), F.hex(F.xxhash64(row)))
+    rows = told.select("ts", "id", F.unix_timestamp("ts").alias("second"), place.alias("place"), F.to_json(row).alias("alert"))
+    alerts.sparkSession.conf.set(STATE_STORE_CONF, ROCKSDB_STORE)  # the only store that keeps timers
+    claimed = rows.groupBy("id").transformWithState(
+        ClaimProcessor(hours * 3600, hold is not None), "id string, claimed_at long, alert string", "Append", "EventTime"
     )
-    row = F.struct(*columns)
-    first = winners.groupBy("id", "claimed_at").agg(F.min_by(row, F.struct("ts", F.xxhash64(row))).alias("_a"))
-    return first.select("_a.*")
+    return claimed.select("claimed_at", F.from_json("alert", columns).alias("_a")).select("_a.*", "claimed_at")
 
 
 def stream_alerts(
     events: DataFrame, path: str, checkpoint: str, *, job: str, ts: Column, hours: int = DEDUP_HOURS,
-    trigger: dict = AVAILABLE_NOW,
+    hold: int | None = None, trigger: dict = AVAILABLE_NOW,
 ) -> StreamingQuery:
-    """High-severity events to formatted alerts, one per id and window.
+    """High-severity events to formatted alerts, one per id and window (`claim_alerts`).
 
-    The alert table is the claim table: a micro-batch reads the days whose
-    claims can still be live, leaving out its own rows, and appends what it
-    claims. Claims and alerts so commit together, and a replayed batch replaces
-    exactly its own. An event older than its id's last claim counts as a repeat.
+    Claims are keyed state: a batch reads no alert written before, and an id leaves the state when its claim ends.
+    State and output commit by batch; a replayed batch replaces exactly its own alerts.
     """
+    _load(job, 0)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark, load = batch.sparkSession, _load(job, batch_id)
-        alerts = high_severity_alerts(batch, ts=ts).persist()
-        try:
-            oldest = alerts.agg(F.min("ts")).first()[0]
-            if oldest is None:
-                return
-            first_day = f"{oldest - timedelta(hours=hours):%Y-%m-%d}"
-            held = read_table(spark, path, CLAIMS).filter(
-                (F.col("claim_day") >= first_day) & (F.col("load") != load)
-            ).select(F.col("id").alias("finding_id"), "claimed_at")
-            claimed = format_alert(claim_alerts(alerts, held, hours=hours))
-            day = F.date_format(F.timestamp_seconds("claimed_at"), "yyyy-MM-dd")
-            append_load(claimed.withColumn("claim_day", day), path, load, by=("claim_day",))
-        finally:
-            alerts.unpersist()
+        day = F.date_format(F.timestamp_seconds("claimed_at"), "yyyy-MM-dd")
+        append_load(format_alert(batch).withColumn("claim_day", day), path, _load(job, batch_id), by=("claim_day",))
 
+    claimed = claim_alerts(high_severity_alerts(events, ts=ts), hours=hours, hold=hold)
     return (
-        events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+        claimed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
     )
 
 
