@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from watchtide.functions import redact as rx
+from watchtide.operators.spread import spread
 
 
 def redact_text(documents: DataFrame, *, text: str = "text") -> DataFrame:
     """`documents` with the text column redacted."""
-    return documents.withColumn(text, rx.redact(F.col(text)))
+    return spread(documents).withColumn(text, rx.redact(F.col(text)))
 
 
 def redaction_report(documents: DataFrame, *, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -23,7 +24,7 @@ def redaction_report(documents: DataFrame, *, id_column: str = "doc_id", text: s
         F.struct(F.lit(name).alias("entity"), (after[name] - before[name]).alias("found")) for name in after
     ])
     return (
-        documents.withColumn("_redacted", rx.redact(F.col(text)))
+        spread(documents.select(id_column, text)).withColumn("_redacted", rx.redact(F.col(text)))
         .filter(F.col("_redacted") != F.col(text))
         .select(id_column, F.explode(counts).alias("c"))
         .select(id_column, "c.*")
