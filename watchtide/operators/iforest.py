@@ -198,6 +198,11 @@ def iforest_fit(
     """
     params = params or Hyperparameters()
     columns = [c for c in features.columns if c in FEATURE_COLUMNS]
+    # The narrow matrix is written once: the count, the draw and the training scores all read it.
+    return _fit_written(materialize(features.select(key, *columns)), key, columns, params, margin)
+
+
+def _fit_written(features: DataFrame, key: str, columns: list[str], params: Hyperparameters, margin: float) -> IsolationForest:
     n = features.count()
     if n == 0:
         raise ValueError("no training rows")
@@ -209,7 +214,7 @@ def iforest_fit(
     if full < params.n_estimators:
         if margin > 100:
             raise ValueError(f"column {key!r} is not unique enough to draw {samples} rows per tree")
-        return iforest_fit(features, key=key, params=params, margin=margin * 3)
+        return _fit_written(features, key, columns, params, margin * 3)
     model = IsolationForest(nodes, params, samples, 0.0, tuple(columns))
     scores = materialize(features.select(model.raw_score().alias("raw")))
     return replace(model, offset=exact_percentile(scores, "raw", params.contamination))
