@@ -110,6 +110,17 @@ def test_one_of_each_group(documents):
     ]
 
 
+def test_one_row_stays_whatever_the_ids(documents):
+    """Near copies that share an id, have none, or whose groups share their smallest id."""
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(200)) for _ in range(4)]
+    rows = [(5, texts[0]), (5, texts[0] + " one"), (6, texts[0] + " two")]
+    rows += [(None, texts[1]), (None, texts[1] + " more"), (5, texts[2]), (9, texts[2] + " end"), (5, texts[3]), (5, texts[3])]
+    kept = one_of_each(documents(rows)).collect()
+    groups = [[i for i, t in enumerate(texts) if r["text"].startswith(t)][0] for r in kept]
+    assert sorted(zip(groups, (r["doc_id"] for r in kept))) == [(0, 5), (1, None), (2, 5), (3, 5)]
+
+
 def test_chains_and_hubs(spark):
     chain = [(i, i + 1) for i in range(200)]
     hub = [(1000, i) for i in range(1001, 1300)]

@@ -87,6 +87,41 @@ def test_rows_alike_and_rows_without_id(documents):
     assert remove_repeats(documents([])).collect() == []
 
 
+def brute_spans(rows):
+    """Distinct rows in order of id, hash and place; whatever a later run of two sentences and twelve words covers goes."""
+    keys = sorted({(i is None, i or 0, key, text) for i, text, key in rows if text})
+    seen, out = set(), {}
+    for _none, _id, key, text in keys:
+        parts = [s.strip(" \t\r\n") for s in sentences(text)]
+        gone = set()
+        for a in range(len(parts)):
+            for b in range(a + 2, len(parts) + 1):
+                if sum(p.count(" ") + 1 for p in parts[a:b]) >= 12:
+                    run = tuple(parts[a:b])
+                    if run in seen:
+                        gone |= set(range(a, b))
+                    seen.add(run)
+                    break
+        out[key] = "".join(s for i, s in enumerate(sentences(text)) if i not in gone)
+    return out
+
+
+def test_one_run_stays_where_ids_repeat_or_are_null(documents):
+    rng = np.random.default_rng(9)
+    stock = [f"Sentence number {i} has some seven words." for i in range(12)]
+    rows = [(None, PASSAGE + "\nFirst own line of this one."), (None, PASSAGE + "\nOther line at the end here.")]
+    rows += [(1, PASSAGE + " One more."), (1, PASSAGE + " And another.")]
+    for i in range(60):
+        at = rng.integers(0, 8)
+        rows.append(([None, 2, 3, 4][i % 4], " ".join([*stock[at:at + rng.integers(2, 5)], f"Own words of {i}."])))
+    docs = documents(rows + rows[:5])
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    want = brute_spans([tuple(r) for r in keyed.collect()])
+    got = remove_repeats(docs.withColumn("key", F.xxhash64("doc_id", "text"))).collect()
+    assert len(got) == len(rows) + 5 and all(r["text"] == want[r["key"]] for r in got)
+    assert len({r["key"] for r in got if PASSAGE[:40] in r["text"]}) == 1  # of the four rows with it
+
+
 def test_sentences_join_to_the_text():
     for text in ["a. b", "\n\nx", ".. a", "a! ! b", "no end", "3.14 is pi. Yes", " ", "", "a.\r\n b?  c"]:
         assert "".join(sentences(text)) == text

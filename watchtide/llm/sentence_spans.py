@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from watchtide.llm.texts import per_text
+from watchtide.session import scratch_path
 
 SENTENCES = 2  # a run has at least so many sentences
 WORDS = 12  # and so many words
@@ -46,28 +47,30 @@ def run_hashes(text: str | None, least_sentences: int, least_words: int) -> tupl
 
 
 def repeated_runs(docs: DataFrame, id_col: str, text: str, least_sentences: int, least_words: int) -> DataFrame:
-    """(`row_key`, `start`, `sentences`): every run that occurs before, in order of id and place.
+    """(`row_key`, `start`, `sentences`): every run that occurs before, in order of id (null last), row and place.
 
-    A first pass counts runs by hash and takes the first place of each (both combine on the map side, so a run
-    that a third of the rows share costs one row per task); a second joins the runs with those that repeat, where
-    adaptive execution can split a hot hash.
+    The runs are hashed once and written to the shared folder. A first pass over them counts runs by hash and takes
+    the first place of each (both combine on the map side, so a run that a third of the rows share costs one row per
+    task); a second joins the runs with those that repeat, where adaptive execution can split a hot hash.
     """
 
     def find(texts: list[str | None]) -> dict:
         found = [run_hashes(t, least_sentences, least_words) for t in texts]
         return {"hashes": [h for h, _n in found], "sizes": [n for _h, n in found]}
 
-    place = F.coalesce(F.col(id_col), F.lit((1 << 63) - 1)).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)")
     runs = docs.select(
-        _row_key(id_col, text).alias("row_key"), place.alias("place"),
+        F.col(id_col).alias("id"), _row_key(id_col, text).alias("row_key"),
         per_text(F.col(text), find, "hashes: array<bigint>, sizes: array<int>").alias("runs"),
-    ).select("row_key", "place", F.posexplode(F.arrays_zip("runs.hashes", "runs.sizes")).alias("start", "run")).select(
-        "row_key", "start", F.col("run.hashes").alias("hash"), F.col("run.sizes").alias("sentences"),
-        (F.col("place") + F.col("start")).cast("decimal(32,0)").alias("place"),
+    ).select("id", "row_key", F.posexplode(F.arrays_zip("runs.hashes", "runs.sizes")).alias("start", "run")).select(
+        "id", "row_key", "start", F.col("run.hashes").alias("hash"), F.col("run.sizes").alias("sentences"),
     )
+    path = scratch_path(docs.sparkSession, "runs")
+    runs.write.parquet(path)
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "row_key", "start")
+    runs = docs.sparkSession.read.parquet(path).withColumn("place", place)
     first = runs.groupBy("hash").agg(F.count("*").alias("n"), F.min("place").alias("first")).filter("n > 1")
     # Dealt anew, so that the join deals both of its sides itself and a hot hash can be split.
-    first = first.repartition("first")
+    first = first.repartition(F.xxhash64("hash", "first"))
     return runs.join(first, "hash").filter("place > first").select("row_key", "start", "sentences")
 
 
@@ -81,9 +84,9 @@ def remove_repeats(
     """`docs` with `text` less every sentence that a repeated run covers, `n_sentences` before and `n_removed`.
 
     A run is `least_sentences` or more consecutive sentences with `least_words` or more words in all. Its first
-    occurrence, by id and place, stays (a null id comes last); all others go, also within one text. Null texts
-    stay null and have no sentences; a text of which nothing remains becomes empty, its row stays. Rows equal in
-    id and text are alike: none of them is before the other. Columns named like the results are replaced.
+    occurrence, by id (a null id comes last), then by the hash of id and text where ids repeat or are null, then by
+    place, stays; all others go, also within one text. Null texts stay null and have no sentences; a text of which
+    nothing remains becomes empty, its row stays. Rows equal in id and text are alike: none is before the other. Columns named like the results are replaced.
     """
     covered = repeated_runs(docs, id_col, text, least_sentences, least_words).groupBy(F.col("row_key").alias("__row_key")).agg(
         F.collect_set(F.struct("start", "sentences")).alias("__covered")

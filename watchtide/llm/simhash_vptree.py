@@ -260,12 +260,12 @@ def simhash_components(
 
 
 def _named(prints: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """`prints` with `component_id`, the smallest id of all nodes their node is linked to."""
+    """`prints` with `component`, a node that names all nodes linked to theirs, and `component_id`, their smallest id."""
     parts = connected_components(links, "a", "b").withColumnRenamed("node", "print_id")
     nodes = nodes.join(parts, "print_id", "left").withColumn("component", F.coalesce("component", "print_id"))
     least = nodes.groupBy("component").agg(F.min("first_id").alias("component_id"))
     # Dealt anew, so that the join deals both of its sides itself and a large component can be split.
-    names = materialize(nodes.join(least.repartition("component_id"), "component").select("print_id", "component_id"))
+    names = materialize(nodes.join(least.repartition("component_id"), "component").select("print_id", "component", "component_id"))
     return prints.join(names, "print_id")
 
 
@@ -361,7 +361,7 @@ def _link_sets(similarity: float):
 def similar_components(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8
 ) -> DataFrame:
-    """(`doc_id`, `row_key`, `component_id`) where texts link at a Jaccard similarity of their distinct k-word shingles
+    """(`doc_id`, `row_key`, `component`, `component_id`) where texts link at a Jaccard similarity of their distinct k-word shingles
     of at least `similarity`.
 
     Nodes are distinct sets of shingles. Minima of the shingles propose which of them to compare (a pair at exactly
@@ -370,7 +370,7 @@ def similar_components(
     share a shard. Full shards are compared in blocks: first each block in itself, then pairs of blocks of the
     shards that are not connected yet. A task holds the shingles of about two blocks.
     Nulls, empty texts, repeated rows and missing ids are treated as in `simhash_components`; `row_key` is the
-    xxhash64 of id and text.
+    xxhash64 of id and text, and `component` tells apart groups that share their smallest id.
     """
     bands = band_count(similarity)
 
@@ -410,17 +410,18 @@ def similar_components(
         named = between.join(parts, "print_id", "left").withColumn("component", F.coalesce("component", "print_id"))
         apart = named.groupBy("shard").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
         links = links.union(compared(join_checked(between, apart.select("shard"), ["shard"], "inner")))
-    return _named(prints, nodes.select("print_id", "first_id"), links).select("doc_id", "row_key", "component_id")
+    return _named(prints, nodes.select("print_id", "first_id"), links).select("doc_id", "row_key", "component", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """`docs` with one document of each group of similar texts: that with the smallest id; columns as they are.
+    """`docs` with one row of each group of similar texts, columns as they are: that with the smallest id.
 
-    Rows equal in id and text are one document. A row without an id goes if its group has an id or holds an equal
-    row; otherwise it stays. Texts without a word are copies of each other.
+    Where ids repeat, or none of the group has one, the smallest hash of id and text decides, so that one row stays
+    whatever the ids are; a row without an id stays only if no row of its group has one. Rows equal in id and text
+    are one row. Texts without a word are copies of each other.
     """
     groups = similar_components(docs, id_col, text, k, similarity)
-    lost = groups.filter(F.coalesce(F.col("doc_id") != F.col("component_id"), F.col("component_id").isNotNull()))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
+    firsts = groups.groupBy("component").agg(F.min(place).alias("first")).select(F.col("first.row_key").alias("__row_key"))
     keyed = docs.withColumn("__row_key", F.xxhash64(id_col, text))
-    kept = keyed.join(lost.select(F.col("row_key").alias("__row_key")).distinct(), "__row_key", "left_anti")
-    return kept.dropDuplicates(["__row_key"]).drop("__row_key")
+    return keyed.join(firsts, "__row_key", "left_semi").dropDuplicates(["__row_key"]).drop("__row_key")
