@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
-from watchtide.llm import language_id, pairwise_quality, toxic_segments
+from watchtide.llm import labelled, language_id, pairwise_quality, toxic_segments
 from watchtide.llm.labelled import draw, held_out
 from watchtide.llm.language_id import Lattice, identify_languages, language_query, learn_languages
 from watchtide.llm.pairwise_quality import QualityModel, features, learn_quality, quality_query, score_quality
@@ -174,3 +175,51 @@ def test_quality_edge_cases(texts_session, documents):
     sure = QualityModel([0.0] * 16, [1.0] * 16, [1e9] + [0.0] * 15, 0.0)
     assert pairwise_quality.score_of(features("a b"), sure) == 1.0
     assert toxic_segments.score_of(0.0, 1.0) == 0.0
+
+
+# --- samples and scans ----------------------------------------------------------------------------------------
+
+def test_a_sample_holds_one_row_of_an_id(texts_session, documents):
+    docs = documents([(3, f"text {i % 50:02d}") for i in range(3000)] + [(4, None), (None, "no id"), (5, "other")])
+    labels = texts_session.createDataFrame([(3, 1), (3, 0), (4, 0), (None, 1), (5, 2)], "doc_id bigint, toxic int")
+    got = labelled.labelled_sample(docs, labels, "toxic", "doc_id", "text", F.lit(True), 100, "s")
+    assert got.columns == ["id", "text", "label"]
+    assert sorted(map(tuple, got.collect())) == [(3, "text 00", 1), (4, "", 0)]
+
+
+def plain_segments(scores):
+    """By definition: the best stretch, then the best of what lies on either side of it."""
+    def best_of(a, b):
+        sums = [(sum(scores[i:j]), -(j - i), -i, i, j) for i in range(a, b) for j in range(i + 1, b + 1)]
+        top = max(sums, default=(0,))
+        if top[0] <= 0:
+            return []
+        i, j = top[3], top[4]
+        return best_of(a, i) + [(i, j, top[0])] + best_of(j, b)
+
+    return best_of(0, len(scores))
+
+
+def test_segments_equal_their_definition():
+    rng = np.random.default_rng(11)
+    for n in (1, 5, 20, 40):
+        for _ in range(15):
+            scores = rng.normal(-0.2, 1.0, n)
+            got = toxic_segments.segments(scores)
+            want = plain_segments(scores.tolist())
+            assert [g[:2] for g in got] == [w[:2] for w in want]
+            assert [g[2] for g in got] == pytest.approx([w[2] for w in want])
+
+
+def test_the_scan_grows_in_proportion():
+    """Steps down and up leave many candidates open, where a search through all of them grows with the square."""
+    def seconds(n):
+        scores = np.where(np.arange(n) % 2, 1.0, -1.5)
+        scores[n // 2:] = np.where(np.arange(n - n // 2) % 2, 1.0, -0.75)
+        start = time.perf_counter()
+        assert toxic_segments.segments(scores)
+        return time.perf_counter() - start
+
+    seconds(1000)
+    small = min(seconds(20_000) for _ in range(3))
+    assert min(seconds(200_000) for _ in range(2)) < 30 * small

@@ -40,11 +40,13 @@ def labelled_sample(
     """(`id`, `text`, `label` 0 or 1) of a bounded sample of documents with a label, `learn` true.
 
     Ids are drawn first, so that only the documents drawn are moved. Labels that are null or neither 0 nor 1 are
-    left out; an id with several labels takes the largest; null texts count as empty.
+    left out; an id with several labels takes the largest, and one with several rows its smallest text, so that the
+    bound holds for rows whatever repeats; null texts count as empty. Rows without an id have no label.
     """
     known = labels.select(F.col(id_col), F.col(label).alias("label")).filter(learn & F.col("label").isin(0, 1))
     known = known.groupBy(id_col).agg(F.max("label").alias("label"))
     drawn = materialize(draw(known, id_col, "label", per_label, salt))
     texts = docs.select(F.col(id_col), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # at most about 2 x per_label rows of an id and a bit
-    return materialize(texts.join(F.broadcast(drawn), id_col)).withColumnRenamed(id_col, "id")
+    rows = texts.join(F.broadcast(drawn), id_col).groupBy(id_col, "label").agg(F.min("text").alias("text"))
+    return materialize(rows.select(F.col(id_col).alias("id"), "text", "label"))

@@ -40,24 +40,25 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score), in one pass.
 
     Each is the best of every stretch that holds it and no other; they do not overlap. The scan keeps candidate
-    segments with the sums before and after them: a new one joins an earlier one when the sum before that is
-    lower and the sum after it not higher.
+    segments with the sums before and after them, and for each the nearest earlier candidate with a lower sum before
+    it. A new one looks back along that chain to the first candidate with a lower sum before than its own; it takes
+    that in while the sum after that is lower too. Candidates passed over or taken in are not met again, so the scan
+    is linear.
     """
     total = np.cumsum(scores)
-    found: list[tuple[float, float, int, int]] = []  # sum before, sum after, start, end
+    found: list[tuple[float, float, int, int, int]] = []  # sum before, sum after, start, end, nearest lower
     for at in np.flatnonzero(scores > 0).tolist():
         after = float(total[at])
         before, start = after - float(scores[at]), at
-        while found:
-            place = len(found) - 1
-            while place >= 0 and found[place][0] >= before:
-                place -= 1
-            if place < 0 or found[place][1] >= after:
-                break
-            before, start = found[place][0], found[place][2]
+        place = len(found) - 1
+        while place >= 0 and found[place][0] >= before:
+            place = found[place][4]
+        while place >= 0 and found[place][1] < after:
+            before, _after, start, _end, lower = found[place]
             del found[place:]
-        found.append((before, after, start, at + 1))
-    return [(start, end, after - before) for before, after, start, end in found]
+            place = lower
+        found.append((before, after, start, at + 1, place))
+    return [(start, end, after - before) for before, after, start, end, _lower in found]
 
 
 def passages(text: str, model: ToxicityModel) -> tuple[list[tuple[int, int, float]], int]:
