@@ -1,12 +1,14 @@
 """Keyword search by BM25 over a table of postings that grows by appended loads.
 
-A load cuts its chunks into segments. A row of the table holds a word's postings in one segment as arrays, below the
-folder load=…/bucket=… of its load and of a hash of its word, sorted by word; bucket -1 holds one row per segment with
-the ids of its chunks. Nothing stored depends on the rest of the table, so a load is added without touching others.
+A load cuts its chunks into segments. A row of the table holds a word's postings in one segment, below the folder
+load=…/bucket=… of its load and of a hash of its word, sorted by word; bucket -1 holds one row per segment, about its
+chunks. Postings are packed triples of int32 (chunk's number in the segment, count, words of the chunk), since most
+words have one or two. Nothing stored depends on the rest of the table, so a load is added without touching others.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -30,10 +32,10 @@ SEGMENTS = -1  # the bucket of segment rows
 SEGMENT_WORDS = 1 << 22  # of a segment, about; one longer chunk is a segment of its own
 FEW_WORDS = 200  # so few are named in the scan itself
 STORED = (
-    "word string, segment string, holders int, total bigint, ordinals array<int>, tfs array<int>, lengths array<int>, "
-    "chunk_ids array<string>, buckets int"
+    "word string, segment bigint, holders int, postings binary, "
+    "about struct<total: bigint, buckets: int, chunk_ids: array<string>>"
 )
-FOUND = "query_id bigint, segment string, ordinal int, score double"
+FOUND = "query_id bigint, segment bigint, ordinal int, score double"
 
 
 def words(text: Column) -> Column:
@@ -76,20 +78,19 @@ def _segment(batches: list[pa.RecordBatch], name: str, buckets: int) -> pa.Recor
         coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * width + np.repeat(ordinal, lengths), return_counts=True
     )
     n, at = len(coded.dictionary), cells % width
-    starts = np.searchsorted(cells, np.arange(n + 1) * width)
-
-    def lists(values: np.ndarray) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), pa.array(values, pa.int32()))
-
+    starts = np.append(np.searchsorted(cells, np.arange(n) * width), [len(cells)] * 2)  # the segment's row has none
+    packed = np.stack([at, tfs, lengths[order][at]], axis=1).astype("<i4")
+    postings = pa.Array.from_buffers(
+        pa.binary(), n + 1, [None, pa.py_buffer((starts * packed.itemsize * 3).astype(np.int32).tobytes()), pa.py_buffer(packed.tobytes())]
+    )
+    about = {"total": int(lengths.sum()), "buckets": buckets, "chunk_ids": ids[order].tolist()}
+    kind = pa.struct([("total", pa.int64()), ("buckets", pa.int32()), ("chunk_ids", pa.list_(pa.string()))])
+    number = int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little", signed=True)
     return pa.RecordBatch.from_arrays([
         pa.concat_arrays([coded.dictionary.cast(pa.string()), pa.nulls(1, pa.string())]),
-        pa.array([name] * (n + 1)),
-        pa.array([*np.diff(starts), len(ids)], pa.int32()),
-        pa.array([*([0] * n), int(lengths.sum())], pa.int64()),
-        lists(at), lists(tfs), lists(lengths[order][at]),
-        pa.array([*([None] * n), ids[order].tolist()], pa.list_(pa.string())),
-        pa.array([*([None] * n), buckets], pa.int32()),
-    ], names=[f.split()[0] for f in STORED.split(", ")])
+        pa.array(np.full(n + 1, number)), pa.array([*np.diff(starts[:-1]), len(ids)], pa.int32()), postings,
+        pa.concat_arrays([pa.nulls(n, kind), pa.array([about], kind)]),
+    ], names=["word", "segment", "holders", "postings", "about"])
 
 
 def add_to_index(
@@ -184,25 +185,26 @@ class Segment:
 
 
 def _search_groups(k: int, mean_length: float):
-    """Over rows (group, query_id, word, segment, ordinals, tfs, lengths, asked, idfs) in the order of groups, postings
+    """Over rows (group, query_id, word, segment, postings, asked, idfs) in the order of groups, postings
     before questions. A group's postings are held; its questions stream past them."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, segments = None, {}
         for batch in batches:
             found = [[], [], [], []]
-            for row in _rows(batch):
-                if row["group"] != group:
-                    group, segments = row["group"], {}
-                if row["query_id"] is None:
-                    own = segments.setdefault(row["segment"], Segment())
-                    own.add(row["word"], row["ordinals"], row["tfs"], row["lengths"], mean_length)
+            columns = [batch.column(c).to_pylist() for c in ("group", "query_id", "word", "segment", "asked", "idfs")]
+            for i, (here, query, word, segment, asked, idfs) in enumerate(zip(*columns)):
+                if here != group:
+                    group, segments = here, {}
+                if query is None:
+                    triples = np.frombuffer(batch.column("postings")[i].as_buffer(), "<i4").reshape(-1, 3).T.copy()
+                    segments.setdefault(segment, Segment()).add(word, *triples, mean_length)
                     continue
                 for name, own in segments.items():
-                    at, scores = own.search(row["asked"], row["idfs"], k)
-                    for column, part in zip(found, ([row["query_id"]] * len(at), [name] * len(at), at, scores)):
+                    at, scores = own.search(asked, idfs, k)
+                    for column, part in zip(found, ([query] * len(at), [name] * len(at), at, scores)):
                         column.extend(part)
-            kinds = (pa.int64(), pa.string(), pa.int32(), pa.float64())
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(found, kinds)], names=["query_id", "segment", "ordinal", "score"]
             )
@@ -210,20 +212,6 @@ def _search_groups(k: int, mean_length: float):
     return search
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
-    """Rows of a batch; postings as numpy arrays without a copy."""
-    columns = {n: batch.column(n) for n in batch.schema.names}
-    plain = {n: columns[n].to_pylist() for n in ("group", "query_id", "word", "segment")}
-    arrays = {n: (columns[n].offsets.to_numpy(), columns[n].values.to_numpy(zero_copy_only=False)) for n in ("ordinals", "tfs", "lengths")}
-    for i in range(batch.num_rows):
-        row = {n: values[i] for n, values in plain.items()}
-        if row["query_id"] is None:
-            row |= {n: values[offsets[i]:offsets[i + 1]] for n, (offsets, values) in arrays.items()}
-        else:
-            row |= {"asked": columns["asked"][i].as_py(), "idfs": columns["idfs"][i].as_py()}
-        yield row
-
-
 def search_index(spark: SparkSession, path: str, questions: DataFrame, *, k: int = 10) -> DataFrame:
     """The k best chunks per question by BM25 over all loads: (query_id, chunk_id, score, rank). Exact.
 
@@ -234,7 +222,7 @@ def search_index(spark: SparkSession, path: str, questions: DataFrame, *, k: int
     rows = spark.read.schema(STORED + ", load string, bucket int").parquet(path)
     cut = rows.filter(F.col("bucket") == SEGMENTS)
     segments, chunks, total, buckets, least = cut.agg(
-        F.count(F.lit(1)), F.sum("holders"), F.sum("total"), F.max("buckets"), F.min("buckets")
+        F.count(F.lit(1)), F.sum("holders"), F.sum("about.total"), F.max("about.buckets"), F.min("about.buckets")
     ).first()
     if buckets != least:
         raise ValueError("the loads of an index take the same number of buckets")
@@ -248,7 +236,7 @@ def search_index(spark: SparkSession, path: str, questions: DataFrame, *, k: int
     told = asked.join(holders, "word").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("word", idf.alias("idf")))).alias("_t"))
     group = F.pmod(F.xxhash64("segment"), F.lit(segments)).cast("int")
     streamed = postings.select(
-        group.alias("group"), F.lit(None).cast("bigint").alias("query_id"), "word", "segment", "ordinals", "tfs", "lengths",
+        group.alias("group"), F.lit(None).cast("bigint").alias("query_id"), "word", "segment", "postings",
         F.lit(None).cast("array<string>").alias("asked"), F.lit(None).cast("array<double>").alias("idfs"),
     ).unionByName(told.select(
         F.explode(F.sequence(F.lit(0), F.lit(segments - 1))).alias("group"), "query_id",
@@ -257,9 +245,9 @@ def search_index(spark: SparkSession, path: str, questions: DataFrame, *, k: int
     dealt = streamed.repartition(segments, "group").sortWithinPartitions("group", F.col("query_id").asc_nulls_first())
     found = dealt.mapInArrow(_search_groups(k, total / chunks), FOUND)
     # The k best scores with all their ties; then their ids, which decide between ties.
-    best = top_k_per(found, ["query_id"], [F.desc("score")], k, salt=F.concat("segment", "ordinal"), ties=True)
+    best = top_k_per(found, ["query_id"], [F.desc("score")], k, salt=F.struct("segment", "ordinal"), ties=True)
     best = materialize(best.select("query_id", "segment", "ordinal", "score"))
-    names = cut.select("segment", "chunk_ids").join(F.broadcast(best) if measured_bytes(best) <= BROADCAST_BYTES else best, "segment")
+    names = cut.select("segment", "about.chunk_ids").join(F.broadcast(best) if measured_bytes(best) <= BROADCAST_BYTES else best, "segment")
     named = names.select("query_id", F.element_at("chunk_ids", F.col("ordinal") + 1).alias("chunk_id"), "score")
     return top_k_per(named, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k, salt=F.col("chunk_id"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-BYTES_PER_CORE = 64 * 1024 * 1024
+BYTES_PER_CORE = 8 * 1024 * 1024
 
 
 def spread(rows: DataFrame) -> DataFrame:
