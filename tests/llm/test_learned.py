@@ -5,6 +5,7 @@ import math
 import random
 import time
 import zlib
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -74,6 +75,79 @@ def test_expected_uses_are_the_derivative():
     assert uses[piece, 0] == pytest.approx(3 * slope, rel=1e-3)
 
 
+def rare_pieces(languages, seed=5):
+    """Probabilities of which most are as small as those of pieces a language has not shown in 1e8."""
+    rng = np.random.default_rng(seed)
+    p = rng.random((len(language_id.vocabulary(language_id.VOCABULARY)) + 1, languages))
+    p[rng.random(len(p)) < 0.9] = 1e-10
+    return p / p.sum(axis=0)
+
+
+def long_sum(word, table, p):
+    """The logarithm of the sum over all segmentations, in numbers whose exponents have no limit that matters."""
+    w, longest = "▁" + word, max(map(len, table))
+    exact = [Decimal(1)] + [Decimal(0)] * len(w)
+    for end in range(1, len(w) + 1):
+        for start in range(max(0, end - longest), end):
+            piece = table.get(w[start:end], len(table) if end - start == 1 else None)
+            if piece is not None:
+                exact[end] += exact[start] * Decimal(float(p[piece]))
+    return float(exact[-1].ln())
+
+
+def test_whole_runs_of_letters_are_marginalised():
+    table = language_id.vocabulary(language_id.VOCABULARY)
+    p = rare_pieces(2)
+    words = ["there", "q" * 40, "überdiestraße" * 4, "日本語"]
+    got = language_id.log_likelihoods(words, p, language_id.VOCABULARY)
+    assert np.isfinite(got).all()
+    for word, row in zip(words, got):
+        assert row == pytest.approx([long_sum(word, table, p[:, k]) for k in (0, 1)], rel=1e-9)
+
+
+def test_sums_by_logarithms_and_by_windows_are_those_by_products(monkeypatch):
+    p = np.random.default_rng(7).random((len(language_id.vocabulary(language_id.VOCABULARY)) + 1, 2))
+    words = ["thereandbackagain" * 4, "in", "qzx" * 20]
+    plain = np.log(Lattice(words, language_id.VOCABULARY).likelihood(p))
+    assert Lattice(words, language_id.VOCABULARY).likelihood(np.log(p), logs=True) == pytest.approx(plain)
+    monkeypatch.setattr(language_id, "room", lambda p: 20)
+    assert language_id.log_likelihoods(words, p, language_id.VOCABULARY) == pytest.approx(plain)
+
+
+def test_expected_uses_of_words_too_unlikely_for_products():
+    p = rare_pieces(2)
+    words, counts = ["q" * 60, "there"], np.array([[2.0, 1.0], [3.0, 0.0]])
+    got = language_id.expected_uses(words, p, counts, language_id.VOCABULARY)
+    assert np.isfinite(got).all()
+    sizes = np.array([len(x.removeprefix("▁")) + x.startswith("▁") for x in language_id.vocabulary(language_id.VOCABULARY)] + [1])
+    assert sizes @ got == pytest.approx([2 * 61 + 3 * 6, 61])  # each letter of each use lies in one piece
+    both = sum(Lattice([w], language_id.VOCABULARY).expected(np.log(p), c[None], logs=True) for w, c in zip(words, counts))
+    assert got == pytest.approx(both, rel=1e-9, abs=1e-12)
+
+
+def test_predictions_are_the_posterior_over_all_segmentations():
+    table = language_id.vocabulary(language_id.VOCABULARY)
+    p = np.random.default_rng(8).random((len(table) + 1, 3))
+    models = language_id.PieceModels(["a", "b", "c"], p / p.sum(axis=0), language_id.VOCABULARY)
+    texts = ["In there, in nation!", None, "übung 12 in", "..", "a"]
+    names, scores = models.predict(texts, language_id.WordMemo(models.log_likelihood))
+    for text, name, score in zip(texts, names, scores):
+        words = language_id.words_of(text or "")
+        if not words:
+            assert (name, score) == ("und", 0.0)
+            continue
+        each = [math.prod(all_segmentations(w, table, models.probability[:, k]) for w in words) for k in range(3)]
+        assert name == "abc"[each.index(max(each))] and score == pytest.approx(max(each) / sum(each))
+
+
+def test_many_languages_and_a_text_without_spaces(texts_session, documents):
+    rows = [(n, f"wort{'abcdefghij'[n % 10]} {chr(97 + n // 10 % 26) * 3} and so on", f"l{n // 2:03d}", "s") for n in range(600)]
+    models = learn_languages(documents([*rows, (601, "the" * 3000, "l000", "s")]))
+    assert len(models.languages) == 300 and np.isfinite(models.probability).all()
+    got = identify_languages(documents([(1, "the" * 70_000), (2, "wortb and so on")]), models).collect()
+    assert got[0]["lang_pred"] == "l000" and all(0 <= r["score"] <= 1 for r in got)
+
+
 def test_language_of_held_out_documents(texts_session):
     docs = texts_session.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = language_query(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()

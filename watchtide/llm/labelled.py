@@ -28,10 +28,10 @@ def draw(rows: DataFrame, id_col: str, group: str, per_group: int, salt: str, mo
     sizes = rows.groupBy(group).count().limit(most_groups + 1).collect()
     if len(sizes) > most_groups:
         raise ValueError(f"more than {most_groups} values of {group}")
-    share = F.lit(0)
+    share = F.when(F.lit(False), 0)  # one flat list of cases, however many groups there are
     for value, n in sizes:
-        share = F.when(F.col(group) == F.lit(value), int(UNIT * min(1.0, per_group / n))).otherwise(share)
-    return rows.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(salt)), F.lit(UNIT)) < share)
+        share = share.when(F.col(group) == F.lit(value), int(UNIT * min(1.0, per_group / n)))
+    return rows.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(salt)), F.lit(UNIT)) < share.otherwise(0))
 
 
 def labelled_sample(

@@ -21,13 +21,16 @@ from watchtide.session import materialize
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 PER_LANGUAGE = 2000  # documents learnt from, per language
-MOST_LANGUAGES = 200
+MODEL_NUMBERS = 1 << 25  # pieces x languages, 256 MB in doubles; the vocabulary of 23,948 pieces allows 1,401 languages
 ROUNDS = 3  # of expectation maximisation
 PRIOR = 0.01  # pseudo-count of a piece
 WORD = regex.compile(r"\p{L}+")
 LATIN_WORD = re.compile(rf"[{LATIN}]+")
-LONGEST = 32  # letters; longer runs are scored in parts of this length
+LESSON = 4096  # letters; learning takes longer runs in parts, scoring never does
+LETTERS = 200_000  # in one lattice of at most eight languages; fewer where there are more
+TINY = 1e-200  # sums of products below it are done again with logarithms
 CHUNK_CHARS = 1_000_000
+COLUMNS = 16  # languages summed at once over the words of texts
 UNKNOWN = "und"
 
 
@@ -54,12 +57,23 @@ def beginnings(path: str) -> tuple[PairTable, np.ndarray]:
     return PairTable(left, right, np.zeros(len(steps), np.int64), result, 0x110000), np.array([table.get(s, -1) for s in states])
 
 
+def log_sums(terms: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums of exp(terms) of the rows from each place of `cut` to the next."""
+    top = np.maximum.reduceat(terms, cut, axis=0)
+    sizes = np.diff(np.r_[cut, len(terms)])
+    return top + np.log(np.add.reduceat(np.exp(terms - np.repeat(top, sizes, axis=0)), cut, axis=0))
+
+
 class Lattice:
-    """All segmentations of a batch of words into pieces; a character that is no piece is an unknown piece."""
+    """All segmentations of a batch of words into pieces; a character that is no piece is an unknown piece.
+
+    Sums of plain products are exact enough until they near the smallest double. `logs` takes logarithms of the
+    probabilities instead and gives logarithms of the sums, for words of any length.
+    """
 
-    def __init__(self, words: list[str], path: str):
+    def __init__(self, words: list[str], path: str, mark: str = "▁"):
         step, piece_of = beginnings(path)
-        marked = ["▁" + w for w in words]
+        marked = [mark + w for w in words]
         sizes = np.fromiter(map(len, marked), np.int64, len(marked))
         letters = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.int64)
         owner = np.repeat(np.arange(len(marked)), sizes)
@@ -87,10 +101,8 @@ class Lattice:
         order = np.argsort(self.first, kind="stable")
         self.first, self.last, self.piece = self.first[order], self.last[order], self.piece[order]
 
-    def _sweep(self, p: np.ndarray, at: np.ndarray, to: np.ndarray, init: np.ndarray, back: bool) -> np.ndarray:
-        """Sums of products of piece probabilities from the word's one end to each node, layer by layer."""
-        value = np.zeros((self.nodes, p.shape[1]))
-        value[init] = 1.0
+    def _sweep(self, p, at, to, value: np.ndarray, back: bool, logs: bool) -> np.ndarray:
+        """Adds up piece probabilities from the word's one end, whose nodes `value` has, layer by layer."""
         layer = self.depth[to] if not back else -self.depth[to]
         order = np.lexsort((to, layer))
         bounds = np.flatnonzero(np.diff(layer[order])) + 1
@@ -98,22 +110,43 @@ class Lattice:
             if len(part):
                 target = to[part]
                 cut = np.flatnonzero(np.r_[True, target[1:] != target[:-1]])
-                value[target[cut]] = np.add.reduceat(value[at[part]] * p[self.piece[part]], cut, axis=0)
+                if logs:
+                    value[target[cut]] = log_sums(value[at[part]] + p[self.piece[part]], cut)
+                else:
+                    value[target[cut]] = np.add.reduceat(value[at[part]] * p[self.piece[part]], cut, axis=0)
+        return value
+
+    def _nodes(self, p: np.ndarray, init: np.ndarray, logs: bool) -> np.ndarray:
+        value = np.full((self.nodes, p.shape[1]), -np.inf if logs else 0.0)
+        value[init] = 0.0 if logs else 1.0
         return value
 
-    def forward(self, p: np.ndarray) -> np.ndarray:
-        return self._sweep(p, self.first, self.last, self.starts, back=False)
+    def forward(self, p: np.ndarray, logs: bool = False) -> np.ndarray:
+        return self._sweep(p, self.first, self.last, self._nodes(p, self.starts, logs), back=False, logs=logs)
 
-    def likelihood(self, p: np.ndarray) -> np.ndarray:
+    def likelihood(self, p: np.ndarray, logs: bool = False) -> np.ndarray:
         """Probability of each word in each language, all segmentations summed."""
-        return self.forward(p)[self.ends]
+        return self.forward(p, logs)[self.ends]
 
-    def expected(self, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def go_on(self, known: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+        """Logarithms of the forward sums of a single word of which those of the first nodes are `known`."""
+        new = self.last >= len(known)
+        self.first, self.last, self.piece = self.first[new], self.last[new], self.piece[new]
+        value = np.full((self.nodes, log_p.shape[1]), -np.inf)
+        value[:len(known)] = known
+        return self._sweep(log_p, self.first, self.last, value, back=False, logs=True)
+
+    def expected(self, p: np.ndarray, counts: np.ndarray, logs: bool = False) -> np.ndarray:
         """Expected uses of each piece in each language, for words seen `counts` times."""
-        ahead, behind = self.forward(p), self._sweep(p, self.last, self.first, self.ends, back=True)
-        weight = counts / ahead[self.ends]
+        ahead = self.forward(p, logs)
+        behind = self._sweep(p, self.last, self.first, self._nodes(p, self.ends, logs), back=True, logs=logs)
         owner = np.searchsorted(self.starts, self.first, side="right") - 1
-        use = ahead[self.first] * p[self.piece] * behind[self.last] * weight[owner]
+        if logs:
+            share = np.exp(ahead[self.first] + p[self.piece] + behind[self.last] - ahead[self.ends][owner])
+            use = share * counts[owner]
+        else:
+            weight = counts / ahead[self.ends]
+            use = ahead[self.first] * p[self.piece] * behind[self.last] * weight[owner]
         total = np.zeros_like(p)
         order = np.argsort(self.piece, kind="stable")
         cut = np.flatnonzero(np.r_[True, np.diff(self.piece[order]) != 0])
@@ -122,12 +155,59 @@ class Lattice:
         return total
 
 
+def room(p: np.ndarray) -> int:
+    """Letters of one lattice, such that its numbers stay within some ten MB."""
+    return max(1024, LETTERS * 8 // max(8, p.shape[1]))
+
+
+def log_likelihoods(words: list[str], p: np.ndarray, path: str) -> np.ndarray:
+    """Logarithm of the probability of each word in each language, all segmentations of the whole word summed."""
+    found = np.empty((len(words), p.shape[1]))
+    log_p = np.log(p)
+    for part in runs(map(len, words), room(p)):
+        some = words[part]
+        if len(some[0]) > room(p):  # alone in its part
+            found[part] = _long_word(some[0], log_p, path)
+            continue
+        plain = Lattice(some, path).likelihood(p)
+        tiny = np.flatnonzero((plain < TINY).any(axis=1))
+        logs = np.log(np.maximum(plain, TINY))
+        if len(tiny):
+            logs[tiny] = Lattice([some[n] for n in tiny], path).likelihood(log_p, logs=True)
+        found[part] = logs
+    return found
+
+
+def _long_word(word: str, log_p: np.ndarray, path: str) -> np.ndarray:
+    """One word in windows: a forward sum needs only those of as many nodes before it as the longest piece has letters."""
+    reach, size, marked = max(map(len, vocabulary(path))), room(log_p), "▁" + word
+    known = np.zeros((1, log_p.shape[1]))
+    for at in range(0, len(marked), size):
+        lead = len(known) - 1
+        known = Lattice([marked[at - lead:at + size]], path, mark="").go_on(known, log_p)[-reach - 1:]
+    return known[-1]
+
+
+def expected_uses(words: list[str], p: np.ndarray, counts: np.ndarray, path: str) -> np.ndarray:
+    """Expected uses of each piece in each language, for words of a bounded length seen `counts` times."""
+    total, log_p = np.zeros_like(p), np.log(p)
+    for part in runs(map(len, words), room(p) // 4):
+        some, seen = words[part], counts[part]
+        lattice = Lattice(some, path)
+        tiny = (lattice.likelihood(p) < TINY).any(axis=1)
+        if not tiny.any():
+            total += lattice.expected(p, seen)
+            continue
+        for logs in (False, True):
+            at = np.flatnonzero(tiny == logs)
+            if len(at):
+                total += Lattice([some[n] for n in at], path).expected(log_p if logs else p, seen[at], logs)
+    return total
+
+
 def words_of(text: str) -> list[str]:
-    """Runs of letters in lower case, long ones in parts."""
-    found = (LATIN_WORD if LATIN_TEXT.fullmatch(text) else WORD).findall(text.lower())
-    if max(map(len, found), default=0) <= LONGEST:
-        return found
-    return [w[at:at + LONGEST] for w in found for at in range(0, len(w), LONGEST)]
+    """Runs of letters in lower case, whole whatever their length."""
+    return (LATIN_WORD if LATIN_TEXT.fullmatch(text) else WORD).findall(text.lower())
 
 
 class PieceModels:
@@ -138,8 +218,7 @@ class PieceModels:
         self.key = uuid.uuid4().hex
 
     def log_likelihood(self, words: list[str]) -> list[tuple[float, ...]]:
-        found = [np.log(Lattice(words[at:at + 20_000], self.path).likelihood(self.probability)) for at in range(0, len(words), 20_000)]
-        return [tuple(row) for part in found for row in part.tolist()]
+        return [tuple(row) for row in log_likelihoods(words, self.probability, self.path).tolist()]
 
     def predict(self, texts: list[str | None], memo: WordMemo) -> tuple[list[str], list[float]]:
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
@@ -154,7 +233,8 @@ class PieceModels:
             at = np.fromiter((place[w] for words in split for w in words), np.int64)
             spoken = [n for n, words in enumerate(split) if words]
             starts = np.cumsum([0, *(len(split[n]) for n in spoken[:-1])])
-            total = np.add.reduceat(value[at], starts, axis=0)
+            blocks = (value[:, n:n + COLUMNS] for n in range(0, len(self.languages), COLUMNS))
+            total = np.concatenate([np.add.reduceat(block[at], starts, axis=0) for block in blocks], axis=1)
             best = total.argmax(axis=1)
             score = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
             for n, b, s in zip(spoken, best.tolist(), score.tolist()):
@@ -169,7 +249,7 @@ def _memo(models: PieceModels) -> WordMemo:
     """The worker's memo of these models; that of earlier models is forgotten."""
     if models.key not in _memos:
         _memos.clear()
-        _memos[models.key] = WordMemo(models.log_likelihood, room=5_000_000)
+        _memos[models.key] = WordMemo(models.log_likelihood, room=20_000_000 // max(4, len(models.languages)))
     return _memos[models.key]
 
 
@@ -178,29 +258,33 @@ def learn_languages(
 ) -> PieceModels:
     """One piece model per language from about PER_LANGUAGE documents of each, by expectation maximisation.
 
-    Rows with a null text or language teach nothing. Each round's sums over the sample are a Spark job; only
-    pieces x languages numbers reach the driver.
+    Rows with a null text or language teach nothing. Runs of more than LESSON letters teach in parts of that
+    length. Each round's sums over the sample are a Spark job; only pieces x languages numbers reach the driver.
+    A model holds at most MODEL_NUMBERS of them (1,401 languages with the default vocabulary); more languages are
+    an error, since no worker could hold their models.
     """
+    size = len(vocabulary(path)) + 1
     known = docs.select(F.col(id_col).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    drawn = draw(known.filter("lang IS NOT NULL AND text IS NOT NULL"), "id", "lang", PER_LANGUAGE, "language", MOST_LANGUAGES)
-    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"\p{{L}}{{1,{LONGEST}}}"), F.lit(0)))
+    drawn = draw(known.filter("lang IS NOT NULL AND text IS NOT NULL"), "id", "lang", PER_LANGUAGE, "language", MODEL_NUMBERS // size)
+    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"\p{{L}}{{1,{LESSON}}}"), F.lit(0)))
     tally = drawn.select("lang", word.alias("word")).groupBy("lang", "word").count()
     languages = sorted(r[0] for r in drawn.select("lang").distinct().collect())
-    seen = [F.coalesce(F.sum(F.when(F.col("lang") == v, F.col("count"))), F.lit(0)).alias(f"n{i}") for i, v in enumerate(languages)]
-    size = len(vocabulary(path)) + 1
     probability = np.full((size, max(1, len(languages))), 1.0 / size)
     if not languages:
         return PieceModels([], probability, path)
-    words = materialize(tally.groupBy("word").agg(*seen))
+    # a word has at most one entry of each language
+    words = materialize(tally.groupBy("word").agg(F.collect_list("lang").alias("langs"), F.collect_list("count").alias("counts")))
+    column = {v: n for n, v in enumerate(languages)}
     for _round in range(ROUNDS):
         p = probability
 
         def expect(batches, p=p):
             total = np.zeros_like(p)
             for batch in batches:
-                for at in range(0, len(batch), 5000):
-                    part = batch.iloc[at:at + 5000]
-                    total += Lattice(part["word"].tolist(), path).expected(p, part.drop(columns="word").to_numpy(np.float64))
+                seen = np.zeros((len(batch), len(languages)))
+                for n, (langs, counts) in enumerate(zip(batch["langs"], batch["counts"])):
+                    seen[n, [column[v] for v in langs]] = counts
+                total += expected_uses(batch["word"].tolist(), p, seen, path)
             piece, language = np.nonzero(total)
             yield pd.DataFrame({"piece": piece, "language": language, "uses": total[piece, language]})
 
@@ -216,7 +300,8 @@ def identify_languages(df: DataFrame, models: PieceModels, text: str = "text") -
     """`df` with `lang_pred`, the learnt language under which the whole text is likeliest, and `score`, its
     posterior probability among the learnt languages.
 
-    Words are runs of letters in lower case, taken as independent. A null text, a text without a letter, and any
+    Words are runs of letters in lower case, of any length, taken as independent; each is scored over all its
+    segmentations. A null text, a text without a letter, and any
     text when nothing was learnt give `und` with score 0. Every row stays, repeated rows included; columns named
     like the results are replaced.
     """
