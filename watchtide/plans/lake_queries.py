@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from watchtide.functions import findings as fx
 from watchtide.operators.normalize import merge_scores, normalize_findings
+from watchtide.operators.requests import store_turn
 from watchtide.operators.scoring import score_with_features
 from watchtide.operators.split import train_val_split
-from watchtide.plans.finding_queries import FINDING, FINDING_COLUMNS, CLAIM_SQL, TRIAGE_SQL, RULE_SQL
+from watchtide.plans.finding_queries import FINDING, FINDING_COLUMNS, CLAIM_SQL, TRIAGE_SQL, TURN_SQL, RULE_SQL
 from watchtide.plans.model_queries import alarm_sql, fitted
 from watchtide.plans.registry import Inputs, query
 from watchtide.schemas import CLOUDTRAIL_FILE_FIELDS, ENRICHED, FEATURE_COLUMNS
@@ -19,6 +20,7 @@ from watchtide.sources import lake
 from watchtide.sources.cloudtrail import read_cloudtrail
 from watchtide.sources.knowledge import kb_ingest, write_chunks
 from watchtide.sources.quarantine import parse_records, quarantine_rows, retry_quarantine, split_bad
+from watchtide.sources.sessions import store_turns, stored_turns
 from watchtide.sources.tables import append_load, score_capture
 from watchtide.sources.training import read_split, read_training, write_split
 from watchtide.streaming import jobs
@@ -351,3 +353,10 @@ def _(t):
         t.spark.read.schema("event_id long").parquet(f"{path}/{kind}").select(F.lit(kind).alias("kind")) for kind in ("accepted", "late")
     ]
     return kinds[0].unionByName(kinds[1]).groupBy("kind").agg(F.count(F.lit(1)).alias("events"))
+
+
+@query("session_log", TURN_SQL, ("turns",))
+def _(t):
+    path = t.scratch("sessions")
+    store_turns(store_turn(t.view("turns"), ts=F.col("ts")), path, load="batch")
+    return stored_turns(t.spark, path)
