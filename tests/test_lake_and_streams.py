@@ -322,6 +322,28 @@ def test_late_rows_are_kept(spark, tmp_path):
     assert [(r.id, r.reason) for r in late.collect()] == [("c", "too late")]
 
 
+def test_late_rows_need_only_the_mark_before(spark, tmp_path):
+    """The newest event of a batch long past still counts, though the batches between hold older ones and nothing
+    but the last mark is left; without that one the stream stops instead of taking late rows for good ones."""
+    inbox, out, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp")
+    run = lambda: jobs.late_data(feed(spark, inbox), out, checkpoint, job="t", ts=at_time()).awaitTermination()
+    for i, minutes in enumerate([0, -30, -45]):
+        drop_file(spark, [finding(f"f{i}", DAY + timedelta(minutes=minutes))], inbox, f"{i}.json")
+        run()
+    marks = sorted((tmp_path / "out" / "marks").iterdir())
+    assert len(marks) == 3
+    for gone in marks[:2]:
+        gone.rename(tmp_path / gone.name)
+    drop_file(spark, [finding("old", DAY - timedelta(minutes=61)), finding("new", DAY - timedelta(minutes=59))], inbox, "3.json")
+    run()
+    assert [r.id for r in spark.read.parquet(f"{out}/late").collect()] == ["old"]
+    last = sorted((tmp_path / "out" / "marks").iterdir())[-1]
+    last.rename(tmp_path / last.name)
+    drop_file(spark, [finding("x")], inbox, "4.json")
+    with pytest.raises(Exception, match="no mark of the batch before"):
+        run()
+
+
 def test_stream_score(spark, tmp_path):
     from tests.test_scale_paths import feature_frame
     from watchtide.operators.iforest import Hyperparameters, iforest_fit

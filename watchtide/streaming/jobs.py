@@ -340,9 +340,10 @@ def late_data(
 ) -> StreamingQuery:
     """Sorts a stream into `accepted` and `late` tables; late rows are kept, never dropped.
 
-    A row is compared with the newest event of the batches before its own, as a
-    watermark would; that mark is kept per batch and job next to the tables. Streams that close windows drop what
-    their watermark has passed; feed them the `accepted` table, and nothing is lost unseen.
+    A row is compared with the newest event of the batches before its own, as a watermark would. Each batch leaves
+    the newest event up to and with it in a place of its own, so the next one reads one row by its path and lists
+    nothing, however many came before; a replayed batch finds the same mark and writes the same rows. Streams that
+    close windows drop what their watermark has passed; feed them the `accepted` table, and nothing is lost unseen.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -350,15 +351,16 @@ def late_data(
         marked = batch.withColumn("_ts", ts.cast("timestamp"))
         mark = None
         if batch_id > 0:
-            marks = read_table(spark, f"{path}/newest", "newest timestamp, batch long, load string")
-            marks = marks.filter((F.col("batch") < batch_id) & F.col("load").startswith(f"{job}-"))
-            mark = marks.agg(F.max("newest")).first()[0]
+            before = read_table(spark, f"{path}/marks/{_load(job, batch_id - 1)}", "newest timestamp").collect()
+            if not before:
+                raise RuntimeError(f"batch {batch_id} of {job} finds no mark of the batch before it in {path}/marks")
+            mark = before[0][0]
         newest = F.lit(mark).cast("timestamp")
         good, late = split_late(marked, ts=F.col("_ts"), newest=newest)
         append_load(good.drop("_ts"), f"{path}/accepted", load)
         append_load(late.drop("_ts").withColumn("reason", F.lit("too late")), f"{path}/late", load)
-        top = marked.agg(F.max("_ts").alias("newest")).withColumn("batch", F.lit(batch_id))
-        append_load(top, f"{path}/newest", load)
+        top = marked.agg(F.greatest(F.max("_ts"), newest).alias("newest"))  # nulls do not count
+        top.write.mode("overwrite").parquet(f"{path}/marks/{load}")
 
     return (
         events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
