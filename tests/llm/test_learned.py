@@ -238,6 +238,46 @@ def test_quality_of_held_out_documents(texts_session):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in rows)
 
 
+def plain_logistic(d, y, ridge):
+    """Newton's steps on the mean logistic loss of d @ w with a ridge of `ridge` / 2."""
+    w = np.zeros(d.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-d @ w))
+        slope = d.T @ (p - y) / len(y) + ridge * w
+        w -= np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(y) + ridge * np.eye(len(w)), slope)
+    return w
+
+
+def test_quality_weights_and_threshold_are_those_of_a_plain_fit(texts_session, monkeypatch):
+    docs, labels = (texts_session.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    seen = {}
+    fit = pairwise_quality.LogisticRegression.fit
+    monkeypatch.setattr(pairwise_quality.LogisticRegression, "fit", lambda self, df: seen.setdefault("pairs", df) and fit(self, df))
+    model = learn_quality(docs, labels)
+    pairs = seen["pairs"].collect()
+    d, y = np.array([r["features"].toArray() for r in pairs]), np.array([r["label"] for r in pairs])
+
+    learn = labels.filter(~held_out("doc_id", 4, 2))
+    rows = docs.join(learn, "doc_id").filter("quality IN (0, 1)").select("text", "quality").collect()
+    x, label = np.array([features(r["text"]) for r in rows]), np.array([r["quality"] for r in rows])
+    assert len(rows) < pairwise_quality.PER_LABEL  # so the sample holds them all
+    assert model.mean == pytest.approx(x.mean(axis=0)) and model.scale == pytest.approx([s or 1.0 for s in x.std(axis=0)])
+    standard = (x - np.array(model.mean)) / np.array(model.scale)
+    possible = {tuple(np.round(h - l, 6) + 0.0) for h in standard[label == 1] for l in standard[label == 0]}
+    better = np.where(y[:, None] == 1, d, -d)  # a preferred text less one that is not
+    assert len(d) > 100 and {tuple(np.round(r, 6) + 0.0) for r in better} <= possible
+
+    want = plain_logistic(d, y, pairwise_quality.RIDGE)
+    found = np.array(model.weights)
+    assert found @ want / np.linalg.norm(found) / np.linalg.norm(want) > 0.999
+    loss = lambda w: np.logaddexp(0, -np.where(y == 1, 1, -1) * (d @ w)).mean() + pairwise_quality.RIDGE / 2 * w @ w
+    assert loss(found) <= loss(want) * 1.001 + 1e-6
+
+    strengths = np.array([pairwise_quality.strength(r, model) for r in x.tolist()])
+    below = (strengths < model.threshold).mean()
+    assert below == pytest.approx((label == 0).mean(), abs=1.5 / len(label))
+
+
 def test_quality_edge_cases(texts_session, documents):
     rows = documents([(i, t) for i, t in enumerate(ODD)]).withColumn("features", F.lit("clash"))
     labels = texts_session.createDataFrame([(1, None, None), (None, 1, 1)], "doc_id bigint, quality int, toxic int")

@@ -99,6 +99,7 @@ def nearest(
     branches are searched. Vectors that are null, empty, zero, or hold null or non-finite components, and rows
     without an id, take no part; vectors of different lengths are never compared. Rows that
     repeat an id are candidates each, ask once (with the smallest of their vectors), and never answer their own id.
+    Components beyond about 1e150, whose squares overflow, are out of range.
     """
     if factor < 1:
         raise ValueError("the factor is 1 (exact) or more")
