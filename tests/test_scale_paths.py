@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from watchtide.functions.redact import redact
 from watchtide.operators.dedup import _claims_of_sorted, claim_check, last_write_wins, ttl_dedup
-from watchtide.operators.iforest import Hyperparameters, IsolationForest, average_path, depth_limit, draw_samples, iforest_fit
+from watchtide.operators.iforest import Hyperparameters, IsolationForest, _unit, _unit_hash, average_path, depth_limit, draw_samples, iforest_fit
 from watchtide.operators.quantiles import exact_percentile, grouped_percentiles, order_statistic
 from watchtide.operators.keyword_index import keyword_search
 from watchtide.operators.retrieval import chunk_fixed, vector_topk
@@ -148,6 +148,20 @@ def test_forest(spark):
     assert sorted(map(tuple, shuffled.nodes.collect())) == sorted(map(tuple, model.nodes.collect()))
 
 
+def test_forest_splits_are_hashes_of_their_place(spark):
+    df = feature_frame(spark, n=400)
+    params = Hyperparameters(n_estimators=8, max_samples=64)
+    nodes = iforest_fit(df, key="id", params=params).nodes.toPandas().set_index(["tree", "node"])
+    for (tree, node), row in nodes[nodes["feature"] >= 0].iterrows():  # a split parts its rows, and loses none
+        children = [nodes["n_rows"][(tree, 2 * node + side)] for side in (1, 2)]
+        assert min(children) >= 1 and sum(children) == row["n_rows"]
+    renamed = iforest_fit(df.select(*reversed(df.columns)).select("id", *FEATURE_COLUMNS).orderBy(F.desc("id")), key="id", params=params)
+    assert sorted(map(tuple, renamed.nodes.collect())) == sorted(nodes.reset_index()[renamed.nodes.columns].itertuples(index=False, name=None))
+    assert 0 <= _unit("feature", 42, 3, 5) < 1
+    row = spark.range(1).select(_unit_hash(F.lit("feature"), F.lit(42), F.lit(3), F.lit(5))).first()
+    assert row[0] == _unit("feature", 42, 3, 5)
+
+
 def test_forest_path_lengths(spark):
     df = feature_frame(spark, n=300)
     model = iforest_fit(df, key="id", params=Hyperparameters(n_estimators=5, max_samples=32))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 from collections.abc import Mapping, Sequence
@@ -19,6 +20,7 @@ from watchtide.session import materialize
 
 EULER_GAMMA = 0.5772156649015329
 MAX_FOREST_NODES = 5_000_000  # the forest is broadcast to score; this bounds it
+HASH_DIGITS = 13  # 52 bits, exact in a double
 
 
 @dataclass(frozen=True)
@@ -51,8 +53,19 @@ def depth_limit(samples: int) -> int:
     return int(math.ceil(math.log2(max(samples, 2))))
 
 
+def _joined(*parts: Column) -> Column:
+    return F.concat_ws(":", *[p.cast("string") for p in parts])
+
+
 def _unit_hash(*parts: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(*parts), 11) / F.lit(float(2**53))
+    """Uniform in [0, 1): the first 13 hex digits of an MD5, as any SQL engine can compute them."""
+    return F.conv(F.substring(F.md5(_joined(*parts)), 1, HASH_DIGITS), 16, 10).cast("long") / F.lit(float(16**HASH_DIGITS))
+
+
+def _unit(*parts: object) -> float:
+    """`_unit_hash` of values in Python."""
+    text = ":".join(str(p) for p in parts)
+    return int(hashlib.md5(text.encode()).hexdigest()[:HASH_DIGITS], 16) / 16**HASH_DIGITS
 
 
 def draw_samples(rows: DataFrame, key: str, n: int, samples: int, trees: int, seed: int, margin: float) -> DataFrame:
@@ -69,25 +82,27 @@ def draw_samples(rows: DataFrame, key: str, n: int, samples: int, trees: int, se
     rounds = F.sequence(F.lit(0), F.lit(math.ceil(trees / slices) - 1))
     taken = F.transform(
         rounds,
-        lambda r: F.struct(r.alias("r"), F.floor(_unit_hash(F.col(key), r, seed_part) / rate).cast("int").alias("slice")),
+        lambda r: F.struct(r.alias("r"), F.floor(_unit_hash(seed_part, r, F.col(key)) / rate).cast("int").alias("slice")),
     )
     tree = F.col("_t.r") * slices + F.col("_t.slice")
     drawn = rows.withColumn("_t", F.explode(F.filter(taken, lambda t: t["slice"] < slices)))
     drawn = drawn.withColumn("tree", tree).drop("_t").filter(F.col("tree") < trees)
-    drawn = drawn.withColumn("_order", F.xxhash64(F.col(key), F.col("tree"), F.lit(seed + 1)))
+    drawn = drawn.withColumn("_order", F.md5(_joined(F.lit("order"), seed_part, F.col("tree"), F.col(key))))
     ranked = Window.partitionBy("tree").orderBy("_order", key)
     return drawn.withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") <= samples)
 
 
 def _grow(columns: Sequence[str], samples: int, seed: int):
-    """Builds one tree from at most `samples` rows, as rows of FOREST_NODES."""
+    """Builds one tree from at most `samples` rows, as rows of FOREST_NODES.
+
+    Feature and threshold of a split are hashes of (seed, tree, node), so a tree depends on its rows alone, not on
+    their order nor on a generator's state.
+    """
     limit = depth_limit(samples)
 
     def grow(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_rank")
         tree = int(rows["tree"].iloc[0])
         values = rows[list(columns)].to_numpy(dtype=float)
-        rng = np.random.default_rng([seed, tree])
         nodes, todo = [], [(0, 0, np.arange(len(values)))]
         while todo:
             node, depth, members = todo.pop()
@@ -96,8 +111,10 @@ def _grow(columns: Sequence[str], samples: int, seed: int):
             if depth >= limit or len(members) <= 1 or len(splittable) == 0:
                 nodes.append((tree, node, -1, 0.0, len(members)))
                 continue
-            feature = int(rng.choice(splittable))
-            threshold = float(rng.uniform(low[feature], high[feature]))
+            feature = int(splittable[int(_unit("feature", seed, tree, node) * len(splittable))])
+            threshold = float(low[feature] + _unit("threshold", seed, tree, node) * (high[feature] - low[feature]))
+            if threshold >= high[feature]:  # rounded up to the top: nothing would go right
+                threshold = float(low[feature])
             goes_left = values[members, feature] <= threshold
             nodes.append((tree, node, feature, threshold, len(members)))
             todo.append((2 * node + 2, depth + 1, members[~goes_left]))

@@ -11,9 +11,10 @@ from watchtide.functions import findings as fx
 from watchtide.operators.normalize import merge_scores, normalize_findings
 from watchtide.operators.requests import store_turn
 from watchtide.operators.scoring import score_with_features
+from watchtide.operators.sketches import hourly
 from watchtide.operators.split import train_val_split
 from watchtide.plans.finding_queries import FINDING, FINDING_COLUMNS, CLAIM_SQL, TRIAGE_SQL, TURN_SQL, RULE_SQL
-from watchtide.plans.model_queries import alarm_sql, fitted
+from watchtide.plans.model_queries import FINDING_VIEWS, alarm_sql, fitted, hourly_sql, rounded_hours, scored_findings_sql
 from watchtide.plans.registry import Inputs, query
 from watchtide.schemas import CLOUDTRAIL_FILE_FIELDS, ENRICHED, FEATURE_COLUMNS
 from watchtide.sources import lake
@@ -270,12 +271,19 @@ def _(t):
     return t.spark.read.parquet(out).select("chunk_id", *told)
 
 
-@query("score_capture")
+@query(
+    "score_capture",
+    scored_findings_sql("normalized") + """SELECT finding_id, round(score, 9) AS score, is_anomaly, '1' AS model_version, """
+    + ", ".join(f"f[{i}] AS {c}" for i, c in enumerate(FEATURE_COLUMNS, start=1)) + " FROM scored_findings",
+    FINDING_VIEWS,
+)
 def _(t):
     scored = score_with_features(_enriched(t).drop("event_ts"), fitted(t)[0], model_endpoint="forest-1")
     path = t.scratch("capture")
     append_load(score_capture(scored, model_version="1"), path, "0")
-    return t.spark.read.parquet(path).drop("load")
+    captured = t.spark.read.parquet(path)
+    inputs = [F.round(F.col("features")[i], 9).alias(c) for i, c in enumerate(FEATURE_COLUMNS)]
+    return captured.select("finding_id", F.round("score", 9).alias("score"), "is_anomaly", "model_version", *inputs)
 
 
 # --- streaming -----------------------------------------------------------------------------------
@@ -290,7 +298,12 @@ def _(t):
     return _flat(lake.read_findings(t.spark, path))
 
 
-@query("stream_score")
+@query(
+    "stream_score",
+    scored_findings_sql("stored") + f"""SELECT {FINDING}, year, month, day, round(score, 9) AS anomaly_score, is_anomaly,
+      enriched_at AS scored_at, '1' AS model_endpoint FROM scored_findings""",
+    (*FINDING_VIEWS, "stored"),
+)
 def _(t):
     path, out = t.scratch("enriched"), t.scratch("scored")
     _write_enriched(t, path)
@@ -299,7 +312,8 @@ def _(t):
         feed, out, t.scratch("checkpoint"), job="scores", model=fitted(t)[0],
         scored_at=F.try_to_timestamp(F.col("enriched_at")),
     ).awaitTermination()
-    return lake.read_scored(t.spark, f"{out}/scored").drop("resource_tags")
+    scored = lake.read_scored(t.spark, f"{out}/scored").drop("resource_tags")
+    return scored.withColumn("anomaly_score", F.round("anomaly_score", 9))
 
 
 # Alerting rules, then claims per id by the second, in event-time order.
@@ -321,6 +335,13 @@ def _(t):
 CLOSED = "(SELECT epoch(max(ts)) - 3600 FROM metrics)"
 
 
+@query("stream_metrics_hourly", hourly_sql(f"w + 300 <= {CLOSED}"), ("metrics",))
+def _(t):
+    path = t.scratch("sketches")
+    jobs.stream_sketches(t.stream("metrics"), path, t.scratch("checkpoint"), ts=F.col("ts")).awaitTermination()
+    return rounded_hours(hourly(t.spark.read.parquet(path), ["name"]))
+
+
 @query(
     "stream_metrics",
     f"""SELECT * FROM (SELECT CAST(floor(epoch(ts) / 300) * 300 AS BIGINT) AS window_start, name, dim, round(sum(value), 6) AS sum_value,

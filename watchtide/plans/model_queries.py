@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
@@ -12,9 +13,13 @@ from watchtide.operators.iforest import IsolationForest, iforest_fit
 from watchtide.operators.metrics import alarm_states, api_status_rollup, budget_eval, metric_rollup, window_sums
 from watchtide.operators.normalize import normalize_findings
 from watchtide.operators.scoring import score_findings
+from watchtide.operators.sketches import ACCURACY as SKETCH_ACCURACY
+from watchtide.operators.sketches import ORIGIN, PERCENTILES, hourly, sketch_windows
 from watchtide.operators.split import train_val_split, with_split
 from watchtide.operators.summary import evaluation_report, training_distribution
 from watchtide.plans.adapters import AS_OF
+from watchtide.plans.finding_queries import EVENT_SQL, FINDING
+from watchtide.plans.forest_sql import FIT_SQL, OFFSET_SQL, SINGLE_RARITY, baseline_rarity, feature_list, score_sql
 from watchtide.plans.registry import Inputs, query
 from watchtide.schemas import FEATURE_COLUMNS
 from watchtide.session import materialize
@@ -126,34 +131,72 @@ def _(t):
 
 
 def fitted(t: Inputs) -> tuple[IsolationForest, DataFrame, DataFrame]:
-    """(model, train features, validation features) with rarity counted on the training rows."""
+    """(model, train features, validation features) with rarity counted on the training rows.
+
+    Features are rounded to nine places, so that the last bits of an engine's arithmetic never decide a split.
+    """
     train, validation = train_val_split(t.view("cloudtrail"), key="event_id")
     counts = materialize(category_counts(train))
     made = [
-        extract_features(rows, keep=["event_id"], ts=F.col("event_ts"), rarity="baseline", counts=counts)
+        _round_features(extract_features(rows, keep=["event_id"], ts=F.col("event_ts"), rarity="baseline", counts=counts))
         for rows in (train, validation)
     ]
     return iforest_fit(made[0], key="event_id"), made[0], made[1]
 
 
-@query("iforest_fit")
+def _scored_round(df: DataFrame) -> DataFrame:
+    return df.withColumn("anomaly_score", F.round("anomaly_score", 9))
+
+
+# The whole fit in the checking engine: split, counts of the training rows, matrices, trees, scores and offset.
+TRAINED_SQL = (
+    f""", parts AS MATERIALIZED (SELECT c.*, s.split FROM cloudtrail c JOIN ({SPLIT_SQL}) s USING (event_id)),
+counts AS MATERIALIZED ({" UNION ALL ".join(
+        f"SELECT '{c}' AS category, {c} AS value, count(*) AS n FROM parts WHERE split = 'train' AND {c} IS NOT NULL GROUP BY {c}"
+        for c in RARITY_SOURCES.values())}),
+featured AS MATERIALIZED (SELECT split, event_id AS key, {feature_list(FEATURE_SQL, baseline_rarity('parts'))} AS f FROM parts),
+matrix AS MATERIALIZED (SELECT key, f FROM featured WHERE split = 'train'),
+held_out AS MATERIALIZED (SELECT key, f FROM featured WHERE split = 'validation')"""
+    + FIT_SQL
+)
+FOREST_SQL = TRAINED_SQL + OFFSET_SQL
+VALIDATED_SQL = FOREST_SQL + score_sql("held_out", "judged") + """
+, validated AS (SELECT key AS event_id, raw - cut AS anomaly_score, raw - cut < 0 AS is_anomaly FROM judged CROSS JOIN cutoff)"""
+
+
+@query("iforest_fit", TRAINED_SQL + "SELECT tree, node, feature, round(threshold, 9) AS threshold, n_rows FROM nodes", C)
 def _(t):
-    return fitted(t)[0].nodes
+    return fitted(t)[0].nodes.withColumn("threshold", F.round("threshold", 9))
 
 
-@query("iforest_score")
+@query(
+    "iforest_score",
+    VALIDATED_SQL + "SELECT event_id, round(anomaly_score, 9) AS anomaly_score, is_anomaly FROM validated",
+    C,
+)
 def _(t):
     model, _train, validation = fitted(t)
-    return model.score(validation).select("event_id", "anomaly_score", "is_anomaly")
+    return _scored_round(model.score(validation).select("event_id", "anomaly_score", "is_anomaly"))
 
 
-@query("training_distribution")
+@query(
+    "training_distribution",
+    FOREST_SQL + """SELECT count_if(raw - cut < 0) AS anomalies, count(*) AS rows,
+      100.0::DOUBLE * count_if(raw - cut < 0) / count(*) AS percent FROM trained CROSS JOIN cutoff""",
+    C,
+)
 def _(t):
     model, train, _validation = fitted(t)
     return training_distribution(model.score(train))
 
 
-@query("write_eval_report")
+@query(
+    "write_eval_report",
+    VALIDATED_SQL + """SELECT round(count_if(is_anomaly) / CAST(count(*) AS DOUBLE), 9) AS anomaly_rate,
+      count_if(is_anomaly) AS anomalies_detected, count(*) AS total_validation_rows,
+      round(avg(anomaly_score), 6) AS mean, round(min(anomaly_score), 9) AS min, round(max(anomaly_score), 9) AS max FROM validated""",
+    C,
+)
 def _(t):
     from watchtide.sources.registry import write_eval_report
 
@@ -162,24 +205,55 @@ def _(t):
     write_eval_report(evaluation_report(model.score(validation)), path)
     schema = """anomaly_rate double, anomalies_detected long, total_validation_rows long,
                 score_statistics struct<mean double, min double, max double>"""
-    return t.spark.read.schema(schema).json(path)
+    return _flat_report(t.spark.read.schema(schema).json(path)).withColumn("anomaly_rate", F.round("anomaly_rate", 9))
+
+
+# Findings as the model sees them, `key` the row number; `rows` is what they are read from (as `normalized`).
+def scored_findings_sql(rows: str) -> str:
+    event = EVENT_SQL.replace("SELECT event_id", "SELECT event_id, CAST(left(enriched_at, 26) AS TIMESTAMP) AS event_ts").replace(
+        "FROM normalized", f"FROM {rows}"
+    )
+    return FOREST_SQL + f"""
+, finding_rows AS MATERIALIZED (SELECT event_id AS key, {feature_list(FEATURE_SQL, SINGLE_RARITY)} AS f FROM ({event}))""" + score_sql(
+        "finding_rows", "finding_scores"
+    ) + f"""
+, scored_findings AS (SELECT e.*, x.f, x_raw - cut AS score, x_raw - cut < 0 AS is_anomaly FROM {rows} e
+  JOIN (SELECT key, f, raw AS x_raw FROM finding_rows JOIN finding_scores USING (key)) x ON x.key = e.event_id CROSS JOIN cutoff)"""
+
 
+FINDING_VIEWS = ("cloudtrail", "envelopes", "normalized")
 
-@query("score_findings")
+
+@query(
+    "score_findings",
+    scored_findings_sql("normalized") + f"""SELECT {FINDING}, round(score, 9) AS anomaly_score, is_anomaly,
+      enriched_at AS scored_at, 'forest-1' AS model_endpoint FROM scored_findings""",
+    FINDING_VIEWS,
+)
 def _(t):
     findings = normalize_findings(t.view("envelopes"), enriched_at=F.col("event_ts"))
-    return score_findings(findings, fitted(t)[0]).drop("resource_tags")
+    scored = score_findings(
+        findings, fitted(t)[0], scored_at=F.try_to_timestamp(F.col("enriched_at")), model_endpoint="forest-1"
+    )
+    return _scored_round(scored.drop("resource_tags"))
 
 
-@query("feature_contract")
+@query(
+    "feature_contract",
+    FOREST_SQL + f"""
+, single_rows AS MATERIALIZED (SELECT event_id AS key, {feature_list(FEATURE_SQL, SINGLE_RARITY)} AS f FROM cloudtrail)"""
+    + score_sql("single_rows", "loaded")
+    + "SELECT key AS event_id, round(raw - cut, 9) AS anomaly_score, raw - cut < 0 AS is_anomaly FROM loaded CROSS JOIN cutoff",
+    C,
+)
 def _(t):
     model = fitted(t)[0]
     path = t.scratch("model")
     model.save(path)
     loaded = IsolationForest.load(t.spark, path)
-    rows = features(t, rarity="single")
+    rows = _round_features(features(t, rarity="single"))
     loaded.check_contract([c for c in rows.columns if c in FEATURE_COLUMNS])
-    return loaded.score(rows).select("event_id", "anomaly_score", "is_anomaly")
+    return _scored_round(loaded.score(rows).select("event_id", "anomaly_score", "is_anomaly"))
 
 
 REPORT_SQL = """SELECT count_if(is_anomaly) / CAST(count(*) AS DOUBLE) AS anomaly_rate, count_if(is_anomaly) AS anomalies_detected,
@@ -297,6 +371,40 @@ def _(t):
     return rolled.withColumns({"sum_value": F.round("sum_value", 4), "p50": F.round("p50", 6), "p99": F.round("p99", 6)})
 
 
+LOG_GAMMA = math.log((1 + SKETCH_ACCURACY) / (1 - SKETCH_ACCURACY))
+
+
+def _sketch_value(bucket: str) -> str:
+    gamma = (1 + SKETCH_ACCURACY) / (1 - SKETCH_ACCURACY)
+    return f"sign({bucket}) * pow({gamma}, (abs({bucket}) - {ORIGIN})) * {2 / (gamma + 1)}"
+
+
+def hourly_sql(closed: str = "TRUE") -> str:
+    """Percentiles per hour and name over all dimensions, from bucket counts of the five-minute windows."""
+    index = f"CAST(ceil(ln(abs(value)) / {LOG_GAMMA}) AS BIGINT) + {ORIGIN}"
+    rank = "(SELECT list_min(list(bucket)) FROM ranked r WHERE r.hour_start = g.hour_start AND r.name = g.name AND r.upto > floor((g.samples - 1) * CAST({p} AS DOUBLE)))"
+    found = ", ".join(
+        f"round(least(greatest({_sketch_value(rank.format(p=p))}, low), high), 6) AS {name}" for name, p in PERCENTILES.items()
+    )
+    return f""", bucketed AS (SELECT {START} AS w, name, dim, CASE WHEN value > 0 THEN {index} WHEN value < 0 THEN -({index}) ELSE 0 END AS bucket,
+    count(*) AS n, sum(value) AS total, min(value) AS low, max(value) AS high FROM metrics WHERE value IS NOT NULL GROUP BY ALL),
+merged AS MATERIALIZED (SELECT w - w % 3600 AS hour_start, name, bucket, sum(n) AS n, sum(total) AS total, min(low) AS low, max(high) AS high
+  FROM bucketed WHERE {closed} GROUP BY ALL),
+ranked AS MATERIALIZED (SELECT *, sum(n) OVER (PARTITION BY hour_start, name ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS upto FROM merged),
+g AS (SELECT hour_start, name, CAST(sum(n) AS BIGINT) AS samples, sum(total) AS total, min(low) AS low, max(high) AS high FROM merged GROUP BY ALL)
+SELECT hour_start, name, samples, round(total, 6) AS sum_value, round(low, 6) AS min_value, round(high, 6) AS max_value,
+  round(total / samples, 6) AS avg_value, {found} FROM g"""
+
+
+def rounded_hours(rolled: DataFrame) -> DataFrame:
+    return rolled.withColumns({c: F.round(c, 6) for c in ("sum_value", "avg_value", "min_value", "max_value", *PERCENTILES)})
+
+
+@query("metric_hourly", hourly_sql(), ("metrics",))
+def _(t):
+    return rounded_hours(hourly(sketch_windows(t.view("metrics"), ts=F.col("ts")), ["name"]))
+
+
 @query(
     "api_status_rollup",
     f"""SELECT {START} AS window_start, count(*) AS requests, count_if(status // 100 = 4) AS errors_4xx, count_if(status // 100 = 5) AS errors_5xx

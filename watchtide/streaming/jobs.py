@@ -18,6 +18,7 @@ from watchtide.operators.metrics import ALARM_THRESHOLD, PERIOD_SECONDS
 from watchtide.operators.normalize import normalize_findings
 from watchtide.operators.routing import route_high_severity
 from watchtide.operators.scoring import score_with_features
+from watchtide.operators.sketches import stream_sketch_windows
 from watchtide.schemas import FEATURE_COLUMNS
 from watchtide.sources.tables import append_load, read_table, score_capture
 from watchtide.sources.lake import DAY_COLUMNS, write_findings
@@ -250,6 +251,18 @@ def stream_metrics(
     )
 
 
+def stream_sketches(
+    samples: DataFrame, path: str, checkpoint: str, *, ts: Column, keys: Sequence[str] = ("name", "dim"),
+    trigger: dict = AVAILABLE_NOW,
+) -> StreamingQuery:
+    """Quantile sketches of closed windows, which later roll up to hours and across keys (`operators/sketches.py`)."""
+    closed = stream_sketch_windows(samples, ts=ts, lateness=LATENESS, keys=keys)
+    return (
+        closed.writeStream.format("parquet").outputMode("append")
+        .option("path", path).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    )
+
+
 class AlarmProcessor(StatefulProcessor):
     """Per metric: emits state changes; a timer at the end of the next window notices silence.
 
