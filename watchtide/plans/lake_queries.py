@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from watchtide.functions import findings as fx
@@ -17,8 +17,9 @@ from watchtide.plans.finding_queries import FINDING, FINDING_COLUMNS, CLAIM_SQL,
 from watchtide.plans.model_queries import FINDING_VIEWS, alarm_sql, fitted, hourly_sql, rounded_hours, scored_findings_sql
 from watchtide.plans.registry import Inputs, query
 from watchtide.schemas import CLOUDTRAIL_FILE_FIELDS, ENRICHED, FEATURE_COLUMNS
-from watchtide.sources import lake
+from watchtide.sources import feed, lake
 from watchtide.sources.cloudtrail import read_cloudtrail
+from watchtide.sources.compaction import compact, read_current
 from watchtide.sources.knowledge import kb_ingest, write_chunks
 from watchtide.sources.quarantine import parse_records, quarantine_rows, retry_quarantine, split_bad
 from watchtide.sources.sessions import store_turns, stored_turns
@@ -78,6 +79,37 @@ def _(t):
     return _flat(lake.read_mirror(t.spark, mirror))
 
 
+def _write_announced(t: Inputs, path: str, queues: list[str], parts: list[Column]) -> None:
+    """A load per part of the findings, each told to the consumers."""
+    findings = _enriched(t)
+    for n, part in enumerate(parts):
+        lake.write_findings(findings.filter(part), path, ts=F.col("event_ts"), load=f"part-{n}", announce=queues)
+
+
+@query("read_current", STORED_SQL, STORED)
+def _(t):
+    path, mirror, announced = t.scratch("enriched"), t.scratch("mirror"), t.scratch("announced")
+    late = F.crc32("finding_id") % 50 == 0
+    _write_announced(t, path, [announced], [F.col("severity") == "high", (F.col("severity") != "high") & ~late])
+    compact(t.spark, path, mirror, announced)
+    _write_announced(t, path, [announced], [late])
+    return _flat(read_current(t.spark, path, mirror, announced))
+
+
+@query("stream_announcements", "SELECT source, count(*) AS findings FROM stored GROUP BY 1", STORED)
+def _(t):
+    path, queue, out = t.scratch("enriched"), t.scratch("queue"), t.scratch("feed")
+    _write_announced(t, path, [queue], [F.col("severity") == "high", F.col("severity") != "high"])
+
+    def take(batch: DataFrame, batch_id: int) -> None:
+        append_load(feed.announced_rows(batch, path).select("finding_id", F.col("source").alias("src"), *lake.DAY_COLUMNS), out, str(batch_id))
+
+    told = feed.stream_announcements(t.spark, queue, archive=t.scratch("archive"), max_files=1)
+    told.writeStream.foreachBatch(take).option("checkpointLocation", t.scratch("checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    keys = t.spark.read.parquet(out).select("src", *lake.DAY_COLUMNS, F.translate("finding_id", "/:", "__").alias("id")).distinct()
+    return keys.groupBy(F.col("src").alias("source")).agg(F.count(F.lit(1)).alias("findings"))
+
+
 @query("stream_enriched", "SELECT source, count(*) AS findings FROM stored GROUP BY 1", STORED)
 def _(t):
     path, out = t.scratch("enriched"), t.scratch("feed")

@@ -8,10 +8,12 @@ resolved when findings are read, and for good when finished days are mirrored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,7 +38,7 @@ def _lake_schema(schema: T.StructType, fmt: str) -> T.StructType:
     return T.StructType(_body(schema) + corrupt + partitions)
 
 
-def _in_range(df: DataFrame, sources: Sequence[str] | None, start: date | None, end: date | None) -> DataFrame:
+def in_range(df: DataFrame, sources: Sequence[str] | None, start: date | None, end: date | None) -> DataFrame:
     """Partition filters: whole folders outside the request are never opened."""
     day = F.concat_ws("-", *DAY_COLUMNS)
     if sources:
@@ -60,15 +62,25 @@ def read_loads(
     With both `start` and `end` only the folders of these days are listed; otherwise the whole lake is listed
     before its folders are filtered.
     """
+    folders = _folders(spark, path, sources or ALLOWED_SOURCE, start, end) if start and end else [path]
+    return in_range(open_folders(spark, path, folders, schema=schema, fmt=fmt), sources, start, end)
+
+
+def open_folders(
+    spark: SparkSession, path: str, folders: Sequence[str], *, schema: T.StructType = ENRICHED, fmt: str = "json"
+) -> DataFrame:
+    """Rows below some folders of the lake at `path`; other folders are not listed."""
     stored = _lake_schema(schema, fmt)
-    reader = spark.read.schema(stored)
+    if not folders:
+        return spark.createDataFrame([], stored)
+    reader = spark.read.schema(stored).option("basePath", path)
     if fmt == "json":
         reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-    if not (start and end):
-        return _in_range(reader.format(fmt).load(path), sources, start, end)
-    folders = _folders(spark, path, sources or ALLOWED_SOURCE, start, end)
-    rows = reader.option("basePath", path).format(fmt).load(folders) if folders else spark.createDataFrame([], stored)
-    return _in_range(rows, sources, start, end)
+    return reader.format(fmt).load(list(folders))
+
+
+def safe_id() -> Column:
+    return F.translate("finding_id", "/:", "__")
 
 
 def _folders(spark: SparkSession, path: str, sources: Sequence[str], start: date, end: date) -> list[str]:
@@ -94,7 +106,7 @@ def read_findings(
     rows = read_loads(spark, path, schema=schema, fmt=fmt, sources=sources, start=start, end=end)
     if fmt == "json":
         rows = rows.filter(F.col("finding_id").isNotNull()).drop(CORRUPT)
-    rows = rows.withColumn("safe_id", F.translate("finding_id", "/:", "__"))
+    rows = rows.withColumn("safe_id", safe_id())
     return last_write_wins(rows).select(*[f.name for f in schema.fields], *DAY_COLUMNS)
 
 
@@ -127,23 +139,27 @@ def read_objects(
         name: F.regexp_extract("_metadata.file_path", OBJECT_PATH, i)
         for i, name in enumerate(("source", *DAY_COLUMNS), start=1)
     }
-    return _in_range(files.withColumns(parts), sources, start, end).select(
+    return in_range(files.withColumns(parts), sources, start, end).select(
         *[f.name for f in schema.fields], *DAY_COLUMNS
     )
 
 
 def write_findings(
     findings: DataFrame, path: str, *, ts: Column, load: str, fmt: str = "json",
-    environment: str = "prod", prefix: str = "enriched",
+    environment: str = "prod", prefix: str = "enriched", announce: Sequence[str] = (),
 ) -> None:
     """Writes one load, the newest row per key; `ts` is the processing time that picks the day.
 
-    Rows carry `environment` next to the finding, as object metadata would.
+    Rows carry `environment` next to the finding, as object metadata would. Each folder in `announce` is a consumer
+    that is told which folders were written, after they are (see `sources/feed.py`).
     """
     keyed = with_partition_columns(findings, ts, prefix).drop("object_key")
     rows = last_write_wins(keyed).drop("safe_id").withColumns(
         {"environment": F.lit(environment), "load": F.lit(load)}
     )
+    told = Observation(f"folders {uuid.uuid4().hex}")
+    if announce:  # counted while the rows are written, not by another pass
+        rows = rows.observe(told, F.collect_set(F.struct("source", *DAY_COLUMNS)).alias("days"))
     (
         # Files of even size per folder: adaptive execution splits a hot source or day and merges small ones.
         rows.hint("rebalance", "source", *DAY_COLUMNS)
@@ -153,6 +169,14 @@ def write_findings(
         .format(fmt)
         .save(path)
     )
+    if announce:
+        from watchtide.sources import feed
+
+        try:
+            written = [(*day, load) for day in told.get["days"]]
+        except Py4JJavaError:  # a plan found empty at run time drops what it observes: look at the folders
+            written = feed.folders_of_load(findings.sparkSession, path, load)
+        feed.announce(findings.sparkSession, written, uuid.uuid4().hex, announce)
 
 
 def mirror_days(

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,14 +24,12 @@ def append_load(rows: DataFrame, path: str, load: str, *, by: Sequence[str] = ()
     )
 
 
-def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
     """A table that may not have been written yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
+    jvm = spark._jvm.org.apache.hadoop.fs
+    if not jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm.Path(path)):
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).format(fmt).load(path)
 
 
 def score_capture(scored: DataFrame, *, model_version: str) -> DataFrame:

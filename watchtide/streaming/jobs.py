@@ -21,6 +21,7 @@ from watchtide.operators.scoring import score_with_features
 from watchtide.operators.sketches import stream_sketch_windows
 from watchtide.schemas import FEATURE_COLUMNS
 from watchtide.sources.tables import append_load, read_table, score_capture
+from watchtide.sources.feed import announced_rows
 from watchtide.sources.lake import DAY_COLUMNS, write_findings
 from watchtide.sources.quarantine import quarantine_rows, split_bad
 
@@ -41,12 +42,13 @@ def _load(job: str, batch_id: int) -> str:
 
 def stream_normalize(
     events: DataFrame, path: str, checkpoint: str, *, job: str, enriched_at: Column | None = None,
-    trigger: dict = AVAILABLE_NOW,
+    announce: Sequence[str] = (), trigger: dict = AVAILABLE_NOW,
 ) -> StreamingQuery:
     """Event envelopes into the enriched lake; a replayed micro-batch replaces its own load.
 
     `job` names this stream among all that write to the lake; one checkpoint, one name. Without `enriched_at` the
     stamp is the batch's time in the offset log, so a batch replayed a day later lands in its first folder.
+    Consumers in `announce` are told of each load.
     """
     stamp = F.current_timestamp() if enriched_at is None else enriched_at
     events = events.withColumn("_stamp", stamp)
@@ -54,7 +56,7 @@ def stream_normalize(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         findings = normalize_findings(batch, enriched_at=F.col("_stamp"), keep=["_stamp"])
-        write_findings(findings, path, ts=F.col("_stamp"), load=_load(job, batch_id))
+        write_findings(findings, path, ts=F.col("_stamp"), load=_load(job, batch_id), announce=announce)
 
     return (
         events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
@@ -64,17 +66,25 @@ def stream_normalize(
 def stream_score(
     findings: DataFrame, path: str, checkpoint: str, *, job: str, model: IsolationForest, rarity: str = "single",
     counts: DataFrame | None = None, model_version: str = "1", scored_at: Column | None = None,
-    trigger: dict = AVAILABLE_NOW,
+    lake_path: str | None = None, trigger: dict = AVAILABLE_NOW,
 ) -> StreamingQuery:
-    """New findings to the scored lake, with a capture of inputs and outputs and a quarantine of bad rows."""
+    """New findings to the scored lake, with a capture of inputs and outputs and a quarantine of bad rows.
+
+    With `lake_path` the stream is one of announcements (`stream_announcements`), and a batch reads the folders of
+    that lake which they name.
+    """
     if rarity == "batch":
         raise ValueError("rarity within a micro-batch depends on its size; use 'single' or 'baseline'")
     stamp = F.col("_stamp")
-    findings = findings.withColumn("_stamp", F.current_timestamp() if scored_at is None else scored_at)
+    scored_at = F.current_timestamp() if scored_at is None else scored_at
+    if lake_path is None:
+        findings = findings.withColumn("_stamp", scored_at)
     _load(job, 0)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         load = _load(job, batch_id)
+        if lake_path is not None:
+            batch = announced_rows(batch, lake_path).withColumn("_stamp", scored_at)
         good, bad = split_bad(batch, required=("finding_id", "source"))
         scored = score_with_features(
             good.drop(*DAY_COLUMNS, "load"), model, rarity=rarity, counts=counts, scored_at=stamp,
