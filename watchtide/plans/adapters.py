@@ -109,6 +109,18 @@ SELECT event_id,
 FROM events
 """
 
+RESOURCE_EVENTS = """
+SELECT event_id, CONCAT('arn:aws:ec2:us-east-1:11111111111', CAST(user_id % 4 AS STRING), ':instance/i-', CAST(user_id AS STRING)) AS resource_arn,
+  CASE WHEN event_id % 89 = 0 THEN NULL ELSE ts END AS event_ts, CASE WHEN event_type = 'error' THEN 'AccessDenied' END AS errorcode
+FROM events
+"""
+
+ANSWERS = """
+SELECT conv_id, turn, CASE WHEN conv_id % 13 = 0 THEN NULL
+  ELSE CONCAT('Seen in f-', CAST(conv_id * 3 AS STRING), ' and f-7, xf-8; ', text, ' (f-', CAST(conv_id * 97 + turn AS STRING), '; f-7)') END AS answer
+FROM conversations WHERE role = 'assistant'
+"""
+
 TURNS = """
 SELECT CONCAT('sess-', CAST(q.conv_id AS STRING)) AS session_id, CONCAT('u', CAST(q.conv_id % 9 AS STRING)) AS user_id,
   q.text AS question, a.text AS answer, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 HOUR * q.turn AS ts
@@ -119,6 +131,8 @@ WHERE q.role = 'user' AND a.role = 'assistant'
 VIEWS = {
     "record_lines": RECORD_LINES,
     "turns": TURNS,
+    "resource_events": RESOURCE_EVENTS,
+    "answers": ANSWERS,
     "cloudtrail": CLOUDTRAIL,
     "envelopes": ENVELOPES,
     "scored": SCORED,
@@ -130,7 +144,7 @@ VIEWS = {
 }
 
 # Tables behind a view; all others read `events`.
-VIEW_TABLES = {"turns": ("conversations",), "chunk_table": ("documents", "embeddings")}
+VIEW_TABLES = {"turns": ("conversations",), "answers": ("conversations",), "chunk_table": ("documents", "embeddings")}
 
 # Canonical findings as the checking engine computes them from `envelopes`.
 NORMALIZED = """

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from watchtide.functions import findings as fx
 from watchtide.operators.alerts import format_alert, triage_parse
 from watchtide.operators.config_lookup import ITEM_COLUMNS, latest_config, resource_config_lookup
+from watchtide.operators.context import cited_findings, event_context, events_near
 from watchtide.operators.dedup import claim_check, last_write_wins, ttl_dedup
 from watchtide.operators.normalize import finding_to_event, merge_scores, normalize_findings, with_partition_columns
 from watchtide.operators.query import expire_rows, query_findings, top_anomalies
@@ -483,3 +484,44 @@ def _(t):
 @query("last_write_wins", f"SELECT event_id, {FINDING} FROM stored", ("envelopes", "normalized", "stored"))
 def _(t):
     return stored(t).select("event_id", *FINDING_COLUMNS)
+
+
+# --- what stands behind a finding ----------------------------------------------------------------
+
+NEAR_SQL = """, near AS (SELECT s.event_id AS finding_event, s.finding_id, e.event_id, e.errorcode,
+  CAST(floor(epoch(e.event_ts)) - floor(epoch(s.enriched_ts)) AS BIGINT) AS seconds
+  FROM scored s JOIN resource_events e ON e.resource_arn = s.resource_arn
+  WHERE floor(epoch(e.event_ts)) - floor(epoch(s.enriched_ts)) BETWEEN -86400 AND 3600)"""
+
+
+def near(t: Inputs, **options) -> DataFrame:
+    return events_near(
+        t.view("scored").withColumnRenamed("event_id", "finding_event"), t.view("resource_events"),
+        finding_ts=F.col("enriched_ts"), event_ts=F.col("event_ts"), keep=["finding_event", "finding_id"],
+        event_keep=["event_id", "errorcode"], before=86400, after=3600, **options,
+    )
+
+
+@query("events_near", NEAR_SQL + " SELECT finding_id, event_id, seconds FROM near", ("scored", "resource_events"))
+def _(t):
+    return near(t).select("finding_id", "event_id", "seconds")
+
+
+@query(
+    "event_context",
+    NEAR_SQL + """ SELECT finding_id, count(*) AS events, min(seconds) AS first_seconds, max(seconds) AS last_seconds,
+    count_if(errorcode IS NOT NULL) AS failures FROM near GROUP BY 1""",
+    ("scored", "resource_events"),
+)
+def _(t):
+    return event_context(near(t), failed=F.col("errorcode").isNotNull())
+
+
+@query(
+    "cited_findings",
+    """, named AS (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(answer, '\\bf-[0-9]+\\b')) AS cited_id FROM answers)
+    SELECT conv_id, turn, cited_id, cited_id IN (SELECT finding_id FROM scored) AS known FROM named""",
+    ("answers", "scored"),
+)
+def _(t):
+    return cited_findings(t.view("answers"), t.view("scored"), key=["conv_id", "turn"])
