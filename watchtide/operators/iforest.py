@@ -69,27 +69,36 @@ def _unit(*parts: object) -> float:
 
 
 def draw_samples(rows: DataFrame, key: str, n: int, samples: int, trees: int, seed: int, margin: float) -> DataFrame:
-    """(tree, order, key, features): `samples` rows per tree, without replacement.
+    """(tree, features, _rank): `samples` rows per tree, without replacement, of a table of `n` rows (`draw_by`)."""
+    return draw_by(rows, key, [], F.lit(n), F.lit(samples), trees, seed, margin)
+
+
+def draw_by(
+    rows: DataFrame, key: str, by: Sequence[str], n: Column, samples: Column, trees: int, seed: int, margin: float
+) -> DataFrame:
+    """`samples` rows per tree of each group of `by`, without replacement; `n` is the number of the group's rows.
 
     Rows are chosen by hash, so the draw does not depend on partitioning and
-    only about trees * samples rows move. In a round each tree owns a slice of
+    only about trees * samples rows of a group move. In a round each tree owns a slice of
     the hash range; as many rounds, with a hash each, follow as the trees need:
-    one for a large table, one per tree for a table that every tree takes whole.
+    one for a large group, one per tree for a group that every tree takes whole.
     """
-    rate = min(1.0, (samples + margin * math.sqrt(samples)) / n)
     seed_part = F.lit(seed)
-    slices = max(1, int(1.0 / rate))
-    rounds = F.sequence(F.lit(0), F.lit(math.ceil(trees / slices) - 1))
+    rows = rows.withColumns({"_n": n.cast("double"), "_s": samples.cast("double")})
+    rate = F.least(F.lit(1.0), (F.col("_s") + F.lit(margin) * F.sqrt("_s")) / F.col("_n"))
+    rows = rows.withColumn("_rate", rate).withColumn("_slices", F.greatest(F.lit(1), F.floor(F.lit(1.0) / F.col("_rate")).cast("int")))
+    rounds = F.sequence(F.lit(0), (F.ceil(F.lit(float(trees)) / F.col("_slices")) - 1).cast("int"))
     taken = F.transform(
         rounds,
-        lambda r: F.struct(r.alias("r"), F.floor(_unit_hash(seed_part, r, F.col(key)) / rate).cast("int").alias("slice")),
+        lambda r: F.struct(r.alias("r"), F.floor(_unit_hash(seed_part, r, F.col(key)) / F.col("_rate")).cast("int").alias("slice")),
     )
-    tree = F.col("_t.r") * slices + F.col("_t.slice")
-    drawn = rows.withColumn("_t", F.explode(F.filter(taken, lambda t: t["slice"] < slices)))
-    drawn = drawn.withColumn("tree", tree).drop("_t").filter(F.col("tree") < trees)
+    tree = F.col("_t.r") * F.col("_slices") + F.col("_t.slice")
+    drawn = rows.withColumn("_t", F.explode(F.filter(taken, lambda t: t["slice"] < F.col("_slices"))))
+    drawn = drawn.withColumn("tree", tree).filter(F.col("tree") < trees)
     drawn = drawn.withColumn("_order", F.md5(_joined(F.lit("order"), seed_part, F.col("tree"), F.col(key))))
-    ranked = Window.partitionBy("tree").orderBy("_order", key)
-    return drawn.withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") <= samples)
+    ranked = Window.partitionBy(*by, "tree").orderBy("_order", key)
+    kept = drawn.withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") <= F.col("_s"))
+    return kept.drop("_t", "_n", "_s", "_rate", "_slices")
 
 
 def _grow(columns: Sequence[str], samples: int, seed: int):
@@ -124,6 +133,42 @@ def _grow(columns: Sequence[str], samples: int, seed: int):
     return grow
 
 
+def packed_trees(nodes: pd.DataFrame, trees: int, samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature, threshold and path-length arrays in heap order, one row per tree.
+
+    Below a leaf every step goes left, down to a slot that holds the leaf's
+    path length, so scoring needs no leaf test.
+    """
+    depth = depth_limit(samples)
+    inner, total = 2**depth - 1, 2 ** (depth + 1) - 1
+    shape = (trees, total)
+    feature, threshold, length = np.zeros(shape, np.int64), np.full(shape, np.inf), np.zeros(shape)
+    for row in nodes.itertuples(index=False):
+        if row.feature >= 0:
+            feature[row.tree, row.node], threshold[row.tree, row.node] = row.feature, row.threshold
+            continue
+        at = row.node
+        while at < inner:
+            at = 2 * at + 1
+        length[row.tree, at] = (row.node + 1).bit_length() - 1 + average_path(row.n_rows)
+    return feature, threshold, length
+
+
+def forest_scores(packed: tuple[np.ndarray, np.ndarray, np.ndarray], samples: int, features: Sequence[np.ndarray]) -> np.ndarray:
+    """Minus two to the power of the mean path over c(samples), negated, of rows given as feature columns."""
+    depth, scale = depth_limit(samples), float(average_path(max(samples, 2)))
+    flat = np.concatenate(features)
+    rows = len(features[0])
+    row_at, total = np.arange(rows), np.zeros(rows)
+    for feature, threshold, length in zip(*packed):
+        node = np.zeros(rows, dtype=np.int64)
+        for _ in range(depth):
+            value = flat.take(row_at + rows * feature.take(node))
+            node = 2 * node + 1 + (value > threshold.take(node))
+        total += length.take(node)
+    return -np.exp2(-total / len(packed[0]) / scale)
+
+
 @dataclass(frozen=True)
 class IsolationForest:
     """A fitted forest: node table, parameters, feature contract and decision offset."""
@@ -139,44 +184,18 @@ class IsolationForest:
             raise ValueError(f"feature contract mismatch: model has {self.columns}, input has {tuple(columns)}")
 
     def _packed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Feature, threshold and path-length arrays in heap order, one row per tree.
-
-        Below a leaf every step goes left, down to a slot that holds the leaf's
-        path length, so scoring needs no leaf test.
-        """
         if self.params.n_estimators * (2 * self.samples - 1) > MAX_FOREST_NODES:
             raise ValueError("the forest is too large to broadcast; lower n_estimators or max_samples")
-        depth = depth_limit(self.samples)
-        inner, total = 2**depth - 1, 2 ** (depth + 1) - 1
-        shape = (self.params.n_estimators, total)
-        feature, threshold, length = np.zeros(shape, np.int64), np.full(shape, np.inf), np.zeros(shape)
-        for row in self.nodes.toPandas().itertuples(index=False):
-            if row.feature >= 0:
-                feature[row.tree, row.node], threshold[row.tree, row.node] = row.feature, row.threshold
-                continue
-            at = row.node
-            while at < inner:
-                at = 2 * at + 1
-            length[row.tree, at] = (row.node + 1).bit_length() - 1 + average_path(row.n_rows)
-        return feature, threshold, length
+        return packed_trees(self.nodes.toPandas(), self.params.n_estimators, self.samples)
 
     def raw_score(self) -> Column:
         """Column expression for -2^(-E[path]/c): lower is more anomalous."""
         packed = SparkSession.active().sparkContext.broadcast(self._packed())
-        depth, scale = depth_limit(self.samples), float(average_path(max(self.samples, 2)))
+        samples = self.samples
 
         @F.pandas_udf("double")
         def score(*features: pd.Series) -> pd.Series:
-            flat = np.concatenate([f.to_numpy(dtype=float) for f in features])
-            rows = len(features[0])
-            row_at, total = np.arange(rows), np.zeros(rows)
-            for feature, threshold, length in zip(*packed.value):
-                node = np.zeros(rows, dtype=np.int64)
-                for _ in range(depth):
-                    value = flat.take(row_at + rows * feature.take(node))
-                    node = 2 * node + 1 + (value > threshold.take(node))
-                total += length.take(node)
-            return pd.Series(-np.exp2(-total / len(packed.value[0]) / scale))
+            return pd.Series(forest_scores(packed.value, samples, [f.to_numpy(dtype=float) for f in features]))
 
         return score(*[F.col(c) for c in self.columns])
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+import re
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from watchtide.operators.features import RARITY_SOURCES, category_counts, extract_features, plain_features, rarity_lookup, with_parts
+from watchtide.operators.grouped_forest import fit_by_group
 from watchtide.operators.iforest import IsolationForest, iforest_fit
 from watchtide.operators.metrics import alarm_states, api_status_rollup, budget_eval, metric_rollup, window_sums
 from watchtide.operators.normalize import normalize_findings
@@ -149,16 +151,13 @@ def _scored_round(df: DataFrame) -> DataFrame:
 
 
 # The whole fit in the checking engine: split, counts of the training rows, matrices, trees, scores and offset.
-TRAINED_SQL = (
-    f""", parts AS MATERIALIZED (SELECT c.*, s.split FROM cloudtrail c JOIN ({SPLIT_SQL}) s USING (event_id)),
+FEATURED_SQL = f""", parts AS MATERIALIZED (SELECT c.*, s.split FROM cloudtrail c JOIN ({SPLIT_SQL}) s USING (event_id)),
 counts AS MATERIALIZED ({" UNION ALL ".join(
         f"SELECT '{c}' AS category, {c} AS value, count(*) AS n FROM parts WHERE split = 'train' AND {c} IS NOT NULL GROUP BY {c}"
         for c in RARITY_SOURCES.values())}),
-featured AS MATERIALIZED (SELECT split, event_id AS key, {feature_list(FEATURE_SQL, baseline_rarity('parts'))} AS f FROM parts),
-matrix AS MATERIALIZED (SELECT key, f FROM featured WHERE split = 'train'),
-held_out AS MATERIALIZED (SELECT key, f FROM featured WHERE split = 'validation')"""
-    + FIT_SQL
-)
+featured AS MATERIALIZED (SELECT split, event_id AS key, {feature_list(FEATURE_SQL, baseline_rarity('parts'))} AS f FROM parts)"""
+TRAINED_SQL = FEATURED_SQL + """, matrix AS MATERIALIZED (SELECT key, f FROM featured WHERE split = 'train'),
+held_out AS MATERIALIZED (SELECT key, f FROM featured WHERE split = 'validation')""" + FIT_SQL
 FOREST_SQL = TRAINED_SQL + OFFSET_SQL
 VALIDATED_SQL = FOREST_SQL + score_sql("held_out", "judged") + """
 , validated AS (SELECT key AS event_id, raw - cut AS anomaly_score, raw - cut < 0 AS is_anomaly FROM judged CROSS JOIN cutoff)"""
@@ -179,6 +178,44 @@ def _(t):
     return _scored_round(model.score(validation).select("event_id", "anomaly_score", "is_anomaly"))
 
 
+# Forests by region; the checking engine fits the rows of one region at a time.
+GROUP_COLUMN = "awsregion"
+GROUPS = ("us-east-1", "us-east-2", "us-west-2")
+
+
+FITTED_NAMES = r"\b(matrix|sizes|rounds|drawn|grown|nodes|trained_walk|trained|cutoff|held_out|judged_walk|judged)\b"
+
+
+def _group_sql(n: int, group: str) -> str:
+    """The fit and the scores of one group's rows, with its number behind each table's name."""
+    own = "SELECT x.key, x.f FROM featured x JOIN cloudtrail c ON c.event_id = x.key WHERE c.{column} = '{group}' AND x.split = '{split}'"
+    rows = [
+        f", {name} AS MATERIALIZED ({own.format(column=GROUP_COLUMN, group=group, split=split)})"
+        for name, split in (("matrix", "train"), ("held_out", "validation"))
+    ]
+    return re.sub(FITTED_NAMES, rf"\1_{n}", "".join(rows) + FIT_SQL + OFFSET_SQL + score_sql("held_out", "judged"))
+
+
+GROUP_SQL = FEATURED_SQL + "".join(_group_sql(n, g) for n, g in enumerate(GROUPS)) + "\n" + " UNION ALL ".join(
+    f"""SELECT key AS event_id, '{g}' AS {GROUP_COLUMN}, round(raw - cut, 9) AS anomaly_score, raw - cut < 0 AS is_anomaly
+    FROM judged_{n} CROSS JOIN cutoff_{n}""" for n, g in enumerate(GROUPS)
+)
+
+
+@query("iforest_by_group", GROUP_SQL, C)
+def _(t):
+    train, validation = train_val_split(t.view("cloudtrail"), key="event_id")
+    counts = materialize(category_counts(train))
+    made = [
+        _round_features(
+            extract_features(rows, keep=["event_id", GROUP_COLUMN], ts=F.col("event_ts"), rarity="baseline", counts=counts)
+        )
+        for rows in (train, validation)
+    ]
+    forests = fit_by_group(made[0], key="event_id", group=GROUP_COLUMN)
+    return _scored_round(forests.score(made[1], GROUP_COLUMN).select("event_id", GROUP_COLUMN, "anomaly_score", "is_anomaly"))
+
+
 @query(
     "training_distribution",
     FOREST_SQL + """SELECT count_if(raw - cut < 0) AS anomalies, count(*) AS rows,
