@@ -278,6 +278,21 @@ def test_quality_weights_and_threshold_are_those_of_a_plain_fit(texts_session, m
     assert below == pytest.approx((label == 0).mean(), abs=1.5 / len(label))
 
 
+def test_quality_learns_from_every_labelled_document(texts_session, documents):
+    """Beyond 4,000 documents of a label, too: means, and a threshold with as many above it as have label 1."""
+    texts = [("word " * (i % 40 + 1)).strip() + ("." if i % 3 else " |") for i in range(12_000)]
+    docs = documents([*enumerate(texts), (1, texts[1])])  # an id with two rows is one document
+    labels = texts_session.createDataFrame([(i, int(i % 3 > 0)) for i in range(len(texts))], "doc_id bigint, quality int")
+    model = learn_quality(docs, labels)
+    learn = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 4 != 2]
+    x = np.array([features(texts[i]) for i in learn])
+    assert sum(i % 3 > 0 for i in learn) > 4000
+    assert model.mean == pytest.approx(x.mean(axis=0), rel=1e-12) and model.scale == pytest.approx([s or 1.0 for s in x.std(axis=0)])
+    strengths = np.sort([pairwise_quality.strength(r, model) for r in x.tolist()])
+    low = sum(i % 3 == 0 for i in learn)
+    assert model.threshold == pytest.approx((strengths[low - 1] + strengths[low]) / 2)
+
+
 def test_quality_edge_cases(texts_session, documents):
     rows = documents([(i, t) for i, t in enumerate(ODD)]).withColumn("features", F.lit("clash"))
     labels = texts_session.createDataFrame([(1, None, None), (None, 1, 1)], "doc_id bigint, quality int, toxic int")

@@ -1,10 +1,11 @@
-"""Folds and bounded samples of labelled documents."""
+"""Folds, labelled documents and bounded samples of them."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from watchtide.operators.small_side import join_checked
 from watchtide.session import materialize
 
 UNIT = 1 << 30
@@ -34,6 +35,23 @@ def draw(rows: DataFrame, id_col: str, group: str, per_group: int, salt: str, mo
     return rows.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(salt)), F.lit(UNIT)) < share.otherwise(0))
 
 
+def known_labels(labels: DataFrame, label: str, id_col: str, learn: Column) -> DataFrame:
+    """(`id_col`, `label` 0 or 1), one row per id, `learn` true; an id with several labels takes the largest."""
+    known = labels.select(F.col(id_col), F.col(label).alias("label")).filter(learn & F.col("label").isin(0, 1))
+    return known.groupBy(id_col).agg(F.max("label").alias("label"))
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text: str, learn: Column) -> DataFrame:
+    """(`id`, `text`, `label`) of every row of every document with a label; null texts count as empty.
+
+    Texts stay where they are while ids and labels take little room; otherwise both sides are shuffled, those of
+    `learn` only.
+    """
+    texts = docs.filter(learn).select(F.col(id_col), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = join_checked(texts, known_labels(labels, label, id_col, learn), [id_col], "inner")
+    return rows.select(F.col(id_col).alias("id"), "text", "label")
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, id_col: str, text: str, learn: Column, per_label: int, salt: str
 ) -> DataFrame:
@@ -43,8 +61,7 @@ def labelled_sample(
     left out; an id with several labels takes the largest, and one with several rows its smallest text, so that the
     bound holds for rows whatever repeats; null texts count as empty. Rows without an id have no label.
     """
-    known = labels.select(F.col(id_col), F.col(label).alias("label")).filter(learn & F.col("label").isin(0, 1))
-    known = known.groupBy(id_col).agg(F.max("label").alias("label"))
+    known = known_labels(labels, label, id_col, learn)
     drawn = materialize(draw(known, id_col, "label", per_label, salt))
     texts = docs.select(F.col(id_col), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # at most about 2 x per_label rows of an id and a bit

@@ -7,17 +7,17 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchtide.llm.labelled import held_out, labelled_sample
+from watchtide.llm.labelled import held_out, labelled_rows
 from watchtide.llm.texts import with_text_columns
+from watchtide.operators.quantiles import order_statistic
 from watchtide.session import materialize
 
-PER_LABEL = 4000  # labelled documents learnt from, per label
+PER_LABEL = math.inf  # labelled documents learnt from, per label: all
 PAIRS = 8  # preference pairs per preferred document
 PASS = 0.7  # score at the threshold
 RIDGE = 1e-3
@@ -79,16 +79,16 @@ def measured(df: DataFrame, text: str) -> DataFrame:
 def learn_quality(
     docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, id_col: str = "doc_id", text: str = "text"
 ) -> QualityModel:
-    """Weights from preference pairs of about PER_LABEL documents of each label.
+    """Weights from preference pairs of all labelled documents that may be learnt from.
 
     Each document of label 1 is preferred to PAIRS documents of label 0, dealt by slots of their hash order; the
-    logistic loss is that of the feature difference, without an intercept. The threshold is the quantile of the
-    scores at the share of label 0 among all labelled documents that may be learnt from. Without documents of
-    both labels all texts with a word score PASS.
+    logistic loss is that of the feature difference, without an intercept. The threshold lies between the two
+    scores that part as many documents from the top as have label 1. An id with several rows takes its smallest
+    features. Without documents of both labels all texts with a word score PASS.
     """
-    learn = ~held_out(id_col, folds, held)
-    sample = labelled_sample(docs, labels, "quality", id_col, text, learn, PER_LABEL, "quality")
-    held_rows = materialize(measured(sample, "text").select("id", "label", "features"))
+    known = labelled_rows(docs, labels, "quality", id_col, text, ~held_out(id_col, folds, held))
+    found = measured(known, "text").groupBy("id", "label").agg(F.min("features").alias("features"))
+    held_rows = materialize(found)
     counts = {r[0]: r[1] for r in held_rows.groupBy("label").count().collect()}
     width = len(NAMES)
     if len(counts) < 2:
@@ -106,23 +106,17 @@ def learn_quality(
     high = high.withColumn("slot", F.pmod(F.xxhash64("h", "turn"), F.lit(slots)))
     apart = F.zip_with("high", "low", lambda a, b: a - b)
     signed = high.join(low, "slot").select(apart.alias("d"), F.pmod(F.xxhash64("h", "turn", F.lit("sign")), F.lit(2)).alias("flip"))
-    pairs = materialize(signed.select(
+    # Not written: the fit itself holds its rows, packed, in memory or on disk.
+    pairs = signed.select(
         F.when(F.col("flip") == 1, F.transform("d", lambda x: -x)).otherwise(F.col("d")).alias("d"), (1.0 - F.col("flip")).alias("label")
-    ))
+    )
     fit = LogisticRegression(fitIntercept=False, standardization=False, regParam=RIDGE, maxIter=60)
     weights = [float(w) for w in fit.fit(pairs.select(array_to_vector("d").alias("features"), "label")).coefficients]
-    model = QualityModel(mean, scale, weights, 0.0)
-    raw = held_rows.collect()  # at most about 2 x PER_LABEL rows of numbers
-    score = np.array([strength(r["features"], model) for r in raw])
-    label = np.array([r["label"] for r in raw])
-    every = labels.filter(learn & F.col("quality").isin(0, 1)).groupBy("quality").count().collect()
-    n = {r[0]: r[1] for r in every}
-    weight = np.where(label == 1, n[1] / max(1, (label == 1).sum()), n[0] / max(1, (label == 0).sum()))
-    order = np.argsort(score, kind="stable")
-    passed = np.cumsum(weight[order]) / weight.sum()
-    at = int(np.searchsorted(passed, n[0] / (n[0] + n[1])))
-    at = min(at, len(order) - 2)
-    return QualityModel(mean, scale, weights, float((score[order[at]] + score[order[at + 1]]) / 2))
+    scores = materialize(rows.select(F.aggregate(
+        F.zip_with("x", F.array(*map(F.lit, weights)), lambda x, w: x * w), F.lit(0.0), lambda total, x: total + x
+    ).alias("score")))
+    around = [order_statistic(scores, "score", rank) for rank in (counts[0] - 1, counts[0])]
+    return QualityModel(mean, scale, weights, sum(around) / 2)
 
 
 def _at(values: list[float], i):
