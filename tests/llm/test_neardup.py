@@ -217,6 +217,28 @@ def test_groups_of_similar_texts_against_brute_force(documents, monkeypatch, blo
     assert 60 < len(set(want.values())) < len(texts) - 50
 
 
+def test_close_fingerprints_are_proposed_by_the_trees(documents, monkeypatch):
+    """Near copies are linked without any minima, by SimHash and its trees; shards so connected are not compared again."""
+    rng = random.Random(4)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    bases = [fresh(2000) for _ in range(6)]
+    texts = bases + [b + " end" for b in bases] + [fresh(300) for _ in range(6)]
+    sets = [simhash_vptree.shingle_set(t, 5) for t in texts]
+    prints = [simhash_vptree.set_print(x) for x in sets]
+    for shingles, found in zip(sets, prints):
+        ones = [sum(int(h) >> bit & 1 for h in shingles) for bit in range(64)]
+        assert [found >> bit & 1 for bit in range(64)] == [int(2 * n > len(shingles)) for n in ones]
+    assert simhash_vptree.set_print(np.zeros(0, np.uint64)) == 0
+    close = [i for i in range(6) if bin((prints[i] ^ prints[i + 6]) & (1 << 64) - 1).count("1") <= simhash_vptree.MAX_BITS]
+    assert len(close) >= 4
+
+    # Keys that no two sets share: the minima propose nothing.
+    monkeypatch.setattr(simhash_vptree, "band_keys", lambda x, bands: np.array([xxhash.xxh64_intdigest(x.tobytes(), 9)], np.uint64).view(np.int64))
+    got = {r["doc_id"]: r["component_id"] for r in simhash_vptree.similar_components(documents(list(enumerate(texts)))).collect()}
+    assert {i for i in range(6) if got[i + 6] == i} == set(close)
+    assert all(got[i] == i for i in (*range(6), *range(12, 18)))
+
+
 @pytest.mark.parametrize("parts", [1, 2, 3])
 def test_vectors_are_found_whatever_the_size_of_keys(texts_session, monkeypatch, parts):
     monkeypatch.setattr(cross_polytope, "hashes_per_key", lambda n, wide: parts)

@@ -1,5 +1,5 @@
 """SimHash fingerprints of word shingles with near-duplicates among them by vantage-point trees, and texts with
-similar sets of shingles."""
+similar sets of shingles, which these and minima propose."""
 
 from __future__ import annotations
 
@@ -269,7 +269,7 @@ def _named(prints: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
     return prints.join(names, "print_id")
 
 
-# --- similarity of shingles: keys of minima propose, the shingles decide -----------------------------------------
+# --- similarity of shingles: fingerprints and keys of minima propose, the shingles decide ------------------------
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
     """Hashes of the distinct k-word shingles of a text, ascending; words and short texts as in `fingerprint`."""
@@ -284,6 +284,26 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, n))
 
 
+def set_print(shingles: np.ndarray) -> int:
+    """SimHash of a set of shingles, as a signed integer: no shingle counts twice, so no repeated line decides it."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(shingles), CHUNK):
+        part = np.ascontiguousarray(shingles[at:at + CHUNK]).view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(shingles), bitorder="little").view(np.int64)[0])
+
+
+def close_prints(nodes: DataFrame) -> DataFrame:
+    """(`print_id`, `row_key`, `shard`): any two `nodes` whose fingerprints (`simhash`) differ in at most MAX_BITS
+    share a shard. By the vantage-point trees, exact; a shard is named by the fingerprint its others are tied to."""
+    prints = materialize(nodes.select(F.col("simhash").alias("print_id")).distinct())
+    tied = exact_links(prints, MAX_BITS).distinct()
+    own = prints.select(F.col("print_id").alias("simhash"), F.col("print_id").alias("shard"))
+    dealt = own.union(tied.select("a", "b")).join(nodes.select("simhash", "print_id", "row_key"), "simhash")
+    dealt = materialize(dealt.select("print_id", "row_key", "shard"))
+    return dealt.join(dealt.groupBy("shard").count().filter("count > 1").select("shard"), "shard")
+
+
 def band_count(similarity: float) -> int:
     """Bands of BAND_ROWS minima such that a pair of this similarity shares none with probability MISSED at most."""
     return max(1, math.ceil(math.log(MISSED) / math.log(1 - min(similarity, 0.999) ** BAND_ROWS)))
@@ -351,7 +371,7 @@ def _link_sets(similarity: float):
         ends_a, ends_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for rows in cell.groupby("shard").indices.values():
             if len(rows) > 1:
-                i, j = tied_sets([sets[r] for r in rows], similarity)
+                i, j = star_links(len(rows), *tied_sets([sets[r] for r in rows], similarity))
                 ends_a.append(ids[rows[i]]), ends_b.append(ids[rows[j]])
         return pd.DataFrame({"a": np.concatenate(ends_a), "b": np.concatenate(ends_b)})
 
@@ -364,11 +384,15 @@ def similar_components(
     """(`doc_id`, `row_key`, `component`, `component_id`) where texts link at a Jaccard similarity of their distinct k-word shingles
     of at least `similarity`.
 
-    Nodes are distinct sets of shingles. Minima of the shingles propose which of them to compare (a pair at exactly
-    `similarity` is missed with probability MISSED, more similar ones less often); every link is then decided by
-    the shingles themselves. Shards with the same rows are compared once, and shingles are only held for texts that
-    share a shard. Full shards are compared in blocks: first each block in itself, then pairs of blocks of the
-    shards that are not connected yet. A task holds the shingles of about two blocks.
+    Nodes are distinct sets of shingles. Two proposals say which of them to compare, and every link is then decided
+    by the shingles themselves. First the SimHash fingerprints of the sets, by the vantage-point trees: sets with
+    fingerprints at most MAX_BITS apart share a shard. What links there connects needs no more comparing. A
+    similarity of 0.8 is some ten bits of 64 away, so the rest is proposed by minima of the shingles (a pair at
+    exactly `similarity` is missed with probability MISSED, more similar ones less often), of which only shards that
+    the fingerprints left apart are compared.
+    Shards with the same rows are compared once, and shingles are only held for texts that share a shard. Full
+    shards are compared in blocks: first each block in itself, then pairs of blocks of the shards that are not
+    connected yet (of minima: these propose whatever fingerprints do). A task holds the shingles of about two blocks.
     Nulls, empty texts, repeated rows and missing ids are treated as in `simhash_components`; `row_key` is the
     xxhash64 of id and text, and `component` tells apart groups that share their smallest id.
     """
@@ -377,14 +401,14 @@ def similar_components(
     def keys_of(texts: list[str | None]) -> dict:
         sets = [shingle_set(t, k) for t in texts]
         names = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
-        return {"print_id": names, "keys": [band_keys(x, bands) for x in sets]}
+        return {"print_id": names, "simhash": [set_print(x) for x in sets], "keys": [band_keys(x, bands) for x in sets]}
 
     def sets_of(texts: list[str | None]) -> dict:
         return {"shingles": [shingle_set(t, k).view(np.int64) for t in texts]}
 
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text).alias("row_key"), F.col(text).alias("_text"))
-    prints = materialize(with_text_columns(narrow, "_text", keys_of, "print_id: bigint, keys: array<bigint>").drop("_text"))
-    nodes = prints.groupBy("print_id").agg(F.min("doc_id").alias("first_id"), F.min("row_key").alias("row_key"), F.first("keys").alias("keys"))
+    prints = materialize(with_text_columns(narrow, "_text", keys_of, "print_id: bigint, simhash: bigint, keys: array<bigint>").drop("_text"))
+    nodes = prints.groupBy("print_id").agg(F.min("doc_id").alias("first_id"), F.min("row_key").alias("row_key"), F.first("simhash").alias("simhash"), F.first("keys").alias("keys"))
     nodes = materialize(nodes)
     sharded = nodes.select("print_id", "row_key", F.explode("keys").alias("shard"))
     shards = sharded.groupBy("shard").agg(
@@ -393,23 +417,33 @@ def similar_components(
     ).filter("n > 1")
     shards = shards.groupBy("n", "rows", "mixed").agg(F.min("shard").alias("shard")).select("shard")
     met = materialize(sharded.join(shards, "shard"))
-    wanted = met.select("row_key").distinct()
+    close = materialize(close_prints(nodes))
+    wanted = met.select("row_key").union(close.select("row_key")).distinct()
     held = narrow.select("row_key", "_text").join(wanted, "row_key", "left_semi").dropDuplicates(["row_key"])
     held = materialize(with_text_columns(held, "_text", sets_of, "shingles: array<bigint>").drop("_text"))
-    groups = max(1, math.ceil(met.count() / SET_ROWS))
-    cells = pair_cells(met, ["shard"], F.col("print_id"), SET_ROWS).withColumn("_group", F.pmod("shard", F.lit(groups)))
+
+    def cells_of(rows: DataFrame) -> DataFrame:
+        groups = max(1, math.ceil(rows.count() / SET_ROWS))
+        return pair_cells(rows, ["shard"], F.col("print_id"), SET_ROWS).withColumn("_group", F.pmod("shard", F.lit(groups)))
 
     def compared(some: DataFrame) -> DataFrame:
         full = some.join(held, "row_key").select("_group", "cell_a", "cell_b", "shard", "print_id", "shingles")
         return full.groupBy("_group", "cell_a", "cell_b").applyInPandas(_link_sets(similarity), "a bigint, b bigint").distinct()
 
-    links = materialize(compared(cells.filter("cell_a = cell_b")))
+    def apart(rows: DataFrame, parts: DataFrame) -> DataFrame:
+        """The rows of shards that hold more than one of `parts` (`print_id`, `component`)."""
+        named = rows.join(parts, "print_id", "left").withColumn("component", F.coalesce("component", "print_id"))
+        shards = named.groupBy("shard").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+        return join_checked(rows, shards.select("shard"), ["shard"], "inner")
+
+    links = materialize(compared(cells_of(close).filter("cell_a = cell_b")))
+    tied = links.groupBy(F.col("a").alias("print_id")).agg(F.min("b").alias("component"))  # one step, not all of them
+    cells = cells_of(materialize(apart(met, tied)))
+    links = materialize(links.union(compared(cells.filter("cell_a = cell_b"))))
     between = materialize(cells.filter("cell_a < cell_b"))
     if not between.isEmpty():
         parts = connected_components(links, "a", "b").withColumnRenamed("node", "print_id")
-        named = between.join(parts, "print_id", "left").withColumn("component", F.coalesce("component", "print_id"))
-        apart = named.groupBy("shard").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-        links = links.union(compared(join_checked(between, apart.select("shard"), ["shard"], "inner")))
+        links = links.union(compared(apart(between, parts)))
     return _named(prints, nodes.select("print_id", "first_id"), links).select("doc_id", "row_key", "component", "component_id")
 
 
