@@ -3,9 +3,11 @@
 import math
 import random
 import re
+import weakref
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +132,29 @@ def test_spread(spark):
     assert spread(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     large = spark.range(1 << 40)
     assert spread(large) is large
+
+
+def test_a_task_holds_one_segment_at_a_time(monkeypatch):
+    """Rows of several segments in one task: each is let go before the next, whatever segments meet there."""
+    alive, most = weakref.WeakSet(), []
+
+    class Counted(keyword_index.Segment):
+        def __init__(self):
+            super().__init__()
+            alive.add(self)
+
+        def search(self, asked, idfs, k):
+            most.append(sum(bool(s.lists) for s in alive))
+            return super().search(asked, idfs, k)
+
+    monkeypatch.setattr(keyword_index, "Segment", Counted)
+    posting = np.array([0, 1, 4, 1, 2, 4], "<i4").tobytes()
+    rows = [r for s in (3, 5, 9) for r in ((s, None, "a", posting, None, None), (s, 1, None, None, ["a"], [1.0]))]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.float64())))],
+        names=["segment", "query_id", "word", "postings", "asked", "idfs"],
+    )
+    found = [b.to_pydict() for b in keyword_index._search_segments(5, 4.0)(iter([batch.slice(0, 3), batch.slice(3)]))]
+    assert [s for f in found for s in f["segment"]] == [3, 3, 5, 5, 9, 9]
+    assert [o for f in found for o in f["ordinal"]] == [1, 0] * 3
+    assert most == [1, 1, 1]

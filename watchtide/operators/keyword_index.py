@@ -50,8 +50,8 @@ def _cut_segments(load: str, buckets: int, segment_words: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number, held, size = TaskContext.get().partitionId(), 0, [], 0
         for batch in batches:
-            held.append(batch)
-            size += len(pc.list_flatten(batch.column("words")))
+            held.append(_coded(batch))
+            size += len(held[-1][2])
             if size >= segment_words:
                 yield _segment(held, f"{load}/{task}/{number}", buckets)
                 held, size, number = [], 0, number + 1
@@ -61,33 +61,47 @@ def _cut_segments(load: str, buckets: int, segment_words: int):
     return cut
 
 
-def _segment(batches: list[pa.RecordBatch], name: str, buckets: int) -> pa.RecordBatch:
-    ids = np.concatenate([b.column("chunk_id").to_numpy(zero_copy_only=False) for b in batches])
-    lengths = np.concatenate([
-        pc.fill_null(pc.list_value_length(b.column("words")), 0).to_numpy(zero_copy_only=False) for b in batches
-    ]).astype(np.int64)
+def _coded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.DictionaryArray]:
+    """Ids, lengths and words of some chunks; each word is kept once, and a number of four bytes for its places."""
+    told = batch.column("words")
+    ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)
+    lengths = pc.fill_null(pc.list_value_length(told), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return ids, lengths, pc.list_flatten(told).cast(pa.string()).dictionary_encode()
+
+
+def _segment(held: list[tuple[np.ndarray, np.ndarray, pa.DictionaryArray]], name: str, buckets: int) -> pa.RecordBatch:
+    """Takes `held` empty, and sorts its places (word, chunk) where they lie: a segment's arrays are what a task holds."""
+    ids, lengths = (np.concatenate([h[i] for h in held]) for i in (0, 1))
     order = np.argsort(ids, kind="stable")
     ordinal = np.empty(len(ids), dtype=np.int64)
     ordinal[order] = np.arange(len(ids))
-    said = pa.chunked_array([pc.list_flatten(b.column("words")) for b in batches], pa.string())
-    coded = said.combine_chunks().dictionary_encode()
-    if isinstance(coded, pa.ChunkedArray):
-        coded = coded.combine_chunks()
-    width = max(1, len(ids))
-    cells, tfs = np.unique(
-        coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * width + np.repeat(ordinal, lengths), return_counts=True
-    )
-    n, at = len(coded.dictionary), cells % width
+    said = pa.chunked_array([h[2] for h in held], pa.dictionary(pa.int32(), pa.string())).unify_dictionaries()
+    held.clear()
+    dictionary, width = said.chunk(0).dictionary, max(1, len(ids))
+    cells = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in said.chunks]).astype(np.int64)
+    del said
+    cells *= width
+    cells += np.repeat(ordinal, lengths)
+    cells.sort()
+    new = np.ones(len(cells), bool)
+    np.not_equal(cells[1:], cells[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    cells = cells[first]
+    n = len(dictionary)
     starts = np.append(np.searchsorted(cells, np.arange(n) * width), [len(cells)] * 2)  # the segment's row has none
-    packed = np.stack([at, tfs, lengths[order][at]], axis=1).astype("<i4")
+    packed = np.empty((len(cells), 3), "<i4")
+    packed[:, 1] = np.diff(first, append=len(new))
+    cells %= width
+    packed[:, 0] = cells
+    packed[:, 2] = lengths[order].astype(np.int32)[cells]
     postings = pa.Array.from_buffers(
-        pa.binary(), n + 1, [None, pa.py_buffer((starts * packed.itemsize * 3).astype(np.int32).tobytes()), pa.py_buffer(packed.tobytes())]
+        pa.binary(), n + 1, [None, pa.py_buffer((starts * packed.itemsize * 3).astype(np.int32)), pa.py_buffer(packed)]
     )
     about = {"total": int(lengths.sum()), "buckets": buckets, "chunk_ids": ids[order].tolist()}
     kind = pa.struct([("total", pa.int64()), ("buckets", pa.int32()), ("chunk_ids", pa.list_(pa.string()))])
     number = int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little", signed=True)
     return pa.RecordBatch.from_arrays([
-        pa.concat_arrays([coded.dictionary.cast(pa.string()), pa.nulls(1, pa.string())]),
+        pa.concat_arrays([dictionary, pa.nulls(1, pa.string())]),
         pa.array(np.full(n + 1, number)), pa.array([*np.diff(starts[:-1]), len(ids)], pa.int32()), postings,
         pa.concat_arrays([pa.nulls(n, kind), pa.array([about], kind)]),
     ], names=["word", "segment", "holders", "postings", "about"])
@@ -184,26 +198,25 @@ class Segment:
         return sums
 
 
-def _search_groups(k: int, mean_length: float):
-    """Over rows (group, query_id, word, segment, postings, asked, idfs) in the order of groups, postings
-    before questions. A group's postings are held; its questions stream past them."""
+def _search_segments(k: int, mean_length: float):
+    """Over rows (segment, query_id, word, postings, asked, idfs) in the order of segments, postings before
+    questions. One segment's postings are held at a time; the questions stream past them."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, segments = None, {}
+        held, own = None, Segment()
         for batch in batches:
             found = [[], [], [], []]
-            columns = [batch.column(c).to_pylist() for c in ("group", "query_id", "word", "segment", "asked", "idfs")]
-            for i, (here, query, word, segment, asked, idfs) in enumerate(zip(*columns)):
-                if here != group:
-                    group, segments = here, {}
+            columns = [batch.column(c).to_pylist() for c in ("segment", "query_id", "word", "asked", "idfs")]
+            for i, (segment, query, word, asked, idfs) in enumerate(zip(*columns)):
+                if segment != held:
+                    held, own = segment, Segment()
                 if query is None:
                     triples = np.frombuffer(batch.column("postings")[i].as_buffer(), "<i4").reshape(-1, 3).T.copy()
-                    segments.setdefault(segment, Segment()).add(word, *triples, mean_length)
+                    own.add(word, *triples, mean_length)
                     continue
-                for name, own in segments.items():
-                    at, scores = own.search(asked, idfs, k)
-                    for column, part in zip(found, ([query] * len(at), [name] * len(at), at, scores)):
-                        column.extend(part)
+                at, scores = own.search(asked, idfs, k)
+                for column, part in zip(found, ([query] * len(at), [segment] * len(at), at, scores)):
+                    column.extend(part)
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(found, kinds)], names=["query_id", "segment", "ordinal", "score"]
@@ -234,16 +247,14 @@ def search_index(spark: SparkSession, path: str, questions: DataFrame, *, k: int
     holders = postings.groupBy("word").agg(F.sum("holders").alias("holders"))
     idf = F.log(1 + (F.lit(chunks) - F.col("holders") + 0.5) / (F.col("holders") + 0.5))
     told = asked.join(holders, "word").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("word", idf.alias("idf")))).alias("_t"))
-    group = F.pmod(F.xxhash64("segment"), F.lit(segments)).cast("int")
     streamed = postings.select(
-        group.alias("group"), F.lit(None).cast("bigint").alias("query_id"), "word", "segment", "postings",
+        "segment", F.lit(None).cast("bigint").alias("query_id"), "word", "postings",
         F.lit(None).cast("array<string>").alias("asked"), F.lit(None).cast("array<double>").alias("idfs"),
-    ).unionByName(told.select(
-        F.explode(F.sequence(F.lit(0), F.lit(segments - 1))).alias("group"), "query_id",
-        F.col("_t.word").alias("asked"), F.col("_t.idf").alias("idfs"),
+    ).unionByName(cut.select("segment").crossJoin(told).select(
+        "segment", "query_id", F.col("_t.word").alias("asked"), F.col("_t.idf").alias("idfs"),
     ), allowMissingColumns=True)
-    dealt = streamed.repartition(segments, "group").sortWithinPartitions("group", F.col("query_id").asc_nulls_first())
-    found = dealt.mapInArrow(_search_groups(k, total / chunks), FOUND)
+    dealt = streamed.repartition(segments, "segment").sortWithinPartitions("segment", F.col("query_id").asc_nulls_first())
+    found = dealt.mapInArrow(_search_segments(k, total / chunks), FOUND)
     # The k best scores with all their ties; then their ids, which decide between ties.
     best = top_k_per(found, ["query_id"], [F.desc("score")], k, salt=F.struct("segment", "ordinal"), ties=True)
     best = materialize(best.select("query_id", "segment", "ordinal", "score"))
