@@ -5,8 +5,11 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SMALL
 from tests.test_lake_and_streams import DAY, at_time, event_frame, finding, stored
 from watchtide.operators.normalize import normalize_findings
+from watchtide.plans import lake_queries
+from watchtide.plans.registry import Inputs
 from watchtide.sources import feed, lake
 from watchtide.sources.compaction import MARKS, compact, read_current
 from watchtide.sources.tables import append_load, read_table
@@ -117,3 +120,14 @@ def test_mirrored_rows_are_not_shuffled(spark, tmp_path):
     assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
     assert plan.count("Exchange hashpartitioning") == 1  # that of the tail and the few rows it may overwrite
     assert stored(joined) == stored(lake.read_findings(spark, path))
+
+
+def test_loads_of_a_query_parse_each_finding_once(spark):
+    """A load's filter reads stored columns; pushed below the parse it would repeat it for each mention."""
+    t = Inputs(spark, SMALL)
+    findings = lake_queries._stored_findings(t)
+    some = findings.filter(F.col("severity") == "high")
+    assert "from_json" not in some._jdf.queryExecution().optimizedPlan().toString().lower()
+    want = lake_queries._enriched(t).filter(F.col("severity") == "high")
+    assert some.columns == want.columns
+    assert some.drop("resource_tags").exceptAll(want.drop("resource_tags")).count() == 0 and some.count() == want.count() > 0
