@@ -81,6 +81,17 @@ def test_last_write_wins(spark):
     assert sorted(r.n for r in got) == [2, 3]
 
 
+def test_last_write_wins_without_a_sorted_aggregate(spark):
+    df = spark.range(0, 3000).select(
+        F.lit("s").alias("source"), (F.col("id") % 7).cast("string").alias("safe_id"),
+        F.lpad(F.col("id").cast("string"), 4, "0").alias("enriched_at"), F.lit(None).cast("string").alias("raw_detail"),
+    )
+    newest = last_write_wins(df.repartition(3), keys=["source", "safe_id"])
+    assert sorted(r.enriched_at for r in newest.collect()) == [str(n) for n in range(2993, 3000)]
+    plan = newest._jdf.queryExecution().sparkPlan().toString()  # rows never pass through aggregation buffers
+    assert "Aggregate" not in plan and "Partial" in plan
+
+
 @pytest.mark.parametrize("ties", [False, True])
 def test_hot_groups_have_exact_percentiles(spark, ties):
     rng = np.random.default_rng(3)

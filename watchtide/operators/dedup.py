@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEDUP_HOURS = 24
@@ -124,10 +124,10 @@ def last_write_wins(
 ) -> DataFrame:
     """Newest row per object key, as an overwriting store would keep it.
 
-    An aggregate, not a window: each task sends at most one row per key, so a
-    key with a large share of all rows stays cheap.
+    Each task keeps one row per key before the shuffle, so a key with a large
+    share of all rows stays cheap. The sort compares the last key first: ids tell
+    rows apart at once, where sources and days would not. Keys partition the
+    window, so filters on them reach the scan.
     """
-    others = [c for c in findings.columns if c not in keys]
-    newest = findings.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(*order)).alias("_row"))
-    # Keys come from the grouping itself, so filters on them reach the scan.
-    return newest.select(*(F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in findings.columns))
+    newest = Window.partitionBy(*reversed(keys)).orderBy(*[F.desc(c) for c in order])
+    return findings.withColumn("_age", F.row_number().over(newest)).filter(F.col("_age") == 1).drop("_age")
