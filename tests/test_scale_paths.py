@@ -125,6 +125,21 @@ def test_order_statistic_and_percentile(spark):
         assert exact_percentile(df, "v", p) == pytest.approx(np.percentile(values, 100 * p))
 
 
+def test_guessed_order_statistic_computes_its_rows_twice(spark):
+    computed = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(i):
+        computed.add(1)
+        return i
+
+    df = spark.range(0, 40_000, 1, 4).select(counted.asNondeterministic()("id").alias("v"))
+    assert order_statistic(df, "v", 30_000, 29_000, 31_000) == 30_000
+    assert computed.value == 2 * 40_000
+    ties = spark.range(0, 40_000).select(F.floor(F.col("id") / 4000).alias("v"))
+    assert order_statistic(ties, "v", 30_000, 7, 7) == 7 and order_statistic(ties, "v", 30_000, 0, 9) == 7
+
+
 def test_split_is_exact_and_stable(spark):
     df = spark.range(0, 1003)
     train, validation = train_val_split(df, key="id")
