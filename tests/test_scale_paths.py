@@ -140,6 +140,14 @@ def test_guessed_order_statistic_computes_its_rows_twice(spark):
     assert order_statistic(ties, "v", 30_000, 7, 7) == 7 and order_statistic(ties, "v", 30_000, 0, 9) == 7
 
 
+def test_flags_are_not_rounded(spark):
+    from watchtide.plans.model_queries import _round_features
+
+    rows = spark.createDataFrame([(0.1234567894,) * len(FEATURE_COLUMNS)], ", ".join(f"{c} double" for c in FEATURE_COLUMNS))
+    kept = {c: v for c, v in _round_features(rows).first().asDict().items() if v != 0.123456789}
+    assert set(kept) == {c for c in FEATURE_COLUMNS if c.startswith("is_")}
+
+
 def test_split_is_exact_and_stable(spark):
     df = spark.range(0, 1003)
     train, validation = train_val_split(df, key="id")

@@ -13,13 +13,14 @@ from watchtide.functions import findings as fx
 def _source_parts(events: DataFrame) -> DataFrame:
     """Adds the parsed detail `_d`, the first hub finding `_f`, the severity `_s` and its score `_n`.
 
-    Each is its own step, so that the dispatch below reads finished columns.
+    Each is its own step, so that the dispatch below reads finished columns. Only one source has a score; text that
+    is no number costs an exception a row, so the others are not tried.
     """
     fields = ("id", "finding_id", "severity", "accountId", "region", "resource_arn", "resource", "findings")
     return (
         events.withColumn("_d", fx.parse_detail(F.col("detail"), *fields))
         .withColumns({"_f": fx.first_of(F.col("_d.findings")), "_s": fx.severity_parts(F.col("_d.severity"))})
-        .withColumn("_n", fx.severity_score(F.col("_s")))
+        .withColumn("_n", F.when(F.col("source") == fx.GUARDDUTY, fx.severity_score(F.col("_s"))))
     )
 
 

@@ -28,6 +28,7 @@ from watchtide.session import materialize
 from watchtide.sources.registry import approve_model, approvals, gate, keep_latest_models, model_states, register
 
 C = ("cloudtrail",)
+FRACTIONS = tuple(c for c in FEATURE_COLUMNS if not c.startswith("is_"))  # flags are 0 or 1 as they are
 NOW = datetime(2024, 1, 31, tzinfo=timezone.utc)
 
 # --- features ------------------------------------------------------------------------------------
@@ -56,7 +57,7 @@ def _rounded(name: str) -> str:
     return f"round(CAST({FEATURE_SQL[name]} AS DOUBLE), 9) AS {name}"
 
 
-def _round_features(df: DataFrame, names: tuple[str, ...] = FEATURE_COLUMNS) -> DataFrame:
+def _round_features(df: DataFrame, names: tuple[str, ...] = FRACTIONS) -> DataFrame:
     return df.withColumns({c: F.round(c, 9) for c in names})
 
 
